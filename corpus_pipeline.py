@@ -1,3 +1,78 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus pipeline of five stages, each on what the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's docs. All but the last return the columns of docs. Rows with a null doc_id
+can't be told apart: stages that decide by id keep them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from transitlake.llm import bpe, contamination, language, queries, simhash, suffixes
+from transitlake.llm.common import importable, scratch, stored
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is predicted with enough confidence."""
+    importable(spark)
+    model = language.fit(docs)
+    return language.predict(docs, model).where("accepted").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates, the one of the smallest doc_id; of rows with one id, one."""
+    importable(spark)
+    found = simhash.near_duplicates(docs, width=5)
+    by_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") > F.col("component_id")).alias("again"), F.count("*").alias("rows"))
+    by_id = stored(by_id.where("again OR rows > 1"), "again")
+    kept = docs.join(by_id.where("again").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    many = by_id.where("NOT again").select("doc_id")
+    if many.isEmpty():
+        return kept
+    return kept.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that a document of a smaller id has; documents of which nothing is left go."""
+    importable(spark)
+    done = suffixes.deduplicate(docs, decoded=True).where("n_removed < n_bytes OR n_bytes = 0")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return done.select(*[text.alias("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else c for c in docs.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with the benchmark."""
+    importable(spark)
+    found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = stored(found.where(contamination.contaminated()).select("doc_id").distinct(), "contaminated")
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text."""
+    importable(spark)
+    return queries.token_digests(docs, queries.vocabulary())
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", remove_repeats),
+    ("benchmark decontamination", decontaminate),
+    ("BPE encoding and decoding", tokenize),
+]
+#: SQL can't express training, XXH64 or merges.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = scratch(spark, f"stage{i}")
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+    return out
