@@ -140,17 +140,15 @@ class Tree:
 
 
 def fit(docs: DataFrame, text_col: str = "text", depth: int = 6, p_min: float = 2e-6, gain: float = 15.0, strength: float = 4.0) -> Tree:
-    level = stored(gram_counts(docs, text_col, depth), "grams").select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("next"), "n")
+    level = stored(gram_counts(docs, text_col, depth).select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("next"), "n"), "grams")
     total = level.agg(F.sum("n")).first()[0] or 0
-    levels = {}
+    sized = {}
     for d in range(depth, -1, -1):
-        levels[d] = level
+        sums = level.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= p_min * total)
+        sized[d] = stored(level.join(sums, "context"), f"level{d}")  # 1 / p_min contexts at most
         if d:
             level = level.withColumn("context", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)).groupBy("context", "next").agg(F.sum("n").alias("n"))
-    sized = {}
-    for d in range(depth + 1):
-        sums = levels[d].groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= p_min * total)
-        sized[d] = stored(levels[d].join(sums, "context"), f"level{d}")  # depth / p_min contexts at most
+            level = stored(level, f"grams{d - 1}")
     keep = None
     kept = [sized[0].select(F.lit(0).alias("depth"), "context", "next", "n")]
     for d in range(depth, 0, -1):
@@ -161,8 +159,11 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = 6, p_min: float =
         keep = stored((tested if keep is None else tested.unionByName(keep)).distinct(), f"keep{d}")
         kept.append(sized[d].join(keep, "context", "left_semi").select(F.lit(d).alias("depth"), "context", "next", "n"))
         keep = keep.select(F.col("context").bitwiseAND(mask).alias("context")).distinct()
-    rows = [x.toPandas() for x in kept]
-    column = lambda name: np.concatenate([r[name].to_numpy(np.int64) for r in rows])
+    all_kept = kept[0]
+    for x in kept[1:]:
+        all_kept = all_kept.unionByName(x)
+    rows = stored(all_kept, "tree").toArrow()
+    column = lambda name: rows.column(name).to_numpy().astype(np.int64)
     return Tree(depth, column("depth"), column("context"), column("next"), column("n"), strength)
 
 
@@ -189,8 +190,8 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     tree = fit(learned, "t", **settings)
     counts = stored(word_counts(learned, "t"), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = counts.orderBy(F.desc("n"), "word").limit(top).toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((tree, dict(zip(map(bytes, hot["word"]), np.log10(hot["n"].to_numpy(float) + 0.5).tolist()))))
+    hot = counts.orderBy(F.desc("n"), "word").limit(top).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((tree, dict(zip(hot.column("word").to_pylist(), np.log10(hot.column("n").to_numpy() + 0.5).tolist()))))
     depth = tree.depth
     kind = dict(docs.dtypes)[id_col]
 
