@@ -1,0 +1 @@
+"""No streaming operator is in scope; resumable batches are operators.catalog.pending."""
