@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import pieces, utf8
+from .common import pieces, stored, utf8
 
 BUCKETS = 1 << 16
 LOWERED = np.arange(256, dtype=np.uint8)
@@ -81,6 +81,7 @@ def logits(model: Model, at: np.ndarray, data: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, keys: Column, label: str, per_label: int) -> DataFrame:
     """About per_label rows of each label, the same ones on each run: those with the least hashes of keys."""
     share = docs.groupBy(label).agg((F.lit(float(per_label)) / F.count("*")).alias("share")).withColumnRenamed(label, "of")
+    share = stored(share, "share")  # a row for each label: its true size lets Spark leave the texts where they are
     chance = F.pmod(F.xxhash64(keys, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     return docs.join(share, F.col(label) == F.col("of")).where(chance < F.col("share")).drop("of", "share")
 
