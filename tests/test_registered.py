@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from transitlake.plans import registered
+from transitlake.plans import fitted, registered  # noqa: F401 (fitted registers its own)
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registered.QUERIES))
+@pytest.mark.parametrize("name", sorted(registered.SQL))
 def test_query_matches_sql(spark, duck, name):
     got = registered.QUERIES[name](spark, SF)
     want = duck.sql(registered.SQL[name])
