@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, utf8
+from .common import pieces, stored, utf8
 from .language import LOWERED, sample
 
 LETTERS = 28  # a to z, any other letter, and the word's edge
@@ -145,7 +145,7 @@ class Reader:
 def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 5000, least: int = 4, z: float = 4.0) -> dict[str, float]:
     """Weights of restored words; '' is the bias. labels: (id, label 0 or 1)."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL").join(sample(known, F.col("id"), "y", per_label), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL").join(stored(sample(known, F.col("id"), "y", per_label), "labelled"), "id")
     shared = docs.sparkSession.sparkContext.broadcast(lm)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
