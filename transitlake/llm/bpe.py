@@ -28,7 +28,7 @@ LETTER, NUMBER, SPACE, END, OTHER = 1, 2, 3, 4, 0
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Words kept with their ids in each worker.
-MEMO = 200_000
+MEMO = 100_000
 
 
 @lru_cache(1)
@@ -83,16 +83,41 @@ def split(texts: list[str]) -> tuple[list[bytes], list[int]]:
     return words, [0, *(last + 1).tolist()]
 
 
+def read(path: str) -> tuple[dict, dict[str, int], dict[int, bytes]]:
+    """The vocabulary file, its special tokens, and the bytes that each id's arc is labelled with."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    names = byte_names()
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+    label = {i: bytes(names[x] for x in t) for t, i in spec["model"]["vocab"].items() if t not in special}
+    return spec, special, label | {i: t.encode() for t, i in special.items()}
+
+
+class Labels:
+    """What arcs emit: all that decoding needs of the automaton."""
+
+    def __init__(self, path: str):
+        _, _, label = read(path)
+        parts = [label.get(i, b"") for i in range(max(label) + 1)]
+        self.size = np.array([len(x) for x in parts], np.int64)
+        self.place = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode_all(self, many: list[bytes]) -> list[bytes]:
+        """The labels of the arcs that each list of ids names, one after another."""
+        ids = np.frombuffer(b"".join(many), "<u4")
+        size = self.size[ids]
+        to = np.cumsum(size)
+        flat = self.flat[np.repeat(self.place[ids] - (to - size), size) + np.arange(to[-1] if len(to) else 0)].tobytes()
+        ends = np.concatenate([[0], to])[np.cumsum([len(x) // 4 for x in many])].tolist() if many else []
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Automaton:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        names, vocab = byte_names(), spec["model"]["vocab"]
-        spell = {t: bytes(names[x] for x in t) for t in vocab}
-        self.label = {i: spell[t] for t, i in vocab.items()}
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        self.label |= {i: t.encode() for t, i in self.special.items()}
-        self.born = {i: 0 for t, i in vocab.items() if len(spell[t]) == 1}
+        spec, self.special, self.label = read(path)
+        vocab = spec["model"]["vocab"]
+        self.born = {i: 0 for t, i in vocab.items() if t not in self.special and len(self.label[i]) == 1}
         self.origin: dict[int, tuple[int, int]] = {}
         self.cut: dict[tuple[int, int], int] = {}
         for time, merge in enumerate(spec["model"]["merges"], 1):
@@ -100,10 +125,6 @@ class Automaton:
             self.gadget(vocab[u], vocab[v], vocab[u + v], time)
         self.trie = {x[:j]: -1 for x in map(self.label.get, self.born) for j in range(1, len(x) + 1)}
         self.trie |= {self.label[i]: i for i in self.born}
-        labels = [self.label.get(i, b"") for i in range(max(self.label) + 1)]
-        self.size = np.array([len(x) for x in labels], np.int64)
-        self.place = np.cumsum(self.size) - self.size
-        self.flat = np.frombuffer(b"".join(labels), np.uint8)
         self.arcs: dict[tuple[int, int], bool] = {}
         self.words = Memo(self)
 
@@ -162,7 +183,7 @@ class Automaton:
                 if x >= 0:
                     ok = arcs.get((x, y))
                     if ok is None:
-                        if len(arcs) > 500_000:
+                        if len(arcs) > 200_000:
                             arcs.clear()
                         ok = arcs[x, y] = self.arc(x, y)
                     if not ok:
@@ -195,15 +216,6 @@ class Automaton:
             out[i] += b"".join(ids[starts[k] : starts[k + 1] - 1]) + special[k]
         return out
 
-    def decode_all(self, many: list[bytes]) -> list[bytes]:
-        """The labels of the arcs that each list of ids names, one after another."""
-        ids = np.frombuffer(b"".join(many), "<u4")
-        size = self.size[ids]
-        to = np.cumsum(size)
-        flat = self.flat[np.repeat(self.place[ids] - (to - size), size) + np.arange(to[-1] if len(to) else 0)].tobytes()
-        ends = np.concatenate([[0], to])[np.cumsum([len(x) // 4 for x in many])].tolist() if many else []
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
 
 class Memo(dict):
     """Ids of words. What is old and not asked for again goes."""
@@ -218,7 +230,8 @@ class Memo(dict):
             ids = np.array(self.automaton.encode_word(word), "<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= MEMO:
-                self.old = dict(self)
+                self.old.clear()
+                self.old |= self
                 self.clear()
             self[word] = ids
         return ids
@@ -229,6 +242,11 @@ def automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
+@lru_cache(2)
+def labels(path: str) -> Labels:
+    return Labels(path)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids packed as little-endian unsigned 32-bit integers. `path` is read on the workers: a vocabulary file that each of them has."""
 
@@ -246,7 +264,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """encoded with a column `decoded`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = labels(path)
         for batch in pieces(batches, "ids", 2 << 20):
             texts = [x.decode("utf-8", "replace") for x in a.decode_all(batch.column(1).fill_null(b"").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
