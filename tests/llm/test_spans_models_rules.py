@@ -43,6 +43,18 @@ def test_suffixes_against_brute_force(spark, chunk):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_suffixes_repeated_in_one_document(spark):
+    rng = random.Random(21)
+    s, m, e = ("".join(rng.choices("abcdefghijklmnop ", k=300)) for _ in range(3))
+    texts = [(0, s[:150]), (1, s + m + s), (2, m[100:190]), (3, e[20:110]), (4, (e + "|") * 5), (4, "x" + e), (5, s[40:] + e[:200])]
+    got = suffixes.deduplicate(docs(spark, texts)).collect()
+    raw = [(i, t.encode()) for i, t in texts]
+    for r in got:
+        one = [(i, t) for i, t in raw if i != r.doc_id or t == r.text.encode()]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == slow_spans(one, 50)[r.doc_id]
+    assert {r.doc_id: r.n_removed for r in got}[1] == 300
+
+
 def test_suffix_order_is_right():
     rng = np.random.default_rng(3)
     for size in (2, 3, 30):
