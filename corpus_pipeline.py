@@ -21,16 +21,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, the one of the smallest doc_id; of rows with one id, one."""
+    """One row of each component of texts whose five-word shingles have a similarity of 0.8 or more, the one of the smallest doc_id."""
     importable(spark)
-    found = simhash.near_duplicates(docs, width=5)
-    by_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") > F.col("component_id")).alias("again"), F.count("*").alias("rows"))
-    by_id = stored(by_id.where("again OR rows > 1"), "again")
-    kept = docs.join(by_id.where("again").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    many = by_id.where("NOT again").select("doc_id")
-    if many.isEmpty():
-        return kept
-    return kept.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumn("_content", F.xxhash64(text, F.octet_length(text)))
+    found = stored(simhash.similar(docs).where("doc_id IS NOT NULL").withColumnRenamed("content", "_content"), "similar")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "_content")).alias("first"))
+    by_row = found.join(first, "root").groupBy("doc_id", "_content").agg(F.max(F.struct("doc_id", "_content") != F.col("first")).alias("again"), F.count("*").alias("rows"))
+    by_row = stored(by_row.where("again OR rows > 1"), "again")
+    on = ["doc_id", "_content"]
+    kept = marked.join(by_row.where("again").select(on), on, "left_anti")
+    many = by_row.where("NOT again").select(on)
+    if not many.isEmpty():
+        kept = kept.join(many, on, "left_anti").select(kept.columns).unionByName(kept.join(many, on, "left_semi").dropDuplicates(on).select(kept.columns))
+    return kept.select(*docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

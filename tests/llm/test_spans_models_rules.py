@@ -11,7 +11,7 @@ from data import docs, prose, rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from transitlake.llm import contamination, language, licenses, quality, queries, suffixes, suffixtree, toxicity
+from transitlake.llm import contamination, language, licenses, quality, queries, simhash, suffixes, suffixtree, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -209,3 +209,40 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs(spark, []), SF).count() == 0
     kept = corpus_pipeline.drop_near_duplicates(spark, edge, SF)
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (7, 11, 12)) == [7]
+
+
+def test_pipeline_near_duplicates_are_those_of_similar_shingles(spark):
+    rng = random.Random(5)
+    line = " ".join(f"l{i}" for i in range(12))
+    texts = []
+    for k in range(60):  # pairs about a similarity of 0.8, and chains of three
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for step in range(3 if k % 3 == 0 else 2):
+            texts.append((len(texts), " ".join(words)))
+            for _ in range(rng.choice([1, 3, 4, 5, 8])):
+                words[rng.randrange(200)] = f"n{rng.randrange(10**6)}"
+    # mostly one repeated line: equal votes, unlike shingles
+    texts += [(500 + k, " ".join([line] * 40 + [f"u{k}x{i}" for i in range(60)])) for k in range(4)]
+    texts += [(600, "one id with a first text"), (600, "and quite another second text of that id"), (601, "a b c d e f"), (601, "A b c d e f")]
+    sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})(t.lower().split()) for _, t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = sorted(min(texts[i][0] for i in range(len(texts)) if root[i] == r) for r in set(root))
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), SF).collect()
+    assert sorted(r.doc_id for r in got) == want and {500, 501, 502, 503} <= set(want) and want.count(600) == 2
+    sims = simhash.alike([np.arange(100, dtype=np.uint64), np.arange(11, 100, dtype=np.uint64), np.arange(30, 130, dtype=np.uint64)], [-1] * 3, 0.8)
+    assert sims == [(1, 0)]
+
+
+def test_bands_meet_at_similarity_of_0_8():
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(500):
+        x = rng.integers(0, 1 << 63, 220).astype(np.uint64)
+        a, b = np.unique(x[:200]), np.unique(np.concatenate([x[:178], x[200:222]]))  # 178 of 220: 0.809
+        met += bool((simhash.band_keys(a) == simhash.band_keys(b)).any())
+    assert met >= 490

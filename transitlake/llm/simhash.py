@@ -30,25 +30,38 @@ BITS = 64
 BLOCK = 2048
 #: Rows that a task compares at once.
 CHUNK = 200_000
+#: Bands of least hashes, and the hashes in each: 0.997 of the pairs at a similarity of 0.8 share a band.
+BANDS, ROWS = 8, 3
+MASKS, FACTORS = np.random.default_rng(42).integers(1, (1 << 64) - 1, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
-def fingerprint_words(words: list[bytes], width: int) -> int:
-    """Bits set in over half of the XXH64 hashes (seed 42) of the shingles."""
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 hashes (seed 42) of the shingles."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
+    n = len(h)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, n, 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_words(words: list[bytes], width: int) -> int:
+    """The fingerprint of the shingles."""
+    return majority(shingle_hashes(words, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp): signed 64-bit fingerprints of the lower-cased (A-Z) words."""
 
@@ -183,5 +196,106 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key of each band: sets of similarity s have one of them in common with a probability of 1 - (1 - s ** ROWS) ** BANDS."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.min([((shingles[i : i + (1 << 14), None] ^ MASKS) * FACTORS).min(0) for i in range(0, len(shingles), 1 << 14)], axis=0).reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        key = (key ^ least[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def shingled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, content, fp, node, bands, shingles): node tells different sets of shingles apart by a 64-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t", 1 << 20):
+            at, data = utf8(batch.column("t"))
+            fps, node, bands, sets = [], [], [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                h = shingle_hashes(data[a:b].tobytes().lower().split(), width)
+                own = np.unique(h)
+                fps.append(majority(h))
+                sets.append(own.tobytes())
+                node.append(xxhash.xxh64_intdigest(sets[-1], 42))
+                bands.append(band_keys(own))
+            longs = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, node))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "content", "fp", "node", "bands", "shingles"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text, F.octet_length(text)).alias("content"), text.alias("t"))
+    return rows.mapInArrow(run, f"id {kind}, content long, fp long, node long, bands array<long>, shingles binary")
+
+
+def alike(sets: list[np.ndarray], block: list[int], least: float) -> list[tuple[int, int]]:
+    """Pairs of similarity `least` or more that join all such; of a pair of blocks, only sets of unlike blocks meet."""
+    root = list(range(len(sets)))
+    out = []
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if root[i] == root[j] or (block[i] == block[j] >= 0) or min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= least * (len(x) + len(y) - both) - 1e-9:
+                out.append((i, j))
+                old, new = root[i], root[j]
+                root[: i + 1] = [new if r == old else r for r in root[: i + 1]]
+    return out
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, distance: int = 4, block: int = 1024) -> DataFrame:
+    """(id, content, root): components of rows over sets of shingles whose Jaccard similarity is `least` or more.
+
+    Sets meet where they share a band of minima, or where their fingerprints are in one component of
+    near_duplicates; groups of the same members meet once. Each link is checked on whole sets.
+    """
+    own = stored(shingled(docs, id_col, text_col, width).drop("shingles"), "nodes")
+    fps = own.select("fp").distinct()
+    joined = components(links(fps, distance)).withColumnRenamed("node", "fp")
+    by_fp = own.select("node", "fp").join(joined, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
+    keys = stored(own.select("node", F.explode("bands").alias("key")).unionByName(by_fp).distinct(), "keys")
+    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("low")).where("size > 1")
+    groups = groups.groupBy("size", "members", "low").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / block).cast("int").alias("n"))
+    met = stored(keys.join(groups, "key"), "met")
+    # shingles take more room than texts: those of texts that meet others are made anew, once per set
+    chosen = own.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("content").alias("_chosen")).select("_chosen")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    needed = docs.select(id_col, text_col).join(stored(chosen, "chosen"), F.xxhash64(text, F.octet_length(text)) == F.col("_chosen"), "left_semi")
+    sets = shingled(needed, id_col, text_col, width).select("node", "shingles").dropDuplicates(["node"])
+    n, place = F.col("n"), F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(place, j).cast("long") * n + F.greatest(place, j))
+    dealt = met.join(sets, "node").select("node", "shingles", "key", "n", place.alias("own"), F.explode(pairs).alias("pair"))
+    inner = F.floor(F.col("pair") / n) == F.pmod(F.col("pair"), n)
+    dealt = dealt.select("node", F.xxhash64("key", "pair").alias("key"), F.when(inner, -1).otherwise(F.col("own")).alias("block"), "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        last = None
+
+        def out() -> pa.RecordBatch:
+            found = alike([np.frombuffer(x[2], np.uint64) for x in held], [x[1] for x in held], least)
+            return pa.RecordBatch.from_arrays([pa.array([held[p[i]][0] for p in found], pa.int64()) for i in range(2)], ["a", "b"])
+
+        for batch in batches:
+            for node, key, side, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if key != last:
+                    if len(held) > 1:
+                        yield out()
+                    held.clear()
+                    last = key
+                held.append((node, side, raw))
+        if len(held) > 1:
+            yield out()
+
+    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    ends = own.select("id", "content", "node").join(components(found), "node", "left")
+    return ends.select(F.col("id").alias(id_col), "content", F.coalesce("root", "node").alias("root"))
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
