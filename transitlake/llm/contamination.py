@@ -61,8 +61,8 @@ def windows(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df.withColumn("w", F.explode(F.concat(*each))).select(*[c for c in df.columns if c not in ("words", "n_words")], "w.place", "w.length", "w.run")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5) -> DataFrame:
-    """(id, n_words, n_hit, items): words, words inside any item's window, and the items with windows in the text."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5, hash_col: str | None = None) -> DataFrame:
+    """(id, n_words, n_hit, items): words, words inside any item's window, and the items with windows in the text; under `hash_col`, if given, the text's 64-bit hash, which tells rows of one id apart."""
     items = benchmark.select(F.col(item_col).alias("item"), item_words(F.col(item_text)).alias("words")).withColumn("n_words", F.size("words")).where("n_words > 0")
     items = stored(items, "items")
     short = [r[0] for r in items.where(F.col("n_words") < window).select("n_words").distinct().orderBy("n_words").collect()]  # under `window` numbers
@@ -95,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = hits.select(F.col("id").alias("h_id"), F.col("same").alias("h_same"), F.aggregate("spans", start, extend)["hit"].alias("n_hit"), "items")
     hits = stored(hits, "hits")
     out = prints.select("id", "same", "n_words").join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("same") == F.col("h_same")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast(f"array<{dict(benchmark.dtypes)[item_col]}>")).alias("items"))
+    return out.select(F.col("id").alias(id_col), *([F.col("same").alias(hash_col)] if hash_col else []), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast(f"array<{dict(benchmark.dtypes)[item_col]}>")).alias("items"))
 
 
 def contaminated() -> Column:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import pieces, stored, utf8
+from .common import importable, pieces, private, stored, utf8
 
 BUCKETS = 1 << 16
 #: Bytes of text looked at together: their subwords and logits take about 60 times as much.
@@ -82,14 +82,16 @@ def logits(model: Model, at: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 def sample(docs: DataFrame, keys: Column, label: str, per_label: int) -> DataFrame:
     """About per_label rows of each label, the same ones on each run: those with the least hashes of keys."""
-    share = docs.groupBy(label).agg((F.lit(float(per_label)) / F.count("*")).alias("share")).withColumnRenamed(label, "of")
+    of, part = private(docs, "of", "share")
+    share = docs.groupBy(F.col(label).alias(of)).agg((F.lit(float(per_label)) / F.count("*")).alias(part))
     share = stored(share, "share")  # a row for each label: its true size lets Spark leave the texts where they are
     chance = F.pmod(F.xxhash64(keys, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(share, F.col(label) == F.col("of")).where(chance < F.col("share")).drop("of", "share")
+    return docs.join(share, F.col(label) == F.col(of)).where(chance < F.col(part)).drop(of, part)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 400, size: int = 16, epochs: int = 6, rate: float = 0.5, most_cutoff: float = 0.5, seed: int = 1) -> Model:
     """Train on a sample of the labelled rows of docs."""
+    importable(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(label_col).alias("label")).where("label IS NOT NULL AND t IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,16 +143,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return Model(labels, table, bias, temperature, float(min(most_cutoff, p.max(1)[right].min() * 0.999)) if right.any() else most_cutoff)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and accepted (columns of those names are replaced)."""
-    names = ("lang_pred", "score", "accepted")
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """docs with the language, its score and whether it is accepted, under `names`; columns of docs that have these names are replaced, so give others to keep them."""
+    importable(docs.sparkSession)
     docs = docs.drop(*names)
     at_text = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in pieces(batches, text_col, PIECE):
+        for batch in pieces(batches, at_text, PIECE):
             at, data = utf8(batch.column(at_text))
             known = has_letter(at, data) & bool(m.labels)
             lang, score = np.full(len(known), "und", object), np.zeros(len(known))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import pieces, stored, utf8
+from .common import importable, pieces, stored, utf8
 
 BITS = 64
 #: Members of a variant that are compared in one block.
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint_words(data[a:b].tobytes().lower().split(), width) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
 
+    importable(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
@@ -165,23 +166,24 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) of all linked nodes by large-star and small-star rounds (Kiveris and others, 2014), until nothing moves."""
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, root) of all linked nodes by large-star and small-star rounds (Kiveris and others, 2014), until nothing moves; an error if that takes over `rounds` of them."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     last = None
     for _ in range(rounds):
+        # least neighbours are stored apart from the joins, so that Spark can split the joins at nodes with many links
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = stored(small, "stars")
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"), "low")  # other nodes keep their links
+        large = edges.join(low.toDF("of", "m"), F.col("b") == F.col("of"), "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = stored(large.where("a <> b").distinct(), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        edges = stored(small.where("a <> b").distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         if now == last and now[0] == now[2]:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -191,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links(nodes.select("fp"), distance))
     ends = nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ends = stored(ends, "ends")
-    least = ends.groupBy("root").agg(F.min("low").alias("component_id"))
+    least = stored(ends.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     named = stored(ends.join(least, "root").select("fp", "component_id"), "named")
     return own.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
@@ -225,6 +227,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             longs = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, node))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "content", "fp", "node", "bands", "shingles"])
 
+    importable(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text, F.octet_length(text)).alias("content"), text.alias("t"))
