@@ -1,61 +1,66 @@
 """A corpus pipeline of five stages, each on what the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's docs. All but the last return the columns of docs. Rows with a null doc_id
-can't be told apart: stages that decide by id keep them.
+again as the next one's docs. All but the last return the columns of docs, whatever else these are
+called. Rows are judged by doc_id and text, so rows that share an id but not a text have their own
+verdicts; a null doc_id comes after all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from transitlake.llm import bpe, contamination, language, queries, simhash, suffixes
-from transitlake.llm.common import importable, scratch, stored
+from transitlake.llm import contamination, language, queries, simhash, suffixes
+from transitlake.llm.common import private, scratch, stored
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted with enough confidence."""
-    importable(spark)
-    model = language.fit(docs)
-    return language.predict(docs, model).where("accepted").select(*docs.columns)
+    names = tuple(private(docs, "language", "score", "accepted"))
+    return language.predict(docs, language.fit(docs), names=names).where(F.col(names[2])).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts whose five-word shingles have a similarity of 0.8 or more, the one of the smallest doc_id."""
-    importable(spark)
+    """One row of each component of texts whose five-word shingles have a similarity of 0.8 or more: that of the smallest doc_id, then of the smallest hash of the text, then of all columns."""
+    id_, content = private(docs, "id", "content")
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_content", F.xxhash64(text, F.octet_length(text)))
-    found = stored(simhash.similar(docs).where("doc_id IS NOT NULL").withColumnRenamed("content", "_content"), "similar")
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "_content")).alias("first"))
-    by_row = found.join(first, "root").groupBy("doc_id", "_content").agg(F.max(F.struct("doc_id", "_content") != F.col("first")).alias("again"), F.count("*").alias("rows"))
+    marked = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(suffixes.LAST)), content: F.xxhash64(text, F.octet_length(text))})
+    found = simhash.similar(marked, id_col=id_).toDF("id", "content", "root")
+    found = stored(found.groupBy("id", "content", "root").agg(F.count("*").alias("rows")), "similar")
+    first = stored(found.groupBy("root").agg(F.min(F.struct("id", "content")).alias("first")), "first")
+    by_row = found.join(first, "root").select(F.col("id").alias(id_), F.col("content").alias(content), (F.struct("id", "content") != F.col("first")).alias("again"), "rows")
     by_row = stored(by_row.where("again OR rows > 1"), "again")
-    on = ["doc_id", "_content"]
-    kept = marked.join(by_row.where("again").select(on), on, "left_anti")
-    many = by_row.where("NOT again").select(on)
-    if not many.isEmpty():
-        kept = kept.join(many, on, "left_anti").select(kept.columns).unionByName(kept.join(many, on, "left_semi").dropDuplicates(on).select(kept.columns))
-    return kept.select(*docs.columns)
+    kept = marked.join(by_row.select(id_, content), [id_, content], "left_anti").select(*docs.columns)
+    many = by_row.where("NOT again").select(id_, content)
+    if many.isEmpty():
+        return kept
+    one = marked.join(many, [id_, content], "left_semi").groupBy(id_, content).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return kept.unionByName(one.select("row.*"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 50 bytes that a document of a smaller id has; documents of which nothing is left go."""
-    importable(spark)
-    done = suffixes.deduplicate(docs, decoded=True).where("n_removed < n_bytes OR n_bytes = 0")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return done.select(*[text.alias("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else c for c in docs.columns])
+    n_bytes, n_removed, _, kept, _ = suffixes.result_columns(docs)
+    done = suffixes.deduplicate(docs, decoded=True).where(F.col(n_removed).eqNullSafe(0) | (F.col(n_removed) < F.col(n_bytes)))
+    cut = F.col(n_removed) > 0
+    new = {"text": F.when(cut, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(cut, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
+    return done.select(*[new[c].alias(c) if c in new else c for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with the benchmark."""
-    importable(spark)
-    found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = stored(found.where(contamination.contaminated()).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    id_, hash_ = private(docs, "id", "hash")
+    found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hash_col=hash_)
+    bad = stored(found.where(contamination.contaminated()).select(F.col("doc_id").alias(id_), hash_).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (text_hash() == F.col(hash_)), "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text."""
-    importable(spark)
     return queries.token_digests(docs, queries.vocabulary())
 
 
