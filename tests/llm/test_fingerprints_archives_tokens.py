@@ -108,16 +108,75 @@ def test_bpe_against_the_tokenizers_library(spark):
     assert bpe.decode(bpe.encode(docs(spark), path), path).count() == len(rows())
 
 
-def test_gadgets_agree_with_merging_in_order():
-    a = bpe.automaton(queries.vocabulary())
-    rank = {}
-    for (u, v), time in a.cut.items():
-        rank[u, v] = (time, next(w for w in (a.trie.get(a.label[u] + a.label[v], -1),) if w >= 0))
+def merged_in_order(ids, rank):
+    while best := min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None):
+        i = next(i for i, p in enumerate(zip(ids, ids[1:])) if rank.get(p) == best)
+        ids[i : i + 2] = [best[1]]
+    return ids
+
+
+def test_automaton_agrees_with_merging_in_order():
+    c = bpe.compile_vocabulary(queries.vocabulary())
+    a = bpe.automaton(c)
+    assert (np.diff(c.arcs) > 0).all() and len(c.arcs) == len(c.target) and c.target.max() < len(c.emitted) == len(c.cuts) - 1
+    rank = {(u, v): (time, w) for time, (u, v, w) in enumerate(c.merges.tolist())}
+    byte = {x[0]: i for i, x in a.label.items() if len(x) == 1}
     rng = random.Random(2)
     for _ in range(500):
         word = bytes(rng.choice(b"theinraos tion") for _ in range(rng.randint(1, 24)))
-        ids = [a.trie[bytes([b])] for b in word]
-        while best := min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None):
-            i = next(i for i, p in enumerate(zip(ids, ids[1:])) if rank.get(p) == best)
-            ids[i : i + 2] = [best[1]]
-        assert a.encode_word(word) == ids
+        assert a.encode_word(word) == merged_in_order([byte[b] for b in word], rank)
+
+
+def test_states_are_those_of_the_gadgets():
+    """A literal construction, state by state, on small merge lists."""
+    rng, done = random.Random(4), 0
+    for _ in range(150):
+        label, merges, seen = {i: bytes([97 + i]) for i in range(3)}, [], set()
+        for _ in range(rng.randint(1, 9)):
+            u, v = rng.choice(list(label)), rng.choice(list(label))
+            if label[u] + label[v] in label.values() or (u, v) in seen:
+                continue
+            seen.add((u, v))
+            merges.append((u, v, len(label)))
+            label[len(label)] = label[u] + label[v]
+        rank = {(u, v): (time, w) for time, (u, v, w) in enumerate(merges)}
+        if any(merged_in_order([b - 97 for b in label[w]], rank) != [w] for _, _, w in merges):
+            continue  # a token that its own bytes don't give
+        done += 1
+        arcs = {0: {0: 0, 1: 0, 2: 0}}  # state -> token -> state
+        for u, v, w in merges:
+            reached = {x[u] for x in arcs.values() if u in x}
+            copies = {p: len(arcs) + i for i, p in enumerate(sorted(p for p in reached if v in arcs[p]))}
+            for p, new in copies.items():
+                arcs[new] = {t: q for t, q in arcs[p].items() if t != v}
+            led = {p: arcs[p][v] for p in copies}
+            for x in arcs.values():
+                if x.get(u) in copies:
+                    x[w] = led[x[u]]
+                    x[u] = copies[x[u]]
+        c = bpe.compiled_of({}, label, merges, str(rng.random()))
+        a = bpe.Automaton(c)
+        for x, y in itertools.product(label, label):
+            assert a.gadgets.arc(x, y) == any(y in arcs[q[x]] for q in arcs.values() if x in q)
+        for n in range(1, 9):
+            for _ in range(40):
+                word = bytes(rng.choice(b"abc") for _ in range(n))
+                want = merged_in_order([b - 97 for b in word], rank)
+                assert a.encode_word(word) == want
+                q = 0
+                for t in want:
+                    assert t in arcs[q]
+                    q = arcs[q][t]
+    assert done >= 30
+
+
+def test_all_code_points_are_encoded_as_the_library_does():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary()
+    slow, a = tokenizers.Tokenizer.from_file(path), bpe.automaton(bpe.compile_vocabulary(path))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["a".join(map(chr, points[i : i + 997])) for i in range(0, len(points), 997)]
+    want = slow.encode_batch(texts, add_special_tokens=False)
+    for i in range(0, len(texts), 100):
+        for got, w in zip(a.encode_all(texts[i : i + 100]), want[i : i + 100]):
+            assert np.frombuffer(got, "<u4").tolist() == w.ids

@@ -1,11 +1,16 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The automaton reads tokens, its states are what may follow the token just read. It starts with
-one state that loops on every byte. Each merge (u, v -> w), in order, applies the merge gadget:
-the state behind u is split, its copy loses the arc v (so u v can no longer be spelled), every
-state with an arc u gets an arc w, and w leads where v led. A token's arcs all lead to one state,
-so the split-off copies are kept as differences: `origin` (the state copied, and when) and `cut`
-(the arc lost, and when). A word has just one path that spells it: its tokenization.
+The automaton over tokens has as states what may follow the token just read. It starts with one
+state that loops on every byte. Each merge (u, v -> w), in order, applies the merge gadget: the state
+behind u is split, its copy loses the arc v (so u v can no longer be spelled), every state with an arc
+u gets an arc w, and w leads where v led. A token's arcs all lead to one state, so the split-off
+copies are kept as differences: `origin` (the state copied, and when) and `cut` (the arc lost, and
+when). A word has just one path that spells it: its tokenization, and so has each prefix of it.
+
+That automaton is compiled into one over bytes, by reading each token as its bytes (the usual subset
+construction): states are numbered, arcs lie in arrays, and each state emits the one token that ends
+there. The driver compiles what the labels of the vocabulary need and broadcasts it; a word takes one
+look-up in the table for each byte. Decoding emits the labels of the arcs that the ids name.
 
 Nulls are empty texts; empty texts have no tokens; repeated rows and null ids are encoded row by
 row; other columns are dropped. Long words cost time in proportion to their length.
@@ -13,15 +18,17 @@ row; other columns are dropped. Long words cost time in proportion to their leng
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import pieces
+from .common import importable, pieces
 
 LETTER, NUMBER, SPACE, END, OTHER = 1, 2, 3, 4, 0
 #: White space in Unicode, and the endings that split off after an apostrophe.
@@ -29,6 +36,8 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Words kept with their ids in each worker.
 MEMO = 100_000
+#: States of the automaton that a worker holds.
+LIMIT = 200_000
 
 
 @lru_cache(1)
@@ -83,25 +92,28 @@ def split(texts: list[str]) -> tuple[list[bytes], list[int]]:
     return words, [0, *(last + 1).tolist()]
 
 
-def read(path: str) -> tuple[dict, dict[str, int], dict[int, bytes]]:
-    """The vocabulary file, its special tokens, and the bytes that each id's arc is labelled with."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    names = byte_names()
-    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-    label = {i: bytes(names[x] for x in t) for t, i in spec["model"]["vocab"].items() if t not in special}
-    return spec, special, label | {i: t.encode() for t, i in special.items()}
+@dataclass
+class Compiled:
+    """The automaton as arrays: what the gadgets did, and the arcs over bytes. It is as large as the vocabulary makes it."""
+
+    digest: str
+    special: dict[str, int]
+    size: np.ndarray  # bytes of each id's label
+    flat: np.ndarray  # all labels, one after another
+    merges: np.ndarray  # (u, v, w) in order
+    arcs: np.ndarray  # state * 256 + byte, rising
+    target: np.ndarray
+    emitted: np.ndarray  # by state: the token that ends there
+    cuts: np.ndarray  # by state: where its parts begin, and where the last ends
+    parts: np.ndarray  # (trie node, token before it)
 
 
 class Labels:
     """What arcs emit: all that decoding needs of the automaton."""
 
-    def __init__(self, path: str):
-        _, _, label = read(path)
-        parts = [label.get(i, b"") for i in range(max(label) + 1)]
-        self.size = np.array([len(x) for x in parts], np.int64)
+    def __init__(self, size: np.ndarray, flat: np.ndarray):
+        self.size, self.flat = size, flat
         self.place = np.cumsum(self.size) - self.size
-        self.flat = np.frombuffer(b"".join(parts), np.uint8)
 
     def decode_all(self, many: list[bytes]) -> list[bytes]:
         """The labels of the arcs that each list of ids names, one after another."""
@@ -113,27 +125,19 @@ class Labels:
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
-class Automaton:
-    def __init__(self, path: str):
-        spec, self.special, self.label = read(path)
-        vocab = spec["model"]["vocab"]
-        self.born = {i: 0 for t, i in vocab.items() if t not in self.special and len(self.label[i]) == 1}
+class Gadgets:
+    """The automaton over tokens, one merge gadget after another."""
+
+    def __init__(self, single: list[int], merges: list[tuple[int, int, int]]):
+        self.born = dict.fromkeys(single, 0)
         self.origin: dict[int, tuple[int, int]] = {}
         self.cut: dict[tuple[int, int], int] = {}
-        for time, merge in enumerate(spec["model"]["merges"], 1):
-            u, v = merge if isinstance(merge, list) else merge.split(" ")
-            self.gadget(vocab[u], vocab[v], vocab[u + v], time)
-        self.trie = {x[:j]: -1 for x in map(self.label.get, self.born) for j in range(1, len(x) + 1)}
-        self.trie |= {self.label[i]: i for i in self.born}
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.words = Memo(self)
-
-    def gadget(self, u: int, v: int, w: int, time: int) -> None:
-        if w in self.born:
-            raise ValueError(f"token {w} comes of two merges")
-        self.cut[u, v] = time
-        self.origin[w] = (u, v)
-        self.born[w] = time
+        for time, (u, v, w) in enumerate(merges, 1):
+            if w in self.born:
+                raise ValueError(f"token {w} comes of two merges")
+            self.cut[u, v] = time  # the split-off copy of the state behind u has no arc v
+            self.origin[w] = (u, v)  # w leads where v led, and starts where u starts
+            self.born[w] = time
 
     def arc(self, x: int, y: int, time: float = 1 << 60) -> bool:
         """Whether the state behind x has an arc y after `time` merges."""
@@ -151,49 +155,99 @@ class Automaton:
             else:  # y's arc came to the states that read its first half
                 y, time = origin[y][0], b
 
+
+class Automaton:
+    """The automaton over bytes. A state is what the bytes read so far leave open: the parts of tokens that
+    may go on (a node of the trie of labels), each with the token before it, and the token that ends here,
+    of which there is just one. Its arcs are a table; arcs that no label of the vocabulary needs are added
+    when a word first takes them, and forgotten when there are over LIMIT states."""
+
+    def __init__(self, compiled: Compiled):
+        self.special = compiled.special
+        self.size = compiled.size.tolist()
+        flat, self.label = compiled.flat.tobytes(), {}
+        at = 0
+        for i, n in enumerate(self.size):
+            if n:
+                self.label[i] = flat[at : at + n]
+            at += n
+        ordinary = {i: x for i, x in self.label.items() if i not in set(self.special.values())}
+        self.trie: dict[int, int] = {}
+        self.token = [-1]
+        self.inner = [True]  # whether a node has children
+        for i, x in ordinary.items():
+            node = 0
+            for b in x:
+                below = self.trie.get(node << 8 | b)
+                if below is None:
+                    below = self.trie[node << 8 | b] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+                    self.inner[node] = True
+                node = below
+            self.token[node] = i
+        self.gadgets = Gadgets([i for i, x in ordinary.items() if len(x) == 1], list(map(tuple, compiled.merges.tolist())))
+        self.base = compiled
+        self.words = Memo(self)
+        self.reset()
+
+    def reset(self) -> None:
+        c = self.base
+        self.step = dict(zip(c.arcs.tolist(), c.target.tolist()))
+        self.emitted = c.emitted.tolist()
+        cuts, parts = c.cuts.tolist(), list(map(tuple, c.parts.tolist()))
+        self.parts = [tuple(parts[a:b]) for a, b in zip(cuts, cuts[1:])]
+        self.number = {x: i for i, x in enumerate(self.parts)}
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def add(self, state: int, byte: int) -> int:
+        """The arc that the gadgets imply."""
+        parts, token = [], -1
+        for node, x in self.parts[state]:
+            below = self.trie.get(node << 8 | byte)
+            if below is None:
+                continue
+            y = self.token[below]
+            if y >= 0 and token < 0:
+                ok = x < 0 or self.known.get((x, y))
+                if ok is None:
+                    ok = self.known[x, y] = self.gadgets.arc(x, y)
+                if ok:
+                    token = y
+            if self.inner[below]:
+                parts.append((below, x))
+        if token < 0:
+            raise ValueError(f"no token can end after byte {byte}")
+        parts.append((0, token))
+        key = tuple(parts)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.parts)
+            self.parts.append(key)
+            self.emitted.append(token)
+        self.step[state << 8 | byte] = to
+        return to
+
+    def run(self, word: bytes) -> list[int]:
+        """The token that ends at each byte of the word: one look-up in the table for each."""
+        step, emitted, out, state = self.step, self.emitted, [], 0
+        for b in word:
+            to = step.get(state << 8 | b)
+            if to is None:
+                to = self.add(state, b)
+            state = to
+            out.append(emitted[state])
+        return out
+
     def encode_word(self, word: bytes) -> list[int]:
-        """The ids on the one path that spells the word. Long arcs come first; as no two paths spell the same part, no place is tried twice."""
-        n, trie, arcs = len(word), self.trie, self.arcs
-        whole = trie.get(word, -1)
-        if whole >= 0:
-            return [whole]
-        path: list[int] = []
-        stack: list[list[tuple[int, int]]] = []
-        seen = {0}
-        i, x = 0, -1
-        while True:
-            options = []
-            for j in range(i + 1, n + 1):
-                y = trie.get(word[i:j])
-                if y is None:
-                    break
-                if y >= 0 and j not in seen:
-                    options.append((j, y))
-            stack.append(options)
-            while True:
-                options = stack[-1]
-                if not options:
-                    stack.pop()
-                    path.pop()
-                    x = path[-1] if path else -1
-                    continue
-                j, y = options.pop()
-                if j in seen:
-                    continue
-                if x >= 0:
-                    ok = arcs.get((x, y))
-                    if ok is None:
-                        if len(arcs) > 200_000:
-                            arcs.clear()
-                        ok = arcs[x, y] = self.arc(x, y)
-                    if not ok:
-                        continue
-                break
-            path.append(y)
-            if j == n:
-                return path
-            seen.add(j)
-            i, x = j, y
+        """The ids on the one path that spells the word, read off from its end."""
+        if len(self.parts) > LIMIT:
+            self.reset()
+        ends, size, i, path = self.run(word), self.size, len(word), []
+        while i:
+            path.append(ends[i - 1])
+            i -= size[path[-1]]
+        return path[::-1]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Strings of special tokens get their ids."""
@@ -237,21 +291,52 @@ class Memo(dict):
         return ids
 
 
-@lru_cache(2)
-def automaton(path: str) -> Automaton:
-    return Automaton(path)
+def compiled_of(special: dict[str, int], label: dict[int, bytes], merges: list[tuple[int, int, int]], digest: str) -> Compiled:
+    """The automaton over the labels of a vocabulary, from its one starting state on."""
+    ids = [label.get(i, b"") for i in range(max(label, default=-1) + 1)]
+    c = Compiled(digest, special, np.array([len(x) for x in ids], np.int64), np.frombuffer(b"".join(ids), np.uint8), np.array(merges, np.int64).reshape(-1, 3), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([-1]), np.array([0, 1]), np.array([[0, -1]]))
+    a = Automaton(c)
+    for i in sorted(label):
+        if i not in special.values():
+            a.run(label[i])
+    arcs = np.array(sorted(a.step), np.int64)
+    c.arcs, c.target, c.emitted = arcs, np.array([a.step[x] for x in arcs.tolist()], np.int64), np.array(a.emitted, np.int64)
+    c.cuts = np.concatenate([[0], np.cumsum([len(x) for x in a.parts])])
+    c.parts = np.array([y for x in a.parts for y in x], np.int64)
+    return c
 
 
 @lru_cache(2)
-def labels(path: str) -> Labels:
-    return Labels(path)
+def compile_vocabulary(path: str) -> Compiled:
+    """The automaton of a vocabulary file that the driver can read."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    spec = json.loads(raw)
+    names, vocab = byte_names(), spec["model"]["vocab"]
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+    label = {i: bytes(names[x] for x in t) for t, i in vocab.items() if t not in special} | {i: t.encode() for t, i in special.items()}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    return compiled_of(special, label, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], hashlib.sha256(raw).hexdigest())
+
+
+#: Automata by the digests of their vocabularies, kept while a worker lives.
+BUILT: dict[str, Automaton] = {}
+
+
+def automaton(compiled: Compiled) -> Automaton:
+    if compiled.digest not in BUILT:
+        BUILT.clear()
+        BUILT[compiled.digest] = Automaton(compiled)
+    return BUILT[compiled.digest]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): ids packed as little-endian unsigned 32-bit integers. `path` is read on the workers: a vocabulary file that each of them has."""
+    """(id, ids): ids packed as little-endian unsigned 32-bit integers. `path` is read on the driver; the workers get the compiled automaton."""
+    importable(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(compile_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = automaton(shared.value)
         for batch in pieces(batches, "t", 1 << 20):
             ids = a.encode_all(batch.column(1).fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
@@ -262,9 +347,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """encoded with a column `decoded`."""
+    importable(encoded.sparkSession)
+    compiled = compile_vocabulary(path)
+    shared = encoded.sparkSession.sparkContext.broadcast((compiled.size, compiled.flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = labels(path)
+        a = Labels(*shared.value)
         for batch in pieces(batches, "ids", 2 << 20):
             texts = [x.decode("utf-8", "replace") for x in a.decode_all(batch.column(1).fill_null(b"").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
