@@ -115,7 +115,7 @@ def test_lm_base_is_exact_and_tree_is_a_distribution(spark):
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     c = Counter(w for i, t in texts if keep(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    got = suffixtree.scores(docs(spark, texts), ~language.held_out(F.col("doc_id"), 5, 1), top=5, gain=1.0, p_min=1e-4).collect()
+    got = suffixtree.scores(docs(spark, texts), ~language.held_out(F.col("doc_id"), 5, 1), top=5, gain=1.0, least=5).collect()
     assert len(got) == len(texts)
     for r in got:
         w = tokens(texts[r.doc_id][1])
@@ -123,24 +123,57 @@ def test_lm_base_is_exact_and_tree_is_a_distribution(spark):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
     prose_rows = [r for r in got if r.n_tokens > 20]
     assert sum(r.score for r in prose_rows) > sum(r.base_score for r in prose_rows)
-    tree = suffixtree.fit(docs(spark, texts), depth=3, p_min=1e-4, gain=1.0)
-    symbol, child, logp = tree.tables()
-    unseen = 256 - len(np.unique(tree.row_next[tree.row_depth == 0]))
-    p = 10.0 ** logp.astype(float)
-    assert np.allclose(p[:, :-1].sum(1) + unseen * p[:, -1], 1, atol=1e-4)
-    # the state of a byte is the longest kept suffix of what precedes it
-    kept = {(d, c) for d, c in zip(tree.row_depth.tolist(), tree.row_context.tolist())}
-    text = b"\n\n\nthe stone\n"
-    total = 0.0
-    for i in range(3, len(text)):
-        node = 0
-        for d in range(1, 4):
-            if (d, int.from_bytes(text[i - d : i], "big")) not in kept:
-                break
-            node = child[node, symbol[text[i - d]]]
-        total += logp[node, symbol[text[i]]]
-    assert suffixtree.score_bytes([[b"the", b"stone"]], 3, symbol, child, logp)[0] == pytest.approx(total, rel=1e-5)
     assert suffixtree.scores(docs(spark, []), F.lit(True)).count() == 0
+    with pytest.raises(ValueError):
+        suffixtree.fit(docs(spark, texts), depth=7)
+
+
+def slow_tree(train, depth, least, gain, strength):
+    """Kept contexts and a function for the log10 probability of a text, spelled out."""
+    counts = {}
+    for t in train:
+        b = b"\n" * depth + b" ".join(t) + b"\n"
+        for i in range(depth, len(b)):
+            for d in range(depth + 1):
+                counts.setdefault(b[i - d : i], Counter())[b[i]] += 1
+    kept = {b""}
+    for s, n in counts.items():
+        if s and sum(n.values()) >= least:
+            up = counts[s[1:]]
+            g = sum(k * math.log(k * sum(up.values()) / (sum(n.values()) * up[x])) for x, k in n.items())
+            if g >= gain:
+                kept |= {s[i:] for i in range(len(s) + 1)}
+    seen = set(counts.get(b"", {}))
+
+    def p(s, x):
+        n = counts.get(s, Counter())
+        if not s:
+            return (n[x] + 0.5) / (sum(n.values()) + 0.5 * (len(seen) + max(256 - len(seen), 1)))
+        return (n[x] + strength * p(s[1:], x)) / (sum(n.values()) + strength)
+
+    def score(t):
+        b, total = b"\n" * depth + b" ".join(t) + b"\n", 0.0
+        for i in range(depth, len(b)):
+            s = next(b[i - d : i] for d in range(depth, -1, -1) if b[i - d : i] in kept)
+            total += math.log10(p(s, b[i]))
+        return total
+
+    return kept, score
+
+
+@pytest.mark.parametrize("most", [10**6, 40])
+def test_tree_against_brute_force(spark, most):
+    texts = [(i, prose(random.Random(i), 25)) for i in range(30)] + [(50, "UNSEEN words É")]
+    words = lambda t: t.encode().lower().split()
+    train = [words(t) for i, t in texts if i < 25]
+    kept, score = slow_tree(train, 3, 8, 2.0, 4.0)
+    tree = suffixtree.fit(docs(spark, [x for x in texts if x[0] < 25]), depth=3, least=8, gain=2.0)
+    found = {(r.depth, r.context) for r in tree.rows.select("depth", "context").distinct().collect()}
+    assert found == {(len(s), int.from_bytes(s, "big")) for s in kept} and len(kept) > 100
+    assert (len(list(suffixtree.parts_of(tree, most))) > 1) == (most == 40)
+    got = suffixtree.scores(docs(spark, texts), F.col("doc_id") < 25, depth=3, least=8, gain=2.0, most=most).collect()
+    for r in got:
+        assert r.score == pytest.approx(score(words(dict(texts)[r.doc_id])), rel=1e-4)
 
 
 @pytest.mark.parametrize("name", ["op2_warc", "op8_quality", "op9_decontamination"])

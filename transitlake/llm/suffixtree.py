@@ -2,12 +2,15 @@
 
 A text is its lower-cased (A-Z) words, joined by single spaces, and one end; the tree predicts it
 byte by byte. Contexts are the up to `depth` bytes before. One counting pass over all training
-texts gives every (depth + 1)-gram; shorter contexts come by summing. A context is kept if its share
-of the corpus is at least `p_min` and what it says differs from what its suffix says by a gain in
-log-likelihood of `gain` nats or more; suffixes of kept contexts stay too. Next-byte distributions
-are smoothed towards those of the suffix, the empty context's by one half. A byte is scored in the
-state of the longest kept suffix of what precedes it. p_min bounds the tree: at most depth / p_min
-contexts, whatever the corpus, so it can be broadcast.
+texts gives every (depth + 1)-gram; shorter contexts come by summing. A context is kept if it occurs
+`least` times or more and what it says differs from what its suffix says by a gain in log-likelihood
+of `gain` nats or more; suffixes of kept contexts stay too. So the tree grows with the corpus.
+Next-byte distributions are smoothed towards those of the suffix, the empty context's by one half. A
+byte is scored in the state of the longest kept suffix of what precedes it.
+
+The kept tree is a stored table. It is cut by the last two bytes of contexts into parts of at most
+`most` contexts (or one pair of bytes); each part, with the contexts of under two bytes, is
+broadcast in a pass of its own over the texts, which scores the bytes whose context it holds.
 
 The unigram base needs the count of every training word: all are counted by shuffle; the `top` most
 frequent (a fixed number) are looked up in memory and the others by join.
@@ -19,6 +22,7 @@ held out). Without training texts every count is 0. Other columns are dropped.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import pieces, stored, utf8
+from .common import importable, pieces, stored, utf8
 
 END = 10  # the byte after a text, and before it
 #: Distinct words or grams that a task holds before it hands its counts on.
-HELD = 1_000_000
+HELD = 2_000_000
 
 
 def normal(at: np.ndarray, data: np.ndarray) -> list[list[bytes]]:
@@ -85,7 +89,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
             for words in normal(*utf8(batch.column(0))):
                 counts.update(words)
                 counts[b""] += 1
-            if len(counts) > HELD // 4:
+            if len(counts) > HELD // 8:
                 yield out()
                 counts.clear()
         yield out()
@@ -97,29 +101,37 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 class Tree:
     """Kept contexts (depth, bytes with the latest in the lowest place), and the counts of what follows each."""
 
+    rows: DataFrame  # depth, context, next, n
     depth: int
-    row_depth: np.ndarray
-    row_context: np.ndarray
-    row_next: np.ndarray
-    row_n: np.ndarray
     strength: float
 
+
+@dataclass
+class Part:
+    """Contexts whose last two bytes are within the cells from low to high, and all of under two bytes."""
+
+    name: str
+    low: int
+    high: int
+    depth: int
+    strength: float
+    rows: tuple[np.ndarray, ...]  # depth, context, next, n
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbol of each byte, child of a node by an older symbol or -1, log10 probability of a symbol after a node)."""
-        seen = np.unique(self.row_next[self.row_depth == 0])
-        symbol = np.full(256, len(seen), np.int64)  # the last stands for all bytes not seen
+        seen = np.unique(self.rows[2][self.rows[0] == 0])
+        symbol = np.full(256, len(seen), np.int32)  # the last stands for all bytes not seen
         symbol[seen] = np.arange(len(seen))
         size = len(seen) + 1
         unseen = 257 - size
-        order = np.lexsort((self.row_context, self.row_depth))
-        depth, context, nxt, n = (x[order] for x in (self.row_depth, self.row_context, self.row_next, self.row_n))
-        where = [np.unique(context[depth == d]) for d in range(self.depth + 1)]
+        where = [np.unique(self.rows[1][self.rows[0] == d]) for d in range(self.depth + 1)]
         first = np.cumsum([0, 1, *[len(w) for w in where[1:]]])
         child = np.full((first[-1], size), -1, np.int32)
-        p = np.zeros((first[-1], size))
+        p = np.zeros((first[-1], size), np.float32)
         root = np.full(size, 0.5)
         root[-1] = 0.5 * max(unseen, 1)
-        np.add.at(root, symbol[nxt[depth == 0]], n[depth == 0])
+        at_root = self.rows[0] == 0
+        np.add.at(root, symbol[self.rows[2][at_root]], self.rows[3][at_root])
         p[0] = root / root.sum()
         for d in range(1, self.depth + 1):
             nodes = where[d]
@@ -129,23 +141,34 @@ class Tree:
             parent = np.zeros(len(nodes), np.int64) if d == 1 else first[d - 1] + np.searchsorted(where[d - 1], up)
             own = first[d] + np.arange(len(nodes))
             child[parent, symbol[nodes >> (8 * (d - 1))]] = own
-            rows = depth == d
-            at = np.searchsorted(nodes, context[rows])
-            total = np.bincount(at, n[rows], len(nodes))
-            add = np.zeros((len(nodes), size))
-            np.add.at(add, (at, symbol[nxt[rows]]), n[rows])
-            p[own] = (add + self.strength * p[parent]) / (total + self.strength)[:, None]
+            _, context, nxt, n = (x[self.rows[0] == d] for x in self.rows)
+            at = np.searchsorted(nodes, context)
+            total = np.bincount(at, n, len(nodes)) + self.strength
+            p[own] = p[parent] * (self.strength / total)[:, None].astype(np.float32)
+            np.add.at(p, (own[at], symbol[nxt]), (n / total[at]).astype(np.float32))
         p[:, -1] /= max(unseen, 1)  # one of the bytes not seen
-        return symbol, child, np.log10(p).astype(np.float32)
+        return symbol, child, np.log10(p, out=p)
+
+
+#: Tables of the last part that a worker met: its tasks share them.
+TABLES: dict[str, tuple] = {}
 
 
-def fit(docs: DataFrame, text_col: str = "text", depth: int = 6, p_min: float = 2e-6, gain: float = 15.0, strength: float = 4.0) -> Tree:
+def tables_of(part: Part) -> tuple:
+    if part.name not in TABLES:
+        TABLES.clear()
+        TABLES[part.name] = part.tables()
+    return TABLES[part.name]
+
+
+def fit(docs: DataFrame, text_col: str = "text", depth: int = 6, least: int = 512, gain: float = 15.0, strength: float = 4.0) -> Tree:
+    if not 1 <= depth <= 6:
+        raise ValueError("depth must be 1 to 6: a context and the byte after it lie in 63 bits")
     level = stored(gram_counts(docs, text_col, depth).select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("next"), "n"), "grams")
-    total = level.agg(F.sum("n")).first()[0] or 0
     sized = {}
     for d in range(depth, -1, -1):
-        sums = level.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= p_min * total)
-        sized[d] = stored(level.join(sums, "context"), f"level{d}")  # 1 / p_min contexts at most
+        sums = level.groupBy("context").agg(F.sum("n").alias("all"))
+        sized[d] = stored(level.join(sums.where(F.col("all") >= least) if d else sums, "context"), f"level{d}")
         if d:
             level = level.withColumn("context", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)).groupBy("context", "next").agg(F.sum("n").alias("n"))
             level = stored(level, f"grams{d - 1}")
@@ -162,60 +185,94 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = 6, p_min: float =
     all_kept = kept[0]
     for x in kept[1:]:
         all_kept = all_kept.unionByName(x)
-    rows = stored(all_kept, "tree").toArrow()
-    column = lambda name: rows.column(name).to_numpy().astype(np.int64)
-    return Tree(depth, column("depth"), column("context"), column("next"), column("n"), strength)
-
-
-def score_bytes(words: list[list[bytes]], depth: int, symbol: np.ndarray, child: np.ndarray, logp: np.ndarray) -> np.ndarray:
-    """Log10 probability of each text."""
-    b, begin, own = stream(words, depth)
+    return Tree(stored(all_kept, "tree"), depth, strength)
+
+
+def parts_of(tree: Tree, most: int) -> Iterator[Part]:
+    """The tree in parts of `most` contexts, each collected when it is asked for."""
+    cell = F.col("context").bitwiseAND(0xFFFF)
+    sizes = tree.rows.where("depth >= 2").select("depth", "context").distinct().groupBy(cell.alias("cell")).count().orderBy("cell").collect()  # 65536 rows at most
+    cuts, held = [0], 0
+    for r in sizes:
+        if held and held + r["count"] > most:
+            cuts.append(r.cell)
+            held = 0
+        held += r["count"]
+    for low, high in zip(cuts, [*cuts[1:], 1 << 16]):
+        t = tree.rows.where((F.col("depth") < 2) | ((cell >= low) & (cell < high))).toArrow()
+        yield Part(uuid.uuid4().hex, low, high - 1, tree.depth, tree.strength, tuple(t.column(c).to_numpy().astype(k) for c, k in (("depth", np.int8), ("context", np.int64), ("next", np.uint8), ("n", np.int64))))
+
+
+def score_bytes(words: list[list[bytes]], part: Part) -> np.ndarray:
+    """Log10 probability of those bytes of each text whose context is the part's."""
+    symbol, child, logp = tables_of(part)
+    size = child.shape[1]
+    child, logp = child.ravel(), logp.ravel()
+    b, begin, own = stream(words, max(part.depth, 2))
     s = symbol[b]
     at = np.flatnonzero(own)
-    node = np.zeros(len(at), np.int32)
-    live = np.arange(len(at))
-    for d in range(1, depth + 1):
-        nxt = child[node[live], s[at[live] - d]]
-        live = live[nxt >= 0]
-        node[live] = nxt[nxt >= 0]
-    values = logp[node, s[at]].astype(np.float64)
-    starts = np.searchsorted(at, begin)
-    return np.add.reduceat(values, starts) if len(starts) else np.zeros(0)
-
-
-def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", top: int = 1 << 16, **settings) -> DataFrame:
+    if part.low > 0 or part.high < 0xFFFF:
+        cell = b[at - 1].astype(np.int32) | (b[at - 2].astype(np.int32) << 8)
+        at = at[(cell >= part.low) & (cell <= part.high)]
+    node = np.zeros(len(at), np.int64)
+    live, here, now = np.arange(len(at)), at, node
+    for d in range(1, part.depth + 1):
+        nxt = child.take(now * size + s.take(here - d))
+        on = nxt >= 0
+        live, here, now = live[on], here[on], nxt[on].astype(np.int64)
+        node[live] = now
+    sums = np.concatenate([[0.0], np.cumsum(logp.take(node * size + s.take(at)), dtype=np.float64)])
+    cuts = np.searchsorted(at, [*begin.tolist(), len(b)])
+    return np.diff(sums[cuts])
+
+
+def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", top: int = 1 << 16, most: int = 150_000, **settings) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score); `train` marks the rows to learn from."""
+    importable(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), train.alias("train"))
     learned = texts.where("train")
     tree = fit(learned, "t", **settings)
     counts = stored(word_counts(learned, "t"), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot = counts.orderBy(F.desc("n"), "word").limit(top).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((tree, dict(zip(hot.column("word").to_pylist(), np.log10(hot.column("n").to_numpy() + 0.5).tolist()))))
-    depth = tree.depth
+    words = docs.sparkSession.sparkContext.broadcast(dict(zip(hot.column("word").to_pylist(), np.log10(hot.column("n").to_numpy() + 0.5).tolist())))
     kind = dict(docs.dtypes)[id_col]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = shared.value
-        tables = tree.tables()
-        for batch in pieces(batches, "t", 2 << 20):
-            words = normal(*utf8(batch.column("t")))
-            by_tree = score_bytes(words, depth, *tables)
+    def base(batches: Iterator[pa.RecordBatch], part) -> Iterator[pa.RecordBatch]:
+        known = words.value
+        for batch in pieces(batches, "t", 1 << 18):
+            split = normal(*utf8(batch.column("t")))
+            by_tree = score_bytes(split, part.value)
             n, n_hot, sums, rest = [], [], [], []
-            for w in words:
+            for w in split:
                 w.append(b"")
-                got = [known.get(x) for x in w]
-                tail = [x for x, g in zip(w, got) if g is None]
+                got = list(map(known.get, w))
+                tail: list[bytes] = []
+                if None in got:
+                    tail = [x for x, g in zip(w, got) if g is None]
+                    got = [g for g in got if g is not None]
                 n.append(len(w))
-                n_hot.append(len(w) - len(tail))
-                sums.append(math.fsum(g for g in got if g is not None))
+                n_hot.append(len(got))
+                sums.append(math.fsum(got))
                 rest.append(tail)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(sums, pa.float64()), pa.array(by_tree, pa.float64()), pa.array(rest, pa.list_(pa.binary()))], ["id", "n", "hot", "sum", "score", "rest"])
-
-    parts = texts.select("id", "t").mapInArrow(run, f"id {kind}, n long, hot long, sum double, score double, rest array<binary>").withColumn("row", F.monotonically_increasing_id())
-    parts = stored(parts, "parts")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(sums, pa.float64()), pa.array(by_tree, pa.float64()), pa.array(rest, pa.list_(pa.binary()))], names)
+
+    def again(batches: Iterator[pa.RecordBatch], part) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t", 1 << 18):
+            more = score_bytes(normal(*utf8(batch.column("t"))), part.value)
+            yield batch.set_column(names.index("score"), "score", pa.array(batch.column("score").to_numpy() + more))
+
+    schema = f"id {kind}, t string, n long, hot long, sum double, score double, rest array<binary>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    found = None
+    for part in parts_of(tree, most):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+        run = base if found is None else again
+        before = texts.select("id", "t") if found is None else stored(found, "scored")
+        found = before.mapInArrow(lambda x, run=run, shared=shared: run(x, shared), schema)
+    parts = stored(found.drop("t").withColumn("row", F.monotonically_increasing_id()), "parts")
     tail = parts.select("row", F.explode("rest").alias("word")).join(counts, "word", "left")
     tail = tail.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest_sum"))
     out = parts.drop("rest").join(tail, "row", "left")
-    base = F.col("sum") + F.coalesce("rest_sum", F.lit(0.0)) - F.col("n") * math.log10(total + 0.5 * (kinds + 1))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("hot") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    total_score = F.col("sum") + F.coalesce("rest_sum", F.lit(0.0)) - F.col("n") * math.log10(total + 0.5 * (kinds + 1))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("hot") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), total_score.alias("base_score"), "score")
