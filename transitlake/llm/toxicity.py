@@ -1,14 +1,17 @@
 """Toxicity with noisy-channel deobfuscation.
 
 What a writer meant is restored from what they typed: a token with digits or symbols for letters,
-separators between letters, or stretched letters is a lattice of the letters each character may
-stand for, decoded by Viterbi search under a character trigram model counted over the words of all
-documents; runs of single letters are joined and decoded too. The score is a logistic regression on
-the restored words that are significantly more common in toxic texts, both learned from a bounded
-sample of `per_label` labelled rows of each label; it runs over whole texts.
-
-Null and empty texts, and texts without words, get the score of no evidence. Repeated rows and null
-ids give a row each. Without labels every score is 0.
+separators between letters, or doubled letters is a lattice of the letters each character may stand
+for, decoded by Viterbi search under a character model (a letter after three others) counted over the
+words of all documents. A run of tokens of one letter, or of up to three that are no frequent word, is
+one lattice too, in which each space may be dropped or kept as the edge of a word. The score is a
+logistic regression on the restored words that are significantly more common in toxic texts, both
+learned from a bounded sample of `per_label` labelled rows of each label; it runs over whole texts.
+
+Words of letters whose letters, each taken once where doubled, are those of no word that counts are
+left as typed. Numbers are no words; tokens of stand-ins alone are if one of these is a symbol. Null
+and empty texts, and texts without words, get the score of no evidence. Repeated rows and null ids
+give a row each. Without labels every score is 0.
 """
 
 from __future__ import annotations
@@ -17,70 +20,96 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, stored, utf8
+from .common import importable, pieces, stored, utf8
 from .language import LOWERED, sample
 
 LETTERS = 28  # a to z, any other letter, and the word's edge
 OTHER, EDGE = 26, 27
 #: Letters that a character may stand for.
 STANDS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
-SEPARATORS = set(".,-_*'~^`#%&:/\\=\" ")
+SEPARATORS = set(".,-_*'~^`#%&:/\\=\"")
 TRAILING = ".,;:!?*#%&$|\"'()[]{}<>~^`-_+=/\\"
 LEADING = ".,;:?*#%&\"'()[]{}<>~^`-_=/\\!|+"
-STRETCHED = re.compile(r"(.)\1\1")
-#: Costs of the channel, in natural logarithms: a symbol for a letter, a separator put in, a letter repeated.
+DOUBLED = re.compile(r"(.)\1+")
+#: Costs of the channel, in natural logarithms: a symbol for a letter, a separator or space put in, a letter repeated.
 SWAP, PUT, AGAIN = 0.5, 0.3, 0.7
 MEMO = 200_000
+#: Letters of words that may be parts of a word that spaces cut, and the share of all words from which on these are words of their own.
+SHORT, COMMON = 3, 1e-5
+
+
+@dataclass
+class CharacterModel:
+    logp: np.ndarray  # natural logarithms, by three letters before and one
+    common: frozenset[str]  # frequent words of up to SHORT letters
 
 
 def place(ch: str) -> int:
     return ord(ch) - 97 if "a" <= ch <= "z" else OTHER
 
 
-def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Natural log probabilities of a letter after two others, counted over all words of docs, smoothed by one half."""
+def collapsed(word: str) -> str:
+    return DOUBLED.sub(r"\1", word)
+
+
+def character_model(docs: DataFrame, text_col: str = "text") -> CharacterModel:
+    """Letters after three others, counted over all words of docs, smoothed by one half; and the frequent short words (1 / COMMON at most)."""
+    importable(docs.sparkSession)
     kind = np.full(256, EDGE, np.int32)
     kind[97:123] = np.arange(26)
     kind[0xC0:] = OTHER  # the first byte of other characters; those that go on are left out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(LETTERS**3, np.int64)
+        counts, short, n = np.zeros(LETTERS**4, np.int64), Counter(), 0
         for batch in pieces(batches, text_col):
             at, data = utf8(batch.column(0))
             b = LOWERED[data[at[0] : at[-1]]]
             ends = np.zeros(len(b) + 1, bool)
             ends[at - at[0]] = True
             k = np.where(ends[:-1], EDGE, kind[b])[(b & 0xC0) != 0x80] if len(b) else np.zeros(0, np.int32)
-            k = np.concatenate([[EDGE, EDGE], k, [EDGE, EDGE]])
-            counts += np.bincount((k[:-2] * LETTERS + k[1:-1]) * LETTERS + k[2:], minlength=LETTERS**3)
+            k = np.concatenate([[EDGE] * 3, k, [EDGE] * 2])
+            k = k[np.concatenate([[True] * 3, (k[3:] != EDGE) | (k[2:-1] != EDGE)])]  # one edge between words
+            counts += np.bincount(((k[:-3] * LETTERS + k[1:-2]) * LETTERS + k[2:-1]) * LETTERS + k[3:], minlength=LETTERS**4)
+            raw = b.tobytes()
+            for x, y in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist()):
+                words = raw[x:y].split()
+                n += len(words)
+                short.update([w for w in words if len(w) <= SHORT])
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["gram", "n"])
+        words = [w.decode("utf-8", "replace") for w in short]
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), *[-1] * (len(words) + 1)], pa.int64()), pa.array([*[None] * len(at), *words, None], pa.string()), pa.array([*counts[at].tolist(), *short.values(), n], pa.int64())], ["gram", "word", "n"])
 
-    counts = np.full(LETTERS**3, 0.5)
-    for r in docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # LETTERS ** 3 rows at most
-        counts[r.gram] += r.n
-    counts = counts.reshape(LETTERS, LETTERS, LETTERS)
-    return np.log(counts / counts.sum(2, keepdims=True))
+    found = stored(docs.select(text_col).mapInArrow(run, "gram long, word string, n long").groupBy("gram", "word").agg(F.sum("n").alias("n")), "characters")
+    counts = np.full(LETTERS**4, 0.5)
+    t = found.where("gram >= 0").select("gram", "n").toArrow()  # LETTERS ** 4 rows at most
+    counts[t.column("gram").to_numpy()] += t.column("n").to_numpy()
+    counts = counts.reshape(-1, LETTERS)
+    total = found.where("gram < 0 AND word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = found.where((F.col("gram") < 0) & F.col("word").isNotNull() & (F.col("n") >= max(2.0, COMMON * total))).select("word").collect()  # 1 / COMMON rows at most
+    return CharacterModel(np.log(counts / counts.sum(1, keepdims=True)).ravel(), frozenset(r.word for r in common))
 
 
 class Reader:
-    """Restores words."""
+    """Restores words; with `wanted` words only such as may be one of them."""
 
-    def __init__(self, lm: np.ndarray):
-        self.lm = lm.tolist()
+    def __init__(self, lm: CharacterModel, wanted: set[str] | None = None):
+        self.logp, self.common = lm.logp.tolist(), lm.common
         self.memo: dict[str, str] = {}
+        self.wanted = None if wanted is None else {collapsed(w) for w in wanted}
+        self.part = None if wanted is None else re.compile("|".join(map(re.escape, sorted(self.wanted))) or "(?!)")
 
     def decode(self, token: str) -> str:
-        """The likeliest letters behind the token."""
-        states: dict[tuple[int, int, str], tuple[float, tuple]] = {(EDGE, EDGE, ""): (0.0, ())}
-        lm = self.lm
+        """The likeliest letters, and spaces, behind the token."""
+        states: dict[tuple[int, str], tuple[float, tuple]] = {((EDGE * LETTERS + EDGE) * LETTERS + EDGE, ""): (0.0, ())}
+        logp, wrap = self.logp, LETTERS * LETTERS
         for ch in token:
-            after: dict[tuple[int, int, str], tuple[float, tuple]] = {}
+            after: dict[tuple[int, str], tuple[float, tuple]] = {}
 
             def put(state, cost, path):
                 if state not in after or after[state][0] < cost:
@@ -88,16 +117,19 @@ class Reader:
 
             letters = [(ch, 0.0)] if ch.isalpha() else []
             letters += [(x, SWAP) for x in STANDS.get(ch, "")]
-            for (a, b, last), (score, path) in states.items():
+            skipped = ch == " " or ch in SEPARATORS or (ch not in STANDS and not ch.isalpha())
+            for (before, last), (score, path) in states.items():
                 for x, cost in letters:
                     k = place(x)
-                    put((b, k, x), score + lm[a][b][k] - cost, (path, x))
+                    put((before % wrap * LETTERS + k, x), score + logp[before * LETTERS + k] - cost, (path, x))
                     if x == last:
-                        put((a, b, last), score - AGAIN, path)
-                if ch in SEPARATORS or (ch not in STANDS and not ch.isalpha()):
-                    put((a, b, last), score - PUT, path)
+                        put((before, last), score - AGAIN, path)
+                if skipped:
+                    put((before, last), score - PUT, path)
+                if ch == " " and before % LETTERS != EDGE:
+                    put((before % wrap * LETTERS + EDGE, ""), score + logp[before * LETTERS + EDGE], (path, " "))
             states = after
-        score, path = max(((s + self.lm[a][b][EDGE], p) for (a, b, _), (s, p) in states.items()), key=lambda x: x[0])
+        score, path = max(((s + (logp[before * LETTERS + EDGE] if before % LETTERS != EDGE else 0.0), p) for (before, _), (s, p) in states.items()), key=lambda x: x[0])
         out = []
         while path:
             path, x = path
@@ -105,13 +137,14 @@ class Reader:
         return "".join(reversed(out))
 
     def word(self, token: str) -> str:
-        """The restored word of a lower-case token; '' if it has no letters."""
+        """The restored word of a lower-case token; '' if it has none."""
         found = self.memo.get(token)
         if found is None:
             core = token.rstrip(TRAILING).lstrip(LEADING)
-            if core.isalpha() and not STRETCHED.search(core):
-                found = core
-            elif not any(map(str.isalpha, core)):
+            if core.isalpha():
+                keep = not DOUBLED.search(core) or (self.wanted is not None and collapsed(core) not in self.wanted)
+                found = core if keep else self.decode(core)
+            elif not any(map(str.isalpha, core)) and not (len(core) > 2 and any(c in STANDS and not c.isdigit() for c in core) and all(c in STANDS or c in SEPARATORS for c in core)):
                 found = ""
             else:
                 found = self.decode(core)
@@ -127,22 +160,22 @@ class Reader:
         out: Counter = Counter()
         for token, n in Counter(tokens).items():
             out[self.word(token)] += n
-        single = [i for i, t in enumerate(tokens) if len(t) == 1]
-        a = 0
-        while a + 2 < len(single):
-            b = a
-            while b + 1 < len(single) and single[b + 1] == single[b] + 1:
-                b += 1
-            if b - a >= 2:
-                run = "".join(tokens[single[a] : single[b] + 1])
-                for part in {run, run[1:], run[:-1]}:
-                    out[self.word(part)] += 1
-            a = b + 1
+        run: list[str] = []
+        for token in [*tokens, ""]:
+            core = token.rstrip(TRAILING).lstrip(LEADING) or (token if token in STANDS else "")
+            if core and (len(core) == 1 or (len(core) <= SHORT and core not in self.common)):
+                run.append(core)
+                continue
+            if len(run) > 1:
+                joined = "".join(run)
+                if len(joined) > SHORT and not joined.isdigit() and (self.part is None or not joined.isalpha() or self.part.search(collapsed(joined))):
+                    out.update(self.decode(" ".join(run)).split())
+            run = []
         del out[""]
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 5000, least: int = 4, z: float = 4.0) -> dict[str, float]:
+def fit(docs: DataFrame, labels: DataFrame, lm: CharacterModel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 5000, least: int = 4, z: float = 4.0) -> dict[str, float]:
     """Weights of restored words; '' is the bias. labels: (id, label 0 or 1)."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL").join(stored(sample(known, F.col("id"), "y", per_label), "labelled"), "id")
@@ -154,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc_i
             words = [list(reader.words(t)) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), pa.array(words, pa.list_(pa.string()))], ["id", "y", "words"])
 
-    seen = rows.select("id", "t", "y").mapInArrow(listed, "id string, y int, words array<string>")
+    seen = stored(rows.select("id", "t", "y").mapInArrow(listed, "id string, y int, words array<string>"), "seen")
     totals = {r.y: r.n for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1:
@@ -184,14 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc_i
     return {"": bias} | dict(zip(names, w.tolist()))
 
 
-def scores(docs: DataFrame, lm: np.ndarray, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, lm: CharacterModel, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, found): found are the restored words that spoke for the score."""
     shared = docs.sparkSession.sparkContext.broadcast((lm, weights))
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, w = shared.value
-        reader = Reader(lm)
+        reader = Reader(lm, set(w) - {""})
         for batch in pieces(batches, "t"):
             score, found = [], []
             for t in batch.column("t").to_pylist():
