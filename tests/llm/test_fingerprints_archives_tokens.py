@@ -61,6 +61,16 @@ def test_simhash_hot_blocks_lose_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(3)
+    names = rng.sample(range(10**6), 301)
+    pairs = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in zip(names, names[1:])]
+    table = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.root for r in simhash.components(table).collect()} == {min(names)}
+    with pytest.raises(RuntimeError):
+        simhash.components(table, rounds=2)
+
+
 def test_simhash_edges(spark):
     got = simhash.near_duplicates(docs(spark)).collect()
     assert len(got) == len(rows())
@@ -74,7 +84,7 @@ def test_warc_round_trip(spark):
     many = [(5, "u5", "<p>same</p>"), (2, "http://a/ b\n", "<p>same</p>"), (9, None, None), (10, "", ""), (3, "x", "WARC/1.1\r\nContent-Length: 3\r\n\r\n\r\n\r\né日"), (3, "x", "other"), (2, "again", "<p>same</p>"), (None, "n", "<p>same</p>"), (None, "n", "alone"), (11, "big", "z" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in many], "page_id long, url string, html string, digest string, n int")
     path = scratch(spark, "warc")
-    warc.write_archives(pages, path, per_file=3)
+    warc.write_archives(pages, path, file_bytes=9_000_000)
     got = warc.resolved(warc.read_archives(spark, path)).collect()
     assert len(got) == len(many)
     said = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in got)

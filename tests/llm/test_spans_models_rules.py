@@ -33,13 +33,17 @@ def slow_spans(texts, n):
     return out
 
 
-@pytest.mark.parametrize("chunk", [500, 1 << 20])
-def test_suffixes_against_brute_force(spark, chunk):
+@pytest.mark.parametrize(("length", "settings"), [(50, {"chunk": 500}), (50, {"gather": 2000}), (50, {"bound": 2}), (50, {"bound": 0, "gather": 3000}), (300, {}), (600, {"bound": 1})])
+def test_suffixes_against_brute_force(spark, length, settings):
     rng = random.Random(8)
     base = [prose(rng, 40) for _ in range(6)] + ["ab" * 90, "a" * 200, "é日" * 60]
     texts = [" ".join(rng.choice(base)[: rng.randint(20, 300)] for _ in range(rng.randint(1, 4))) for _ in range(60)] + [None, ""] + base[:3] * 2
-    got = suffixes.deduplicate(docs(spark, list(enumerate(texts))), chunk=chunk).collect()
-    want = slow_spans([(i, (t or "").encode()) for i, t in enumerate(texts)], 50)
+    big = "".join(rng.choices("abcdefghijklmnop ", k=1300))
+    texts += [big + prose(rng, 30), "zz" + big, prose(rng, 10) + big[:900]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = suffixes.deduplicate(docs(spark, list(enumerate(texts))).repartition(3), length=length, **settings).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = slow_spans([(i, (t or "").encode()) for i, t in enumerate(texts)], length)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
@@ -69,6 +73,9 @@ def test_suffixes_edges(spark):
     got = suffixes.deduplicate(docs(spark), decoded=True).collect()
     assert len(got) == len(rows())
     assert suffixes.deduplicate(docs(spark, [])).count() == 0
+    clash = docs(spark).withColumnsRenamed({"key": "starts", "hash": "ends", "fp": "least", "words": "n_bytes", "n": "_kept"}).withColumn("spans", F.lit(1))
+    wide = suffixes.deduplicate(clash)
+    assert wide.columns[: len(clash.columns)] == clash.columns and wide.where("starts = 'clash' AND n_bytes = 'clash' AND _kept = 'clash' AND spans = 1").count() == len(rows())
     by = [r for r in got if r.doc_id == 12]
     assert all(r.kept == "" and r.n_spans == 1 for r in by)
     assert all(r.n_removed == r.n_bytes for r in got if r.doc_id is None)
@@ -84,6 +91,42 @@ def test_patience_alignment():
     assert [f[0] for f in found] == ["GPL-3.0"] * 2 and found[0][1] == 1.0
 
 
+def test_alignment_against_the_longest_common_subsequence():
+    """A plain aligner: patience pairs are a common subsequence, no longer than the longest; and as long where words are unique."""
+    rng = random.Random(7)
+
+    def longest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    for n in range(200):
+        if n % 2:
+            t = [str(i) for i in range(rng.randint(3, 30))]
+        else:
+            t = [rng.choice("abcde") for _ in range(rng.randint(3, 30))]
+        a = [w for w in t if rng.random() > 0.2]
+        for _ in range(rng.randint(0, 6)):
+            a.insert(rng.randint(0, len(a)), "new" + str(rng.random()))
+        pairs = licenses.align(a, t)
+        assert all(a[i] == t[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) <= longest(a, t)
+        if n % 2:
+            assert len(pairs) == longest(a, t)
+
+
+def test_licenses_lacking_words_and_ties():
+    known = [(n, licenses.words_of(t.encode())) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    scan = lambda t: licenses.scan_words(licenses.words_of(t.encode()), known, 0.8)
+    assert [f[:2] for f in scan("released released released " * 3 + "x Released under the MIT y")] == [("MIT", 0.8)]
+    assert [f[0] for f in scan(licenses.TEMPLATES["CC-BY-SA-4.0"][0])] == ["CC-BY-SA-4.0"]
+    same = [("B", [b"one", b"two"]), ("A", [b"one", b"two"])]
+    assert licenses.scan_words([b"one", b"two"], same, 0.8) == [("A", 1.0, 0, 2)]
+
+
 def test_licenses_find_each_planted_line(spark):
     lines = {ts[0]: n for n, ts in licenses.TEMPLATES.items()}
     got = {r.doc_id: r.licenses for r in queries.op5_licenses(spark, "/root/testdata/sf0.01").collect()}
@@ -220,7 +263,9 @@ def test_obfuscated_words_are_restored_and_scored(spark):
     table = docs(spark, texts)
     lm = toxicity.character_model(table)
     reader = toxicity.Reader(lm)
-    assert [reader.word(w) for w in ("1d10t!!", "id.i.ot", "idiiiiot", "p@thetic", "river", "42")] == ["idiot", "idiot", "idiot", "pathetic", "river", ""]
+    assert [reader.word(w) for w in ("1d10t!!", "id.i.ot", "idiiiiot", "iddiot", "p@thetic", "river", "42")] == ["idiot", "idiot", "idiot", "idiot", "pathetic", "river", ""]
+    for typed, meant in {"y o u i d i o t": "you idiot", "y 0 u 1 d 1 o t": "you idiot", "p a t h e t i c c l o w n": "pathetic clown", "the id iot walk": "idiot", "the cl 0wn walk": "clown"}.items():
+        assert set(meant.split()) <= set(reader.words(typed)), (typed, reader.words(typed))
     weights = toxicity.fit(table, labels, lm)
     new = [(900, "the river 1d10t walk cl0wn p@th3tic light"), (901, "the river i d i o t walk c-l-o-w-n light pathetiiiic"), (902, clean[5]), (903, None), (904, "")]
     got = {r.doc_id: r.score for r in toxicity.scores(docs(spark, new), lm, weights).collect()}
@@ -230,16 +275,51 @@ def test_obfuscated_words_are_restored_and_scored(spark):
     assert toxicity.fit(docs(spark, []), labels, lm) == {"": -math.inf}
 
 
+def test_lattice_against_all_paths(spark):
+    lm = toxicity.character_model(docs(spark, [(i, prose(random.Random(i), 60)) for i in range(20)]))
+    reader = toxicity.Reader(lm)
+    E, L = toxicity.EDGE, toxicity.LETTERS
+    logp = lm.logp.reshape(L, L, L, L)
+    rng = random.Random(12)
+    for _ in range(60):
+        token = "".join(rng.choice("aoe10@s. l-") for _ in range(rng.randint(1, 6))).strip()
+        paths = [(0.0, "")]
+        for ch in token:
+            grown = []
+            for cost, text in paths:
+                for x, c in ([(ch, 0.0)] if ch.isalpha() else []) + [(x, toxicity.SWAP) for x in toxicity.STANDS.get(ch, "")]:
+                    grown.append((cost - c, text + x))
+                    if text and text[-1] == x:
+                        grown.append((cost - toxicity.AGAIN, text))
+                if ch in toxicity.SEPARATORS or ch == " ":
+                    grown.append((cost - toxicity.PUT, text))
+                if ch == " " and text and text[-1] != " ":
+                    grown.append((cost, text + " "))
+            paths = grown
+
+        def worth(path):
+            k = [E, E, E, *[E if x == " " else toxicity.place(x) for x in path[1]]]
+            k += [] if k[-1] == E else [E]
+            return path[0] + sum(logp[tuple(k[i : i + 4])] for i in range(len(k) - 3))
+
+        best = max(map(worth, paths))
+        got = reader.decode(token)
+        assert max(worth(p) for p in paths if p[1] == got) == pytest.approx(best), token
+
+
 def test_pipeline_stages(spark):
     start = spark.read.parquet(f"{SF}/documents.parquet")
     got = corpus_pipeline.run(spark, SF).collect()
     ids = [r.doc_id for r in got]
     assert 0 < len(ids) <= start.count() and len(ids) == len(set(ids))
-    edge = docs(spark)
+    edge = docs(spark).withColumnsRenamed({"key": "score", "hash": "accepted", "fp": "lang_pred", "words": "n_removed", "n": "content"})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, edge, SF)
-        assert out.columns == edge.columns and out.count() <= len(rows())
-        assert stage(spark, docs(spark, []), SF).count() == 0
+        assert out.columns == edge.columns and 0 < out.count() == out.where("score = 'clash' AND accepted = 'clash' AND lang_pred = 'clash' AND n_removed = 'clash' AND content = 'clash' OR score IS NULL").count() <= len(rows())
+        assert stage(spark, edge.limit(0), SF).count() == 0
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    judged = corpus_pipeline.decontaminate(spark, docs(spark, [(None, item), (None, "a clean text"), (7, item), (7, "clean too")]), SF)
+    assert sorted(r.text for r in judged.collect()) == ["a clean text", "clean too"]
     kept = corpus_pipeline.drop_near_duplicates(spark, edge, SF)
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (7, 11, 12)) == [7]
 

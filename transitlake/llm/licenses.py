@@ -4,8 +4,8 @@ A template is found where its words line up with the text's: words that come onc
 gap are anchors, the longest increasing run of anchors splits the gap, and the parts are aligned in
 turn, after equal words at their ends. Coverage is the share of template words aligned; a license is
 found at `least` or more. A text may hold a notice many times, which leaves no word unique: so each
-place of the template word that is rarest in the text is aligned on its own, within a window of
-twice the template's length to either side.
+place of the template words that are rarest in the text is aligned on its own, within a window of
+twice the template's length to either side: a find that other words stretch over more is none.
 
 Null texts and texts without words have no licenses. Repeated rows and null ids give rows each.
 Other columns are dropped.
@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, utf8
+from .common import importable, pieces, utf8
 
 #: Notices as their licenses word them.
 TEMPLATES = {
@@ -28,6 +29,16 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
 }
 #: Words are letters, digits and characters outside ASCII, with A-Z lower-cased.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -85,34 +96,35 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
 
 
 def scan_words(words: list[bytes], templates: list[tuple[str, list[bytes]]], least: float) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, first word, word after the last) of each find, the best of overlapping ones of a license."""
+    """(license, coverage, first word, word after the last) of each find, the best of overlapping ones: that of most coverage, then of most words, the shortest, the first, the first license by name."""
     have = set(words)
-    out: list[tuple[str, float, int, int]] = []
+    out: list[tuple[str, float, int, int, int]] = []
     for name, t in templates:
         own = set(t)
-        if sum(w in have for w in t) < least * len(t):
+        if sum(w in have for w in t) < least * len(t) - 1e-9:
             continue
         places: dict[bytes, list[int]] = {w: [] for w in own & have}
         for i, w in enumerate(words):
             if w in places:
                 places[w].append(i)
         # a find may lack some words of the template: with one more than it may lack, the rarest, one is in it
-        lack = int(len(t) * (1 - least)) + 1
+        lack = len(t) - ceil(least * len(t) - 1e-9) + 1
         rare = sorted(places, key=lambda w: (len(places[w]), w))[:lack]
         for at in sorted({p for w in rare for p in places[w]}):
             lo, hi = max(0, at - 2 * len(t)), min(len(words), at + 2 * len(t))
             pairs = align(words[lo:hi], t)
-            if len(pairs) >= least * len(t):
-                out.append((name, len(pairs) / len(t), lo + pairs[0][0], lo + pairs[-1][0] + 1))
+            if len(pairs) >= least * len(t) - 1e-9:
+                out.append((name, len(pairs) / len(t), lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs)))
     best: list[tuple[str, float, int, int]] = []
-    for find in sorted(out, key=lambda f: (-f[1], f[3] - f[2], f[2], f[0])):
-        if not any(f[0] == find[0] and f[2] < find[3] and find[2] < f[3] for f in best):
-            best.append(find)
+    for find in sorted(out, key=lambda f: (-f[1], -f[4], f[3] - f[2], f[2], f[0])):
+        if not any(f[2] < find[3] and find[2] < f[3] for f in best):
+            best.append(find[:4])
     return sorted(best, key=lambda f: (f[2], f[0]))
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """(id, finds): finds are structs of license, coverage, and the span of words."""
+    importable(docs.sparkSession)
     known = [(name, words_of(t.encode())) for name, texts in (templates or TEMPLATES).items() for t in texts]
     kind = dict(docs.dtypes)[id_col]
     find = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])

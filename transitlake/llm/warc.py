@@ -3,7 +3,7 @@
 Headers (id, payload digest, length), never payloads, are shuffled by digest to find the response
 that each other record of the same payload revisits. Archives are written by Spark's text writer,
 one record per row, with the two line ends that close a record as row separator; each task writes
-files of at most `per_file` records, gzip-compressed. They are read as whole files and parsed by
+gzip files whose records would not take over `file_bytes` if all were as long as the longest. They are read as whole files and parsed by
 Content-Length, so payloads may hold anything, record separators included.
 
 A null payload is empty. A null or blank URL gives a record without WARC-Target-URI; line ends and
@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import importable
+
 VERSION, END = "WARC/1.1", "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = "record_id string, record_type string, page_id string, uri string, payload_digest string, block_digest string, refers_to_record string, refers_to string, block_bytes long, payload_bytes long"
@@ -51,7 +53,7 @@ def records(pages: DataFrame, id_col: str, payload_col: str, url_col: str | None
     """One string per page: its record, without the line ends that close it."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     uri = F.trim(F.col(url_col)) if url_col else F.lit(None).cast("string")
-    for code in (0x00, 0x09, 0x0A, 0x0D, 0x20):
+    for code in (*range(0x21), 0x7F):
         uri = F.replace(uri, F.lit(chr(code)), F.lit(f"%{code:02X}"))
     rows = pages.select(F.col(id_col).alias("id"), payload.alias("payload"), F.when(F.length(uri) > 0, uri).alias("uri"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "n": F.octet_length("payload").cast("long")})
@@ -84,8 +86,11 @@ def records(pages: DataFrame, id_col: str, payload_col: str, url_col: str | None
     )
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", per_file: int = 4000) -> None:
-    """Write one response or revisit record per row to gzip archives under path."""
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 256 << 20) -> None:
+    """Write one response or revisit record per row to gzip archives under path, of about file_bytes before compression at most, or one record."""
+    importable(pages.sparkSession)
+    longest = pages.agg(F.max(F.octet_length(payload_col))).first()[0] or 0
+    per_file = max(1, file_bytes // (longest + 2048))
     out = records(pages, id_col, payload_col, url_col, min_bytes, date)
     out.write.option("lineSep", END * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
