@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C
@@ -54,20 +56,35 @@ def choose_flux(obs: DataFrame, preferred: str = "pdcsap") -> DataFrame:
 
 
 def normalise(obs: DataFrame, flux: str = "pdcsap_flux") -> DataFrame:
-    """obs with flux_norm: divided by the target's median of positive flux."""
+    """obs with flux_norm, divided by the target's median of positive flux; and flux_norm_err, if there is an error of the flux, by the same."""
     good = F.when(C.finite(F.col(flux)) > 0, F.col(flux))
-    return obs.withColumn("flux_norm", good / F.median(good).over(Window.partitionBy(*K)))
+    middle = F.median(good).over(Window.partitionBy(*K))
+    err = {"flux_norm_err": C.finite(F.col(f"{flux}_err")) / middle} if f"{flux}_err" in obs.columns else {}
+    return obs.withColumns({"flux_norm": good / middle} | err)
 
 
 def clean(obs: DataFrame, mode: str = "conservative", high: float = 7.0, low: float = 15.0) -> DataFrame:
-    """Kept cadences, with outlier flags; only high outliers are dropped."""
-    kept = quality_filter(normalise(obs), mode).where("time IS NOT NULL AND flux_norm > 0")
+    """Kept cadences, with flags of outliers, which are left in."""
+    kept = normalise(obs)
+    kept = (quality_filter(kept, mode) if "quality" in obs.columns else kept).where("time IS NOT NULL AND flux_norm > 0")
     stats = robust(kept, K, "flux_norm")
     up = F.col("flux_norm") > F.col("median") + high * F.col("sigma")
     down = F.col("flux_norm") < F.col("median") - low * F.col("sigma")
     return kept.join(stats, K).withColumns({"high_outlier": up, "low_outlier": down})
 
 
+def without_outliers(cleaned: DataFrame, remove_low: bool = False) -> DataFrame:
+    """High outliers are dropped, low ones (a deep dip may be one) only if asked for."""
+    keep = ~F.col("high_outlier")
+    return cleaned.where(keep & ~F.col("low_outlier") if remove_low else keep)
+
+
+def clean_warnings(summary: DataFrame, obs_columns: list[str], most: float = 0.6) -> DataFrame:
+    """summary with warnings: a quality column that isn't there, or too many points gone."""
+    missing = F.lit("quality" not in obs_columns)
+    return summary.withColumn("warnings", C.present((missing, "QUALITY_COLUMN_MISSING"), (F.col("removed_fraction") > most, "HIGH_REMOVED_FRACTION")))
+
+
 def gap_metrics(obs: DataFrame) -> DataFrame:
     """(keys, baseline, median_dt_days, n_gaps, largest_gap)."""
     step = obs.select(*K, "time", (F.col("time") - F.lag("time").over(Window.partitionBy(*K).orderBy("time"))).alias("dt"))
@@ -77,8 +94,8 @@ def gap_metrics(obs: DataFrame) -> DataFrame:
 
 
 def quality_summary(obs: DataFrame) -> DataFrame:
-    """(keys, n_raw, n_kept, n_final, removed_fraction, median_flux, noise_ppm, rms_ppm, n_high, n_low)."""
-    raw = obs.groupBy(*K).agg(F.count("*").alias("n_raw"), F.median("pdcsap_flux").alias("median_flux"))
+    """(keys, n_raw, n_finite, n_kept, n_final, removed_fraction, median_flux, noise_ppm, rms_ppm, n_high, n_low, status)."""
+    raw = obs.groupBy(*K).agg(F.count("*").alias("n_raw"), F.count(F.when(C.finite(F.col("time")).isNotNull() & (C.finite(F.col("pdcsap_flux")) > 0), 1)).alias("n_finite"), F.median("pdcsap_flux").alias("median_flux"))
     c = clean(obs)
     out = c.groupBy(*K).agg(F.count("*").alias("n_kept"), F.sum(F.col("high_outlier").cast("int")).alias("n_high"), F.sum(F.col("low_outlier").cast("int")).alias("n_low"))
     final = c.where("NOT high_outlier").drop("median", "sigma")
@@ -88,35 +105,50 @@ def quality_summary(obs: DataFrame) -> DataFrame:
     return both.withColumn("removed_fraction", 1 - F.coalesce("n_final", F.lit(0)) / F.col("n_raw")).withColumn("status", F.when(F.coalesce("n_final", F.lit(0)) == 0, "NO_VALID_POINTS_AFTER_MASKING").when(F.col("n_final") < 500, "TOO_FEW_CLEAN_POINTS").otherwise("OK"))
 
 
-def rolling_trend(series: DataFrame, value: str, days: float = 1.0, keys: list[str] = K) -> DataFrame:
-    """series with `trend`: a centred rolling median of about `days`, odd in points, by each target's cadence. Frames must be literal, so targets are grouped by the few widths that occur; over 32 widths are rounded to multiples of their 32nd part."""
-    w = Window.partitionBy(*keys).orderBy("time")
-    step = series.withColumn("_dt", F.col("time") - F.lag("time").over(w)).groupBy(*keys).agg(F.median("_dt").alias("_m"), F.count("*").alias("_n"))
-    raw = F.greatest(F.lit(5), F.bround(F.lit(days) / F.col("_m")).cast("int"))
-    width = step.select(*keys, "_n", (raw + (raw + 1) % 2).alias("_w"))
-    found = [r[0] for r in width.select("_w").where("_w IS NOT NULL").distinct().orderBy("_w").limit(33).collect()]
-    if len(found) > 32:
-        top = width.agg(F.max("_w")).first()[0]
-        unit = 2 * (top // 64 + 1)
-        width = width.withColumn("_w", F.floor(F.col("_w") / unit).cast("int") * unit + 5)
-        found = [r[0] for r in width.select("_w").where("_w IS NOT NULL").distinct().collect()]
-    joined = series.join(width, keys)
-    whole = F.median(value).over(Window.partitionBy(*keys))
-    parts = joined.where("_w IS NULL").withColumn("trend", whole)
-    for n in found:
-        frame = w.rowsBetween(-(n // 2), n // 2)
-        enough = F.count(value).over(frame) >= max(3, n // 5)
-        parts = parts.unionByName(joined.where(F.col("_w") == n).withColumn("trend", F.when(F.col("_n") < 5, whole).otherwise(F.when(enough, F.percentile(value, F.lit(0.5)).over(frame)))))
-    return parts.drop("_n", "_w")
-
-
-def interpolate(series: DataFrame, value: str, keys: list[str] = K) -> DataFrame:
-    """series with nulls of `value` filled on a line in time between neighbours, and by the nearest at the ends."""
+def rolling_trend(series: DataFrame, value: str, days: float = 1.0, keys: list[str] = K, piece: int = 8192) -> DataFrame:
+    """series with `trend`: a centred rolling median over about `days`, odd in points by each target's cadence, of a fifth of its points (three at least); drawn by index where there are fewer; the median of all where the series has under five points or nothing to draw from.
+
+    A task gets `piece` points of a target in order of time, and those within half a width of them.
+    """
     w = Window.partitionBy(*keys).orderBy("time")
-    known = F.when(F.col(value).isNotNull(), F.struct("time", F.col(value).alias("v")))
+    step = series.withColumn("_dt", F.col("time") - F.lag("time").over(w)).groupBy(*keys).agg(F.median("_dt").alias("_m"), F.count("*").alias("_n"), F.median(value).alias("_whole"))
+    raw = F.greatest(F.lit(5), F.bround(F.lit(float(days)) / F.when(F.col("_m") > 0, F.col("_m"))).cast("int"))
+    width = step.select(*keys, "_n", "_whole", F.coalesce(raw + (raw + 1) % 2, F.lit(0)).alias("_w"))
+    placed = series.join(width, keys).withColumn("_at", F.row_number().over(w) - 1)
+    half = F.expr("_w div 2")
+    piece_of = lambda x: F.floor(x / piece).cast("long")
+    near = F.sequence(piece_of(F.greatest(F.col("_at") - half, F.lit(0))), piece_of(F.least(F.col("_at") + half, F.col("_n") - 1)))
+    dealt = placed.select(*keys, "_at", "_w", C.finite(F.col(value)).alias("_x"), F.explode(near).alias("_piece"))
+
+    def medians(t: pa.Table) -> pa.Table:
+        at, x, n = t.column("_at").to_numpy(), t.column("_x").to_numpy(zero_copy_only=False).astype(float), t.column("_w")[0].as_py()
+        order = np.argsort(at)
+        at, x, mine = at[order], x[order], t.column("_piece")[0].as_py()
+        own = np.flatnonzero(at // piece == mine)
+        out = np.full(len(own), np.nan)
+        if n:
+            wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n // 2, np.nan), x, np.full(n // 2, np.nan)]), n)
+            for i in range(0, len(own), max(1, (1 << 20) // n)):
+                part = wide[own[i : i + max(1, (1 << 20) // n)]]
+                enough = np.isfinite(part).sum(1) >= max(3, n // 5)
+                if enough.any():
+                    out[i : i + len(part)][enough] = np.nanmedian(part[enough], axis=1)
+        rows = t.take(pa.array(order[own])).select([*keys, "_at"])
+        return rows.append_column("_trend", pa.array(out, from_pandas=True))
+
+    kinds = dict(dealt.dtypes)
+    found = dealt.groupBy(*keys, "_piece").applyInArrow(medians, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", _at {kinds['_at']}, _trend double")
+    drawn = interpolate(placed.drop("_piece").join(found, [*keys, "_at"]), "_trend", keys, "_at")
+    return drawn.withColumn("trend", F.when(F.col("_n") < 5, F.col("_whole")).otherwise(F.coalesce("_trend", "_whole"))).drop("_n", "_w", "_at", "_whole", "_trend")
+
+
+def interpolate(series: DataFrame, value: str, keys: list[str] = K, by: str = "time") -> DataFrame:
+    """series with nulls of `value` filled on a line in time (or another column) between neighbours, and by the nearest at the ends."""
+    w = Window.partitionBy(*keys).orderBy(by)
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(by).alias("time"), F.col(value).alias("v")))
     s = series.withColumn("_a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     a, b = F.col("_a"), F.col("_b")
-    line = F.when(a.isNull(), b["v"]).when(b.isNull() | (a["time"] == b["time"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("time") - a["time"]) / (b["time"] - a["time"]))
+    line = F.when(a.isNull(), b["v"]).when(b.isNull() | (a["time"] == b["time"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col(by) - a["time"]) / (b["time"] - a["time"]))
     return s.withColumn(value, line).drop("_a", "_b")
 
 
@@ -178,7 +210,7 @@ def odd_even(events: DataFrame, keys: list[str] = K) -> DataFrame:
 
 
 def secondary(series: DataFrame, value: str, keys: list[str] = K) -> DataFrame:
-    """(keys, secondary_sigma, secondary_phase): the strongest dip at another phase, 0.15 to 0.85 by 0.005."""
+    """(keys, secondary_sigma, secondary_phase, secondary_depth): the strongest dip at another phase, 0.15 to 0.85 by 0.005, the first of equal ones; series of under fifty points have none."""
     cycle = C.phase_days(F.col("time"), F.col("period"), F.col("t0")) / F.col("period")
     grid = F.transform(F.sequence(F.lit(0), F.lit(140)), lambda i: 0.15 + i * 0.005)
     s = series.select(*keys, F.col(value).alias("x"), cycle.alias("c"), (F.col("duration") / F.col("period")).alias("w")).withColumn("phase", F.explode(grid))
@@ -188,8 +220,9 @@ def secondary(series: DataFrame, value: str, keys: list[str] = K) -> DataFrame:
     one = s.groupBy(*k).agg(F.count(F.when(F.col("i"), 1)).alias("n_in"), F.count(F.when(F.col("o"), 1)).alias("n_out"), F.median(F.when(F.col("i"), F.col("x"))).alias("m_in"), F.median(F.when(F.col("o"), F.col("x"))).alias("m_out"))
     two = s.join(one.where("n_in >= 3 AND n_out >= 10"), k).groupBy(*k).agg(*[F.first(c).alias(c) for c in ("n_in", "m_in", "m_out")], (F.median(F.when(F.col("o"), F.abs(F.col("x") - F.col("m_out")))) * MAD).alias("noise"))
     sig = C.ratio(F.col("m_out") - F.col("m_in"), F.col("noise")) * F.sqrt("n_in")
-    best = two.select(*keys, "phase", sig.alias("sig")).where("sig IS NOT NULL").groupBy(*keys).agg(F.max(F.struct(F.col("sig"), (-F.col("phase")).alias("p"))).alias("b"))
-    return best.select(*keys, F.greatest(F.col("b.sig"), F.lit(0.0)).alias("secondary_sigma"), (-F.col("b.p")).alias("secondary_phase"))
+    best = two.select(*keys, "phase", F.round(sig, 9).alias("sig"), (F.col("m_out") - F.col("m_in")).alias("depth")).where("sig IS NOT NULL").groupBy(*keys).agg(F.max(F.struct(F.col("sig"), (-F.col("phase")).alias("p"), "depth")).alias("b"))
+    enough = series.groupBy(*keys).agg(F.count(value).alias("_c")).where("_c >= 50").drop("_c")
+    return best.join(enough, keys, "left_semi").select(*keys, F.greatest(F.col("b.sig"), F.lit(0.0)).alias("secondary_sigma"), (-F.col("b.p")).alias("secondary_phase"), F.col("b.depth").alias("secondary_depth"))
 
 
 def centroid_shift(series: DataFrame, keys: list[str] = K) -> DataFrame:
@@ -232,7 +265,7 @@ def phase_bins(series: DataFrame, value: str, bins: int = 50, least: int = 3, ke
     return series.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.median(value).alias("median")).where(F.col("n") >= least)
 
 
-def bootstrap_depth(events: DataFrame, replicates: int = 100, keys: list[str] = K) -> DataFrame:
+def bootstrap_depth(events: DataFrame, replicates: int = 500, keys: list[str] = K) -> DataFrame:
     """(keys, err): spread of medians of events drawn with replacement; draws are (7919 r + 104729 i + 13) mod n, alike on each run."""
     at = F.row_number().over(Window.partitionBy(*keys).orderBy("event")) - 1
     e = events.where("depth IS NOT NULL").select(*keys, "depth", at.alias("place"), F.count("*").over(Window.partitionBy(*keys)).alias("n")).where("n > 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, fitting, models, series
+from ..operators import catalog, fitting, injection, models, series, validation, vetting
 from ..sources import tables
 from .registered import INJ, SQL, K, decided, injected, labelled, register, rounded, scored
 from ..operators import search
@@ -20,12 +20,12 @@ def folded_duration(spark, sf_dir):
     return rounded(fitting.profile_duration(injected(spark, sf_dir), "flux_norm"))
 
 
-@register(f"""WITH {INJ}, g AS (SELECT tic_id, time, x, period, t0, c, period * (1 - 0.002::DOUBLE + 0.004::DOUBLE * floor(c / 9) / 8) AS p, t0 - 0.5::DOUBLE * duration + duration * (c % 9) / 8 AS e FROM s, range(81) r(c)), f AS (SELECT *, time - e + p / 2 AS v FROM g), h AS (SELECT *, abs(v - floor(v / p) * p - p / 2) AS d FROM f),
+@register(f"""WITH {INJ}, g AS (SELECT tic_id, time, x, period, t0, c, period * (1 - 0.002::DOUBLE + 0.004::DOUBLE * floor(c / 25) / 24) AS p, t0 - 0.5::DOUBLE * duration + duration * (c % 25) / 24 AS e FROM s, range(625) r(c)), f AS (SELECT *, time - e + p / 2 AS v FROM g), h AS (SELECT *, abs(v - floor(v / p) * p - p / 2) AS d FROM f),
 a AS (SELECT tic_id, c, any_value(p) AS p, any_value(e) AS e, count(CASE WHEN d < 0.1::DOUBLE THEN 1 END) AS n_in, count(CASE WHEN d >= 0.5::DOUBLE THEN 1 END) AS n_out, median(CASE WHEN d < 0.1::DOUBLE THEN x END) AS mi, median(CASE WHEN d >= 0.5::DOUBLE THEN x END) AS mo, 1.4826 * mad(CASE WHEN d >= 0.5::DOUBLE THEN x END) AS noise FROM h GROUP BY tic_id, c),
 b AS (SELECT *, round((mo - mi) / noise * sqrt(n_in), 9) AS snr FROM a WHERE n_in >= 3 AND n_out >= 20 AND noise > 0), q AS (SELECT *, row_number() OVER (PARTITION BY tic_id ORDER BY snr DESC, c) AS k FROM b)
 SELECT tic_id, 1 AS sector, round(p, 6) AS period_refined, round(e, 6) AS t0_refined, round(snr, 4) AS refinement_snr FROM q WHERE k = 1""")
 def ephemeris_grid(spark, sf_dir):
-    r = fitting.refine_ephemeris(injected(spark, sf_dir), "flux_norm", periods=9, epochs=9)
+    r = fitting.refine_ephemeris(injected(spark, sf_dir), "flux_norm")
     return rounded(r.withColumn("refinement_snr", F.round("refinement_snr", 4)))
 
 
@@ -55,7 +55,7 @@ def injection_recovery(spark, sf_dir):
 def trained(spark, sf_dir):
     """Labelled candidates with held_out, and a model of the others."""
     rows = models.hold_out(labelled(spark, sf_dir).where("label IS NOT NULL"), "label", F.col("candidate_id"))
-    return rows, models.train(rows.where("NOT held_out"), FEATURES, trees=20)
+    return rows, models.train(rows.where("NOT held_out"), FEATURES)
 
 
 @register()
@@ -75,3 +75,55 @@ def model_counterfactuals(spark, sf_dir):
 @register()
 def vector_anomalies(spark, sf_dir):
     return models.anomalies(tables.read(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "anomaly_score", "is_anomalous")
+
+
+def cleaned(spark, sf_dir):
+    """Injected observations without high outliers, and what cleaning left."""
+    obs = tables.inject(tables.observations(spark, sf_dir), tables.true_period(F.col("tic_id")))
+    left = series.without_outliers(series.clean(obs))
+    summary = series.quality_summary(obs).join(series.gap_metrics(obs), K).withColumn("crowdsap", 0.85 + (F.col("tic_id") % 10) / 100)
+    return left.select(*K, "cadence", "time", "flux_norm", "quality", "centroid_col", "centroid_row"), summary
+
+
+@register()
+def end_to_end_catalog(spark, sf_dir):
+    """Observations to the ranked catalog: cleaning, two searches over three detrendings, fits, evidence, rules, uncertainty."""
+    clean, summary = cleaned(spark, sf_dir)
+    found, variants = search.detect_twice(clean, {"0.50d": 0.5, "1.00d": 1.0, "2.00d": 2.0})
+    return vetting.final_catalog(found, variants, summary)
+
+
+@register()
+def injection_grid(spark, sf_dir):
+    """The grid of 37 signals put into every target and searched for, scored by kind."""
+    found = injection.run(tables.observations(spark, sf_dir), injection.specs(spark))
+    return validation.injection_summary(found.withColumn("final_class", F.when(F.col("detected"), F.lit(catalog.PLANET)).otherwise(catalog.NOTHING)))
+
+
+@register(f"""WITH {INJ}, a AS (SELECT tic_id, median(CASE WHEN abs(ph) >= 0.5::DOUBLE THEN x END) AS m FROM s GROUP BY tic_id) SELECT s.tic_id, 1 AS sector, round(sqrt(avg((x - m) ^ 2)) * 1e6, 3) AS out_rms_ppm FROM s JOIN a USING (tic_id) WHERE abs(ph) >= 0.5::DOUBLE GROUP BY s.tic_id""")
+def out_of_transit_rms(spark, sf_dir):
+    return rounded(vetting.out_rms(injected(spark, sf_dir), "flux_norm"), 3)
+
+
+@register(f"""WITH {INJ}, z AS (SELECT tic_id, x, CASE WHEN i THEN 'i' ELSE 'o' END AS side, row_number() OVER (PARTITION BY tic_id, i ORDER BY time) - 1 AS place, count(*) OVER (PARTITION BY tic_id, i) AS n FROM s WHERE i OR abs(ph) >= 0.5::DOUBLE),
+d AS (SELECT tic_id, side, r, (7919 * r + 104729 * place * (r + 1) + 13) % n AS place FROM z, range(300) q(r)), e AS (SELECT d.tic_id, r, median(CASE WHEN d.side = 'o' THEN x END) - median(CASE WHEN d.side = 'i' THEN x END) AS depth FROM d JOIN z ON z.tic_id = d.tic_id AND z.side = d.side AND z.place = d.place GROUP BY d.tic_id, r), n AS (SELECT tic_id, count(CASE WHEN side = 'i' THEN 1 END) AS ni, count(CASE WHEN side = 'o' THEN 1 END) AS no FROM z GROUP BY tic_id)
+SELECT tic_id, 1 AS sector, round(stddev_samp(depth) * 1e6, 3) AS boot_err_ppm FROM e JOIN n USING (tic_id) WHERE ni >= 3 AND no >= 20 GROUP BY tic_id""")
+def residual_bootstrap(spark, sf_dir):
+    return rounded(vetting.residual_bootstrap(injected(spark, sf_dir), "flux_norm"), 3)
+
+
+@register(f"""WITH {INJ}, p AS (SELECT *, abs(ph / period) AS c, 0.2::DOUBLE / (2 * period) AS half, 0.15::DOUBLE * 0.2::DOUBLE / (2 * period) AS ramp FROM s), m AS (SELECT *, CASE WHEN c < half - ramp THEN 1 - 0.003::DOUBLE WHEN c < half THEN 1 - 0.003::DOUBLE * greatest(least((half - c) / ramp, 1), 0) ELSE 1 END AS model FROM p) SELECT tic_id, 1 AS sector, round(sum(((x - model) / 0.0005::DOUBLE) ^ 2), 3) AS chi2, count(*) AS n FROM m GROUP BY tic_id""")
+def trapezoid_fit(spark, sf_dir):
+    s = injected(spark, sf_dir)
+    model = fitting.trapezoid(F.col("time"), F.col("period"), F.col("t0"), F.col("duration"), F.sqrt(F.lit(0.003)))
+    return rounded(fitting.chi_square(s, "flux_norm", model, F.lit(0.0005)), 3)
+
+
+@register("""WITH x AS (SELECT s_suppkey, 3000 + (s_suppkey % 60) * 100e0 AS teff, 0.05 + (s_suppkey % 7) / 1e2 AS r, 0.7 + (s_suppkey % 5) / 2e1 AS light, 0.5 + (s_suppkey % 11) / 1e1 AS rad, 0.5 + (s_suppkey % 13) / 1e1 AS period FROM supplier), y AS (SELECT *, (least(greatest(teff, 3500), 8000) - 3500) / 4500 AS u, r * r / light AS depth, pow(6.674e-11 * rad * 1.989e30 * pow(period * 86400, 2) / (4 * pow(3.141592653589793::DOUBLE, 2)), 1 / 3e0) / (rad * 6.957e8) AS ax FROM x),
+z AS (SELECT *, CASE WHEN ax >= 2 THEN ax ELSE 10 END AS a, sqrt(pow(2 * r * 0.002 / light, 2) + pow(r * r * 0.03 / (light * light), 2)) AS de FROM y) SELECT s_suppkey, round(0.5 - 0.3 * u, 6) AS u1, round(0.25 - 0.15 * u, 6) AS u2, round(a, 6) AS axis, round(depth, 9) AS depth, round(sqrt(depth) * rad * 109.076, 6) AS radius, round(109.076 * sqrt(pow(rad * de / (2 * sqrt(depth)), 2) + pow(sqrt(depth) * 0.05 * rad, 2)), 6) AS radius_err FROM z""")
+def planet_geometry(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = tables.read(spark, sf_dir, "supplier").select("s_suppkey", (3000 + (k % 60) * 100.0).alias("teff"), (0.05 + (k % 7) / 100).alias("r"), (0.7 + (k % 5) / 20).alias("light"), (0.5 + (k % 11) / 10).alias("rad"), (0.5 + (k % 13) / 10).alias("period"))
+    u1, u2 = fitting.limb_darkening(F.col("teff"))
+    depth, radius, err = fitting.planet_radius(F.col("r"), F.lit(0.002), F.col("light"), F.col("rad"))
+    return s.select("s_suppkey", F.round(u1, 6).alias("u1"), F.round(u2, 6).alias("u2"), F.round(fitting.scaled_axis(F.col("period"), F.col("rad"), F.col("rad")), 6).alias("axis"), F.round(depth, 9).alias("depth"), F.round(radius, 6).alias("radius"), F.round(err, 6).alias("radius_err"))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import columns as C
 from ..operators import catalog, labels, search, series, validation
 from ..sources import tables
 
@@ -28,6 +27,7 @@ CAND = {
     "depth_err_ppm": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 29) * 5e0 END", "snr": "qty / (2.5e0 * n)", "sde": "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 4 + (o_orderkey % 31) / 3e0 END", "n_transits": "n",
     "secondary_sigma": "(qty % 80) / 1e1", "secondary_ratio": "(o_orderkey % 9) / 5e1", "odd_even_sigma": "(o_orderkey % 53) / 1e1", "centroid_sigma": "(o_custkey % 61) / 1e1", "crowding": "(o_orderkey % 11) / 2e1",
     "data_quality": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey % 10) / 9e0 END", "red_noise": "(o_orderkey % 17) / 4e1", "label_text": "o_orderpriority", "state": "o_orderstatus",
+    "radius_ratio": "CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE (o_orderkey % 23) / 1e2 END", "v_shape_score": "(o_orderkey % 19) / 2e1", "corrected_depth_ppm": "(o_orderkey % 251) * 1e2 * (1 + (o_custkey % 3))", "status": "CASE o_orderstatus WHEN 'F' THEN 'STRONG_DETECTION' WHEN 'O' THEN 'NO_DETECTION' ELSE 'WEAK_DETECTION' END",
     **{f"p_{i}": f"((o_orderkey * {i + 3} + o_custkey) % 23) / 23e0" for i in range(7)},
 }
 CAND_SQL = "base AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, qty, n FROM orders JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS qty, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey), cand AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in CAND.items()) + " FROM base)"
@@ -136,7 +136,7 @@ def odd_even_test(spark, sf_dir):
     return rounded(series.odd_even(series.event_depths(injected(spark, sf_dir), "flux_norm")), 4)
 
 
-@register(f"""WITH {INJ}, {EVENTS}, p AS (SELECT tic_id, depth, row_number() OVER (PARTITION BY tic_id ORDER BY event) - 1 AS place, count(*) OVER (PARTITION BY tic_id) AS n FROM ed WHERE depth IS NOT NULL), d AS (SELECT tic_id, r, (7919 * r + 104729 * place * (r + 1) + 13) % n AS place FROM p, range(100) q(r) WHERE n > 1),
+@register(f"""WITH {INJ}, {EVENTS}, p AS (SELECT tic_id, depth, row_number() OVER (PARTITION BY tic_id ORDER BY event) - 1 AS place, count(*) OVER (PARTITION BY tic_id) AS n FROM ed WHERE depth IS NOT NULL), d AS (SELECT tic_id, r, (7919 * r + 104729 * place * (r + 1) + 13) % n AS place FROM p, range(500) q(r) WHERE n > 1),
 m AS (SELECT d.tic_id, r, median(depth) AS m FROM d JOIN p ON d.tic_id = p.tic_id AND d.place = p.place GROUP BY d.tic_id, r) SELECT tic_id, 1 AS sector, round(stddev_samp(m), 7) AS err FROM m GROUP BY tic_id""")
 def bootstrap_depth_error(spark, sf_dir):
     return rounded(series.bootstrap_depth(series.event_depths(injected(spark, sf_dir), "flux_norm")), 7)
@@ -144,9 +144,9 @@ def bootstrap_depth_error(spark, sf_dir):
 
 @register(f"""WITH {INJ}, g AS (SELECT tic_id, x, ph / period AS c, duration / period AS w, 0.15::DOUBLE + k * 0.005::DOUBLE AS phase FROM s, range(141) r(k)), d AS (SELECT *, abs((c - phase + 0.5::DOUBLE) - floor(c - phase + 0.5::DOUBLE) - 0.5::DOUBLE) AS dist FROM g),
 e AS (SELECT tic_id, phase, x, dist < 0.5::DOUBLE * w AS i, dist < greatest(3 * w, 0.04::DOUBLE) AND dist >= 0.5::DOUBLE * w AND abs(c) > 2 * w AS o FROM d), a AS (SELECT tic_id, phase, count(CASE WHEN i THEN 1 END) AS n_in, count(CASE WHEN o THEN 1 END) AS n_out, median(CASE WHEN i THEN x END) AS mi, median(CASE WHEN o THEN x END) AS mo, 1.4826 * mad(CASE WHEN o THEN x END) AS noise FROM e WHERE i OR o GROUP BY tic_id, phase)
-SELECT tic_id, 1 AS sector, round(greatest(max((mo - mi) / nullif(noise, 0) * sqrt(n_in)), 0), 4) AS secondary_sigma FROM a WHERE n_in >= 3 AND n_out >= 10 GROUP BY tic_id""")
+SELECT tic_id, 1 AS sector, round(greatest(z, 0), 4) AS secondary_sigma, round(phase, 4) AS secondary_phase, round(depth, 6) AS secondary_depth FROM (SELECT tic_id, phase, z, mo - mi AS depth, row_number() OVER (PARTITION BY tic_id ORDER BY z DESC, phase) AS k FROM (SELECT *, round((mo - mi) / nullif(noise, 0) * sqrt(n_in), 9) AS z FROM a WHERE n_in >= 3 AND n_out >= 10) WHERE z IS NOT NULL) WHERE k = 1""")
 def secondary_test(spark, sf_dir):
-    return rounded(series.secondary(injected(spark, sf_dir), "flux_norm").drop("secondary_phase"), 4)
+    return series.secondary(injected(spark, sf_dir), "flux_norm").select(F.col("tic_id"), F.col("sector").cast("long").alias("sector"), F.round("secondary_sigma", 4).alias("secondary_sigma"), F.round("secondary_phase", 4).alias("secondary_phase"), F.round("secondary_depth", 6).alias("secondary_depth"))
 
 
 @register(f"""WITH {INJ}, a AS (SELECT tic_id, count(CASE WHEN i THEN 1 END) AS n, median(CASE WHEN i THEN centroid_col END) - median(CASE WHEN NOT i THEN centroid_col END) AS dc, median(CASE WHEN i THEN centroid_row END) - median(CASE WHEN NOT i THEN centroid_row END) AS dr, 1.4826 * mad(CASE WHEN NOT i THEN centroid_col END) AS sc, 1.4826 * mad(CASE WHEN NOT i THEN centroid_row END) AS sr FROM s GROUP BY tic_id)
@@ -170,29 +170,43 @@ def folded_medians(spark, sf_dir):
     return rounded(series.phase_bins(injected(spark, sf_dir), "flux_norm"))
 
 
-SEARCH = f"""{INJ}, y AS (SELECT tic_id, x - median(x) OVER (PARTITION BY tic_id) AS y, time - min(time) OVER (PARTITION BY tic_id) AS t FROM s), g AS (SELECT tic_id, y, t, 1.0::DOUBLE + k * (4.0::DOUBLE / 99) AS period FROM y, range(100) r(k)),
-b AS (SELECT tic_id, period, CAST(least(floor((t - floor(t / period) * period) / period * 60), 59) AS INT) AS bin, sum(y) / count(*) AS m FROM g GROUP BY ALL), sp AS (SELECT DISTINCT tic_id, period, k AS bin FROM (SELECT DISTINCT tic_id, period FROM g), range(60) r(k)),
-de AS (SELECT tic_id, period, bin, coalesce(m, 0) AS m FROM sp LEFT JOIN b USING (tic_id, period, bin)), dup AS (SELECT tic_id, period, bin AS i, m FROM de UNION ALL SELECT tic_id, period, bin + 60, m FROM de), cu AS (SELECT tic_id, period, i, sum(m) OVER (PARTITION BY tic_id, period ORDER BY i) AS c FROM dup),
-du AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE]) AS duration), tr AS (SELECT DISTINCT tic_id, period, duration, greatest(1, least(CAST(round_even(duration / period * 60, 0) AS INT), 20)) AS width FROM (SELECT DISTINCT tic_id, period FROM cu), du),
-bx AS (SELECT tr.*, round((h.c - l.c) / width, 12) AS mean FROM tr JOIN cu l ON l.tic_id = tr.tic_id AND l.period = tr.period AND l.i < 60 JOIN cu h ON h.tic_id = l.tic_id AND h.period = l.period AND h.i = l.i + width), be AS (SELECT tic_id, period, duration, width, min(mean) AS mean FROM bx GROUP BY ALL),
-sg AS (SELECT tic_id, 1.4826 * mad(x) AS sigma FROM s GROUP BY tic_id), sc AS (SELECT tic_id, period, duration, width, -mean AS depth, CASE WHEN mean < 0 THEN -mean / sigma * sqrt(width) ELSE 0 END AS score, mean * mean * (width / 60) / (1 - width / 60) AS power FROM be JOIN sg USING (tic_id))"""
+# the default search: 4000 periods from 0.2 days to the baseline's half (13.5 at most), 12 durations, 240 bins
+SEARCH = f"""{INJ}, q0 AS (SELECT tic_id, median(x) AS med, 1.4826 * mad(x) AS sigma, min(time) AS t1, least(13.5::DOUBLE, (max(time) - min(time)) / 2) AS hi FROM s GROUP BY tic_id), y AS (SELECT s.tic_id, x - med AS y, time - t1 AS t, hi FROM s JOIN q0 USING (tic_id)),
+g AS (SELECT tic_id, trial, y, t, 0.2::DOUBLE + trial * ((hi - 0.2::DOUBLE) / 3999) AS period FROM y, range(4000) r(trial)), b AS (SELECT tic_id, trial, any_value(period) AS period, CAST(least(floor((t - floor(t / period) * period) / period * 240), 239) AS INT) AS bin, sum(y) / count(*) AS m FROM g GROUP BY tic_id, trial, CAST(least(floor((t - floor(t / period) * period) / period * 240), 239) AS INT)),
+sp AS (SELECT tic_id, trial, k AS bin FROM (SELECT DISTINCT tic_id, trial FROM b), range(240) r(k)), de AS (SELECT tic_id, trial, bin, coalesce(m, 0) AS m FROM sp LEFT JOIN b USING (tic_id, trial, bin)), dup AS (SELECT tic_id, trial, bin AS i, m FROM de UNION ALL SELECT tic_id, trial, bin + 240, m FROM de),
+cu AS (SELECT tic_id, trial, i, sum(m) OVER (PARTITION BY tic_id, trial ORDER BY i) AS c FROM dup), li AS (SELECT tic_id, trial, list_prepend(0::DOUBLE, list(c ORDER BY i)) AS c FROM cu GROUP BY tic_id, trial), pe AS (SELECT tic_id, trial, any_value(period) AS period FROM b GROUP BY tic_id, trial),
+tr AS (SELECT tic_id, trial, period, d, 0.02::DOUBLE + 0.28::DOUBLE * d / 11 AS duration, CAST(greatest(1, least(round_even((0.02::DOUBLE + 0.28::DOUBLE * d / 11) / period * 240, 0), 80)) AS INT) AS width, c FROM li JOIN pe USING (tic_id, trial), range(12) r(d)),
+bx AS (SELECT tic_id, trial, period, d, duration, width, list_min(list_transform(range(0, 240), lambda i: round((c[i + 1 + width] - c[i + 1]) / width, 12))) AS mean FROM tr), sc AS (SELECT tic_id, trial, period, d, duration, width, -mean AS depth, CASE WHEN mean < 0 THEN -mean / sigma * sqrt(width) ELSE 0 END AS score FROM bx JOIN q0 USING (tic_id)),
+pp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tic_id, trial ORDER BY score DESC, d) AS k FROM sc) WHERE k = 1)"""
+BEST = f"""{SEARCH}, mm AS (SELECT tic_id, median(score) AS med, 1.4826 * mad(score) AS spread, min(period) AS lo, max(period) AS hi FROM pp GROUP BY tic_id), tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tic_id ORDER BY round(score, 9) DESC, trial) AS kk FROM pp) WHERE kk = 1),
+hm AS (SELECT t.tic_id, t.score AS top, h FROM (SELECT *, unnest([period / 2, period / 3, period * 2, period * 3]) AS h FROM tp) t JOIN mm USING (tic_id) WHERE h >= lo AND h <= hi), nr AS (SELECT tic_id, top, score FROM (SELECT hm.tic_id, top, pp.score, row_number() OVER (PARTITION BY hm.tic_id, h ORDER BY round(abs(pp.period - h), 9), pp.trial) AS kn FROM hm JOIN pp USING (tic_id)) WHERE kn = 1),
+bs AS (SELECT tp.tic_id, tp.period, tp.duration, tp.score, (tp.score - med) / nullif(spread, 0) AS sde, coalesce(al.a, false) AND (tp.score - med) / nullif(spread, 0) >= 8 AS alias FROM tp JOIN mm USING (tic_id) LEFT JOIN (SELECT tic_id, bool_or(score > 0.8 * top) AS a FROM nr GROUP BY tic_id) al USING (tic_id))"""
 
 
-def scored(spark, sf_dir):
-    s = injected(spark, sf_dir)
-    sums = search.phase_sums(s, "flux_norm", 1.0, 5.0, 100, 60)
-    return search.box_scores(sums, series.robust(s, K, "flux_norm").select(*K, "sigma"), [0.1, 0.2], 60)
+def scored(spark, sf_dir, **settings):
+    return search.periodogram(injected(spark, sf_dir), "flux_norm", **settings)
 
 
-@register(f"WITH {SEARCH} SELECT tic_id, 1 AS sector, round(period, 6) AS period, round(duration, 6) AS duration, CAST(width AS BIGINT) AS width, round(depth, 6) AS depth, round(score, 6) AS score, round(power, 6) AS power FROM sc")
+@register(f"WITH {SEARCH} SELECT tic_id, 1 AS sector, trial, round(period, 6) AS period, round(duration, 6) AS duration, CAST(width AS BIGINT) AS width, round(depth, 6) AS depth, round(score, 5) AS score FROM pp")
 def box_search(spark, sf_dir):
-    return rounded(scored(spark, sf_dir).drop("first"))
+    """The best box of each of 4000 trial periods."""
+    return rounded(scored(spark, sf_dir).drop("t0").withColumn("score", F.round("score", 5)))
 
 
-@register(f"WITH {SEARCH}, pp AS (SELECT tic_id, period, max(score) AS score FROM sc GROUP BY ALL), q AS (SELECT tic_id, max(score) AS score, median(score) AS med, 1.4826 * mad(score) AS sp FROM pp GROUP BY tic_id) SELECT q.tic_id, 1 AS sector, round(arg_max(pp.period, pp.score), 6) AS period, round(any_value(q.score), 4) AS score, round(any_value((q.score - med) / sp), 4) AS sde FROM q JOIN pp USING (tic_id) GROUP BY q.tic_id")
+@register(f"WITH {BEST} SELECT tic_id, 1 AS sector, round(period, 6) AS period, round(duration, 6) AS duration, round(score, 4) AS score, round(sde, 4) AS sde, alias FROM bs")
 def best_box(spark, sf_dir):
     b = search.best_period(scored(spark, sf_dir))
-    return b.select(F.col("tic_id"), F.col("sector").cast("long").alias("sector"), F.round("period", 6).alias("period"), F.round("score", 4).alias("score"), F.round("sde", 4).alias("sde"))
+    return b.select("tic_id", F.col("sector").cast("long").alias("sector"), F.round("period", 6).alias("period"), F.round("duration", 6).alias("duration"), F.round("score", 4).alias("score"), F.round("sde", 4).alias("sde"), "alias")
+
+
+@register()
+def best_robust_box(spark, sf_dir):
+    return search.best_period(scored(spark, sf_dir, method="robust_box")).select("tic_id", "sector", "period", "duration", "score", "sde", "alias")
+
+
+@register()
+def best_least_squares_box(spark, sf_dir):
+    return search.best_period(scored(spark, sf_dir, method="bls", mode="frequency")).select("tic_id", "sector", "period", "duration", "score", "sde", "alias")
 
 
 GUARD = f"""{CAND_SQL}, g0 AS (SELECT *, secondary_sigma >= 5 AND secondary_ratio >= 0.05 AS h1, secondary_sigma >= 5 AND NOT (secondary_sigma >= 5 AND secondary_ratio >= 0.05) AS h2, odd_even_sigma >= 3 AS h3, centroid_sigma >= 5 AS h4, centroid_sigma >= 3 AND centroid_sigma < 5 AND crowding >= 0.25 AS h5, crowding >= 0.4 AS h6, coalesce(data_quality <= 0.35, false) AS h7, snr < 6 AS h8 FROM cand),
@@ -212,30 +226,67 @@ def guarded_classes(spark, sf_dir):
     return rounded(decided(spark, sf_dir).select("tic_id", "candidate_id", "final_class", "confidence", "margin", "guard_warnings"))
 
 
+GUARD_WARNINGS = "concat_ws(';', CASE WHEN h1 THEN 'STRONG_SECONDARY' END, CASE WHEN h2 THEN 'SECONDARY' END, CASE WHEN h3 THEN 'ODD_EVEN' END, CASE WHEN h4 THEN 'CENTROID_STRONG' END, CASE WHEN h5 THEN 'CENTROID_CROWDED' END, CASE WHEN h6 THEN 'CROWDED' END, CASE WHEN h7 THEN 'LOW_QUALITY' END, CASE WHEN h8 THEN 'LOW_SNR' END)"
 PRIORITY = f"""{GUARD}, pr AS (SELECT *, least(greatest(confidence, 0), 1) AS conf, confidence < 0.5 OR margin < 0.15 AS needs_review, round(100 * confidence + 4 * least(snr, 30) + 5 * least(n_transits, 6) + 20 * coalesce(data_quality, 0.6) + CASE final_class {' '.join(f"WHEN '{k}' THEN {v}" for k, v in catalog.OFFSETS.items())} ELSE 0 END - 8 * greatest(secondary_sigma - 3, 0) - 7 * greatest(odd_even_sigma - 2, 0) - 7 * greatest(centroid_sigma - 2, 0) - 25 * greatest(crowding - 0.25, 0), 6) AS priority_score FROM dec),
 ac AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, tic_id, candidate_id) AS priority_rank, confidence >= 0.75 AND secondary_sigma < 4 AND odd_even_sigma < 3 AND centroid_sigma < 3 AS fine FROM pr)"""
 
 
 @register(f"""WITH {PRIORITY} SELECT tic_id, candidate_id, final_class, round(conf, 6) AS confidence, round(greatest(duration_days, 1e-6) * 24, 6) AS duration_hours, needs_review,
-concat_ws(';', CASE WHEN secondary_sigma >= 5 THEN 'SECONDARY_RISK' END, CASE WHEN odd_even_sigma >= 3 THEN 'ODD_EVEN_RISK' END, CASE WHEN centroid_sigma >= 3 THEN 'CENTROID_RISK' END, CASE WHEN crowding >= 0.3 THEN 'CROWDING_RISK' END) AS risk_summary, priority_score,
+concat_ws(';', nullif({GUARD_WARNINGS}, ''), CASE WHEN secondary_sigma >= 5 THEN 'SECONDARY_RISK' END, CASE WHEN odd_even_sigma >= 3 THEN 'ODD_EVEN_RISK' END, CASE WHEN centroid_sigma >= 3 THEN 'CENTROID_RISK' END, CASE WHEN crowding >= 0.3 THEN 'CROWDING_RISK' END) AS risk_summary, priority_score,
 CASE WHEN needs_review THEN 'MANUAL_REVIEW_REQUIRED__' ELSE '' END || CASE WHEN final_class = '{catalog.PLANET}' AND fine AND crowding >= 0.25 THEN 'HIGH_PRIORITY_PLANET_CANDIDATE__CHECK_GAIA_TPF_CONTAMINATION' WHEN final_class = '{catalog.PLANET}' AND fine THEN 'HIGH_PRIORITY_PLANET_CANDIDATE__VISUAL_REVIEW_AND_FOLLOWUP' WHEN final_class = '{catalog.PLANET}' THEN 'PLANET_CANDIDATE__NEEDS_ADDITIONAL_VETTING' WHEN final_class = '{catalog.BINARY}' THEN 'LIKELY_ECLIPSING_BINARY__VERIFY_PERIOD_ALIAS_AND_SECONDARY' WHEN final_class = '{catalog.BLEND}' THEN 'LIKELY_BLEND__INSPECT_CENTROIDS_TPF_AND_NEARBY_SOURCES' WHEN final_class = '{catalog.UNCERTAIN}' AND snr >= 7 THEN 'UNCERTAIN_TRANSIT_LIKE_SIGNAL__KEEP_FOR_REVIEW' WHEN final_class = '{catalog.SYSTEMATIC}' THEN 'LIKELY_SYSTEMATIC_OR_LOW_QUALITY__LOW_PRIORITY' ELSE 'NO_ACTION_OR_LOW_PRIORITY' END AS recommended_action, priority_rank FROM ac""")
 def final_catalog(spark, sf_dir):
     c = catalog.harmonise(decided(spark, sf_dir))
     return rounded(c.select("tic_id", "candidate_id", "final_class", "confidence", "duration_hours", "needs_review", "risk_summary", "priority_score", "recommended_action", "priority_rank"))
 
 
-@register(f"WITH {PRIORITY} SELECT 'NO_ISSUES' AS issue, count(*) - count(*) AS n FROM ac WHERE priority_rank < 0 GROUP BY 1")
+FAULTS = {"final_class": "CASE WHEN candidate_id % 11 = 0 THEN 'SOMETHING_ELSE' WHEN candidate_id % 17 = 0 THEN NULL ELSE final_class END", "confidence": "CASE WHEN candidate_id % 13 = 0 THEN 1.5e0 ELSE confidence END", "tic_id": "CASE WHEN candidate_id % 19 = 0 THEN NULL ELSE tic_id END", "depth_ppm": "CASE WHEN candidate_id % 7 = 0 THEN 0e0 ELSE depth_ppm END", "priority_rank": "CASE WHEN candidate_id % 23 = 0 THEN 1 ELSE priority_rank END"}
+
+
+@register(f"""WITH {PRIORITY}, fa AS (SELECT {FAULTS['final_class']} AS final_class, {FAULTS['confidence'].replace('confidence END', 'conf END')} AS confidence, {FAULTS['tic_id']} AS tic_id, CASE WHEN candidate_id % 7 = 0 THEN 0e0 ELSE greatest(depth_ppm, 1e-6) END AS depth_ppm, {FAULTS['priority_rank']} AS priority_rank FROM ac),
+n AS (SELECT unnest([{{'issue': 'UNKNOWN_CLASS', 'n': (SELECT count(*) FROM fa WHERE final_class IS NULL OR final_class NOT IN {tuple(catalog.CLASSES)})}}, {{'issue': 'CONFIDENCE_RANGE', 'n': (SELECT count(*) FROM fa WHERE confidence < 0 OR confidence > 1)}}, {{'issue': 'NO_TARGET', 'n': (SELECT count(*) FROM fa WHERE tic_id IS NULL)}},
+{{'issue': 'DEPTH_PPM_RANGE', 'n': (SELECT count(*) FROM fa WHERE depth_ppm <= 0)}}, {{'issue': 'RANK_NOT_CONTIGUOUS', 'n': (SELECT CAST(count(DISTINCT priority_rank) <> count(*) OR min(priority_rank) <> 1 OR max(priority_rank) <> count(*) AS BIGINT) FROM fa)}}], recursive := true)) SELECT issue, n FROM n WHERE n > 0""")
 def catalog_issues(spark, sf_dir):
-    return catalog.schema_issues(catalog.harmonise(decided(spark, sf_dir)))
+    """The contract's check over a catalog with planted faults."""
+    c = catalog.harmonise(decided(spark, sf_dir))
+    return catalog.schema_issues(c.withColumns({k: F.expr(v) for k, v in FAULTS.items()}))
+
 
+@register(f"WITH {PRIORITY} SELECT {FAULTS['final_class'].replace(' WHEN candidate_id % 17 = 0 THEN NULL', '')} AS name, count(*) AS n FROM ac WHERE candidate_id % 11 = 0 GROUP BY 1")
+def unknown_classes(spark, sf_dir):
+    c = decided(spark, sf_dir).withColumn("final_class", F.expr(FAULTS["final_class"].replace(" WHEN candidate_id % 17 = 0 THEN NULL", "")))
+    return catalog.unknown_classes(c)
 
-@register(f"WITH {PRIORITY} SELECT final_class, count(*) AS n, count(DISTINCT tic_id) AS targets, round(avg(conf), 6) AS confidence, round(max(snr), 6) AS best_snr FROM ac GROUP BY final_class")
+
+@register(f"WITH {PRIORITY} SELECT final_class, count(*) AS n, count(DISTINCT tic_id) AS targets, round(avg(conf), 6) AS confidence, round(max(snr), 6) AS best_snr FROM ac GROUP BY GROUPING SETS ((final_class), ())")
 def catalog_summary(spark, sf_dir):
-    c = catalog.harmonise(decided(spark, sf_dir))
-    return rounded(c.groupBy("final_class").agg(F.count("*").alias("n"), F.countDistinct("tic_id").alias("targets"), F.avg("confidence").alias("confidence"), F.max("snr").alias("best_snr")))
+    return rounded(catalog.summary(catalog.harmonise(decided(spark, sf_dir))))
+
+
+@register(f"WITH {PRIORITY} SELECT priority_rank, tic_id, candidate_id, priority_score FROM ac ORDER BY priority_rank LIMIT 10")
+def catalog_top(spark, sf_dir):
+    return rounded(catalog.top(catalog.harmonise(decided(spark, sf_dir))).select("priority_rank", "tic_id", "candidate_id", "priority_score"))
+
+
+@register(f"WITH {CAND_SQL}, t AS (SELECT c_custkey AS tic_id FROM customer) SELECT t.tic_id, count(candidate_id) AS n_candidates, round(max(snr), 6) AS best_snr, round(max(data_quality), 6) AS best_confidence FROM t LEFT JOIN cand USING (tic_id) GROUP BY t.tic_id")
+def target_summary(spark, sf_dir):
+    targets = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tic_id"))
+    found = candidates(spark, sf_dir).withColumns({"unc_effective_snr": F.lit(None).cast("double"), "final_confidence": F.col("data_quality")})
+    return rounded(catalog.target_summary(targets, found, ["tic_id"]))
+
+
+@register(f"""WITH {CAND_SQL}, k AS (SELECT *, candidate_id % 4 = 0 AS v, candidate_id % 3 <> 0 AS m FROM cand) SELECT tic_id, candidate_id, round(CASE WHEN v THEN p_1 END, 6) AS model_p, round(CASE WHEN m THEN p_2 END, 6) AS table_p, round(CASE WHEN v AND m THEN (0.5 * p_1 + 0.5 * p_2) / nullif(0.5 * (p_0 + p_3) + 0.5 * p_1 + 0.5 * p_2, 0) END, 6) AS both FROM k""")
+def attached_predictions(spark, sf_dir):
+    """Predictions of two models joined to their candidates, those of the first winning; and class probabilities of both blended."""
+    c, k = candidates(spark, sf_dir), ["tic_id", "candidate_id"]
+    views = c.where("candidate_id % 4 = 0").select(*k, F.col("p_1").alias("model_p"))
+    table = c.where("candidate_id % 3 <> 0").select(*k, F.col("p_0").alias("model_p"), F.col("p_2").alias("table_p"))
+    out = catalog.attach_predictions(c.select(*k, "p_0", "p_3"), k, views, table)
+    a = out.withColumns({"a_0": F.col("p_0"), "b_0": F.lit(0.0), "a_1": F.col("model_p"), "a_2": F.lit(0.0), "b_2": F.col("table_p"), "b_3": F.col("p_3")})
+    mixed = catalog.blend_classes(a, "a_", "b_")
+    return rounded(mixed.select(*k, "model_p", "table_p", F.when(F.col("model_p").isNotNull() & F.col("table_p").isNotNull(), F.try_divide(F.col("p_1") + F.col("p_2"), F.col("p_0") + F.col("p_1") + F.col("p_2") + F.col("p_3"))).alias("both")))
 
 
-@register(f"""WITH {CAND_SQL}, v AS (SELECT *, CASE WHEN n_transits >= 3 AND snr >= 10 AND coalesce(sde >= 8, true) THEN 'STRONG_DETECTION' WHEN n_transits >= 2 AND snr >= 7 AND coalesce(sde >= 6, true) THEN 'WEAK_DETECTION' ELSE 'NO_DETECTION' END AS status FROM cand), r AS (SELECT *, row_number() OVER (PARTITION BY tic_id ORDER BY CASE status WHEN 'STRONG_DETECTION' THEN 2 WHEN 'WEAK_DETECTION' THEN 1 ELSE 0 END DESC, snr DESC, coalesce(sde, -999) DESC, candidate_id) AS rank FROM v) SELECT tic_id, candidate_id, status, rank FROM r WHERE rank <= 3""")
+@register(f"""WITH {CAND_SQL}, v AS (SELECT * EXCLUDE (status), CASE WHEN n_transits >= 3 AND snr >= 10 AND coalesce(sde >= 8, true) THEN 'STRONG_DETECTION' WHEN n_transits >= 2 AND snr >= 7 AND coalesce(sde >= 6, true) THEN 'WEAK_DETECTION' ELSE 'NO_DETECTION' END AS status FROM cand), r AS (SELECT *, row_number() OVER (PARTITION BY tic_id ORDER BY CASE status WHEN 'STRONG_DETECTION' THEN 2 WHEN 'WEAK_DETECTION' THEN 1 ELSE 0 END DESC, snr DESC, coalesce(sde, -999) DESC, candidate_id) AS rank FROM v) SELECT tic_id, candidate_id, status, rank FROM r WHERE rank <= 3""")
 def ranked_candidates(spark, sf_dir):
     c = candidates(spark, sf_dir)
     c = c.withColumn("status", search.status(F.col("snr"), F.col("sde"), F.col("n_transits")))
@@ -243,15 +294,20 @@ def ranked_candidates(spark, sf_dir):
 
 
 RULES = f"""{CAND_SQL}, a AS (SELECT *, round(least(greatest(0.45 / (1 + exp(-(snr - 8) / 2)) + CASE WHEN sde IS NOT NULL THEN 0.25 / (1 + exp(-(sde - 7) / 1.5)) ELSE 0.12 END + 0.20 * least(n_transits / 3, 1) + 0.10 * coalesce(data_quality, 0.5), 0), 1), 10) AS strength,
-least(CASE WHEN secondary_sigma >= 5 AND secondary_ratio >= 0.05 THEN 0.45e0 ELSE 0 END + CASE WHEN secondary_sigma >= 5 AND secondary_ratio < 0.05 THEN 0.25e0 ELSE 0 END + CASE WHEN odd_even_sigma >= 3 THEN 0.35e0 ELSE 0 END + CASE WHEN depth_ppm > 15000 THEN 0.20e0 ELSE 0 END, 1e0) AS s_1,
-least(CASE WHEN centroid_sigma >= 5 THEN 0.55e0 ELSE 0 END + CASE WHEN centroid_sigma >= 3 AND centroid_sigma < 5 THEN 0.25e0 ELSE 0 END + CASE WHEN crowding > 0.3e0 THEN 0.30e0 ELSE 0 END + CASE WHEN crowding > 0.15e0 AND crowding <= 0.3e0 THEN 0.15e0 ELSE 0 END, 1e0) AS s_2, CASE WHEN red_noise > 0.25 THEN 0.25e0 ELSE 0 END AS s_3,
-least(CASE WHEN coalesce(data_quality, 0.5e0) < 0.45e0 THEN 0.35e0 ELSE 0 END + CASE WHEN n_transits < 2 THEN 0.25e0 ELSE 0 END + CASE WHEN depth_ppm <= 0 THEN 0.35e0 ELSE 0 END, 1e0) AS s_4 FROM cand), b AS (SELECT *, round(least(greatest(strength * (1 - 0.75e0 * greatest(s_1, s_2, s_3, s_4)), 0), 1), 10) AS s_0 FROM a),
+round(least(CASE WHEN secondary_sigma >= 5 AND secondary_ratio >= 0.05 THEN 0.45e0 ELSE 0 END + CASE WHEN secondary_sigma >= 5 AND secondary_ratio < 0.05 THEN 0.25e0 ELSE 0 END + CASE WHEN odd_even_sigma >= 3 THEN 0.35e0 ELSE 0 END + CASE WHEN depth_ppm > 15000 THEN 0.20e0 ELSE 0 END + CASE WHEN radius_ratio > 0.18e0 THEN 0.20e0 ELSE 0 END + CASE WHEN v_shape_score < 0.45e0 THEN 0.12e0 ELSE 0 END, 1e0), 10) AS s_1,
+round(least(CASE WHEN centroid_sigma >= 5 THEN 0.55e0 ELSE 0 END + CASE WHEN centroid_sigma >= 3 AND centroid_sigma < 5 THEN 0.25e0 ELSE 0 END + CASE WHEN crowding > 0.3e0 THEN 0.30e0 ELSE 0 END + CASE WHEN crowding > 0.15e0 AND crowding <= 0.3e0 THEN 0.15e0 ELSE 0 END + CASE WHEN corrected_depth_ppm > 2 * depth_ppm AND corrected_depth_ppm > 5000 THEN 0.15e0 ELSE 0 END, 1e0), 10) AS s_2,
+round(CASE WHEN red_noise > 0.25 THEN 0.25e0 ELSE 0 END + CASE WHEN v_shape_score < 0.2e0 AND duration_days > 0.12e0 * period_days THEN 0.25e0 ELSE 0 END + CASE WHEN status = 'NO_DETECTION' THEN 0.1e0 ELSE 0 END, 10) AS s_3,
+round(least(CASE WHEN coalesce(data_quality, 0.5e0) < 0.45e0 THEN 0.35e0 ELSE 0 END + CASE WHEN n_transits < 2 THEN 0.25e0 ELSE 0 END + CASE WHEN depth_ppm <= 0 THEN 0.35e0 ELSE 0 END, 1e0), 10) AS s_4 FROM cand), b AS (SELECT *, round(least(greatest(strength * (1 - 0.75e0 * greatest(s_1, s_2, s_3, s_4)), 0), 1), 10) AS s_0 FROM a),
 c AS (SELECT *, [s_0, s_1, s_2, s_3, s_4] AS l FROM b), d AS (SELECT *, list_max(l) AS top, {catalog.CLASSES}[list_position(l, list_max(l))] AS name, list_reverse_sort(l)[2] AS second FROM c)"""
 
 
-@register(f"WITH {RULES} SELECT tic_id, candidate_id, round(s_0, 6) AS s_0, round(s_1, 6) AS s_1, round(s_2, 6) AS s_2, round(s_3, 6) AS s_3, round(s_4, 6) AS s_4, CASE WHEN top < 0.45e0 THEN CASE WHEN strength >= 0.35 THEN '{catalog.UNCERTAIN}' ELSE '{catalog.NOTHING}' END WHEN name = '{catalog.PLANET}' AND top - second < 0.12e0 THEN '{catalog.UNCERTAIN}' ELSE name END AS rule_class FROM d")
+@register(f"""WITH {RULES} SELECT tic_id, candidate_id, round(s_0, 6) AS s_0, round(s_1, 6) AS s_1, round(s_2, 6) AS s_2, round(s_3, 6) AS s_3, round(s_4, 6) AS s_4, CASE WHEN top < 0.45e0 THEN CASE WHEN strength >= 0.35 THEN '{catalog.UNCERTAIN}' ELSE '{catalog.NOTHING}' END WHEN name = '{catalog.PLANET}' AND top - second < 0.12e0 THEN '{catalog.UNCERTAIN}' ELSE name END AS rule_class,
+round(CASE WHEN top < 0.45e0 THEN CASE WHEN strength >= 0.35 THEN 0.45e0 ELSE greatest(strength, 1 - strength) END WHEN name = '{catalog.PLANET}' AND top - second < 0.12e0 THEN s_0 ELSE top END, 6) AS rule_confidence,
+concat_ws(';', CASE WHEN snr >= 10 THEN 'strong_transit_snr' WHEN snr >= 7 THEN 'moderate_transit_snr' END, CASE WHEN secondary_sigma >= 5 AND secondary_ratio >= 0.05 THEN 'significant_secondary_eclipse' WHEN secondary_sigma >= 5 THEN 'possible_secondary_eclipse' END, CASE WHEN odd_even_sigma >= 3 THEN 'odd_even_depth_mismatch' END, CASE WHEN depth_ppm > 15000 THEN 'very_deep_event' END, CASE WHEN radius_ratio > 0.18e0 THEN 'large_radius_ratio' END, CASE WHEN v_shape_score < 0.45e0 THEN 'triangular_or_poorly_flat_bottom_event' END,
+CASE WHEN centroid_sigma >= 5 THEN 'significant_centroid_shift' WHEN centroid_sigma >= 3 THEN 'marginal_centroid_shift' END, CASE WHEN crowding > 0.3e0 THEN 'high_crowding_risk' WHEN crowding > 0.15e0 THEN 'moderate_crowding_risk' END, CASE WHEN corrected_depth_ppm > 2 * depth_ppm AND corrected_depth_ppm > 5000 THEN 'large_dilution_correction' END, CASE WHEN red_noise > 0.25 THEN 'red_noise_or_quasiperiodic_variability' END,
+CASE WHEN v_shape_score < 0.2e0 AND duration_days > 0.12e0 * period_days THEN 'broad_dip_relative_to_period' END, CASE WHEN coalesce(data_quality, 0.5e0) < 0.45e0 THEN 'low_data_quality' END, CASE WHEN n_transits < 2 THEN 'few_full_transits' END, CASE WHEN depth_ppm <= 0 THEN 'non_positive_depth' END) AS rule_evidence FROM d""")
 def rule_classes(spark, sf_dir):
-    return rounded(catalog.rule_scores(candidates(spark, sf_dir)).select("tic_id", "candidate_id", *[f"s_{i}" for i in range(5)], "rule_class"))
+    return rounded(catalog.rule_scores(candidates(spark, sf_dir)).select("tic_id", "candidate_id", *[f"s_{i}" for i in range(5)], "rule_class", "rule_confidence", "rule_evidence"))
 
 
 @register(f"""WITH {GUARD}, u AS (SELECT *, 1 + least(red_noise, 1) AS beta, coalesce(depth_err_ppm, depth_ppm / greatest(snr, 1)) * (1 + least(red_noise, 1)) AS err FROM dec), w AS (SELECT *, 0.45 / (1 + exp(-(snr / beta - 7) / 2)) + 0.25 * coalesce(1 / (1 + exp(-(sde - 6) / 1.5)), 0.5) + 0.2 * least(n_transits / 3, 1) + 0.1 * coalesce(data_quality, 0.7) AS det,
@@ -331,10 +387,45 @@ def pending_targets(spark, sf_dir):
     return rounded(catalog.pending(candidates(spark, sf_dir).select("candidate_id", "tic_id"), done, ["tic_id"]))
 
 
-@register("WITH p AS (SELECT p_partkey, lower(translate(trim(p_type), ' -/', '___')) AS k, p_retailprice * 2000 AS bjd FROM part) SELECT p_partkey, k AS label_key, round(CASE WHEN bjd > 2400000 THEN bjd - 2457000 ELSE bjd END, 4) AS epoch, CAST(NULL AS VARCHAR) AS label FROM p")
+NAMES = [a for xs in labels.ALIASES.values() for a in xs] + [c.lower() for c in catalog.CLASSES] + ["what is this", ""]
+NAMES_SQL = "[" + ", ".join(f"'{x}'" for x in NAMES) + "]"
+CLASS_SQL = "CASE " + " ".join(f"WHEN k IN ({', '.join(repr(a) for a in [*xs, c.lower()])}) THEN '{c}'" for c, xs in labels.ALIASES.items()) + " END"
+
+
+@register(f"WITH p AS (SELECT p_partkey, ' ' || upper(replace({NAMES_SQL}[1 + p_partkey % {len(NAMES)}], '_', CASE p_partkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN '-' ELSE '_' END)) AS name, p_retailprice * 2000 AS bjd FROM part), q AS (SELECT *, lower(translate(trim(name), ' -/', '___')) AS k FROM p) SELECT p_partkey, k AS label_key, round(CASE WHEN bjd > 2400000 THEN bjd - 2457000 ELSE bjd END, 4) AS epoch, {CLASS_SQL} AS label FROM q")
 def metadata_normalised(spark, sf_dir):
+    """Every name of every class, in three spellings."""
+    p = tables.read(spark, sf_dir, "part")
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (1 + F.col("p_partkey") % len(NAMES)).cast("int"))
+    name = F.concat(F.lit(" "), F.upper(F.replace(name, F.lit("_"), F.when(F.col("p_partkey") % 3 == 0, " ").when(F.col("p_partkey") % 3 == 1, "-").otherwise("_"))))
+    return p.select("p_partkey", labels.key_of(name).alias("label_key"), F.round(labels.epoch((F.col("p_retailprice") * 2000).cast("double")), 4).alias("epoch"), labels.normalise_label(name).alias("label"))
+
+
+DISP = [w for words, *_ in labels.DISPOSITIONS["kepler-dr25"] for w in words] + ["eclipsing binary", "quiet", "apc", "nan", "who knows"]
+DISP_SQL = "[" + ", ".join(f"'{x}'" for x in DISP) + "]"
+
+
+@register(f"""WITH p AS (SELECT p_partkey, replace({DISP_SQL}[1 + p_partkey % {len(DISP)}], '_', ' ') AS w, p_size FROM part), q AS (SELECT *, CASE WHEN w <> 'nan' THEN replace(lower(w), ' ', '_') END AS k FROM p)
+SELECT p_partkey AS kepid, 'kepler-dr25' AS source, CASE WHEN k IN ('confirmed', 'candidate', 'planet_candidate', 'pc', 'apc') THEN '{catalog.PLANET}' WHEN k IN ('afp', 'astrophysical_false_positive', 'eclipsing_binary') THEN '{catalog.BINARY}' WHEN k IN ('ntp', 'non_transiting_phenomenon', 'false_alarm') THEN '{catalog.SYSTEMATIC}' WHEN k = 'quiet' THEN '{catalog.NOTHING}' END AS canonical_label,
+CASE WHEN k IN ('confirmed', 'candidate', 'planet_candidate', 'pc', 'apc') THEN 'planet_like' WHEN k <> 'who_knows' THEN 'false_positive_or_other' END AS binary_label, CASE WHEN k IN ('false_positive', 'fp') THEN 'kepler_false_positive_subtype_not_assumed' ELSE '' END AS label_notes,
+p_size / 4e0 AS period_days, round(CASE WHEN p_size % 2 = 0 THEN p_size ELSE 2454833 + p_size END - CASE WHEN p_size % 2 = 0 THEN 0 ELSE 2454833 END, 4) + 0e0 AS epoch_time, 'BKJD' AS epoch_time_system, round(p_size / 10e0 / 24, 6) AS duration_days, CASE WHEN k IN ('confirmed', 'candidate', 'planet_candidate', 'pc', 'apc') THEN 1e0 WHEN k <> 'who_knows' THEN 0e0 END AS is_planet FROM q""")
+def public_metadata(spark, sf_dir):
+    """A public table of another mission, standardised: dispositions, ids, ephemeris, epoch system."""
     p = tables.read(spark, sf_dir, "part")
-    return p.select("p_partkey", labels.key_of(F.col("p_type")).alias("label_key"), F.round(labels.epoch((F.col("p_retailprice") * 2000).cast("double")), 4).alias("epoch"), labels.normalise_label(F.col("p_type")).alias("label"))
+    word = F.replace(F.element_at(F.array(*map(F.lit, DISP)), (1 + F.col("p_partkey") % len(DISP)).cast("int")), F.lit("_"), F.lit(" "))
+    raw = p.select(F.col("p_partkey").alias("kepid"), word.alias(" koi_disposition "), (F.col("p_size") / 4).alias("[koi_period]"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(2454833 + F.col("p_size")).alias("koi_time0bk"), (F.col("p_size") / 10).cast("string").alias("koi_duration"))
+    out = labels.standardise(raw, "kepler")
+    return out.select(F.col("kepid").cast("long").alias("kepid"), "source", "canonical_label", "binary_label", "label_notes", "period_days", F.round(F.col("epoch_time").cast("double"), 4).alias("epoch_time"), "epoch_time_system", F.round("duration_days", 6).alias("duration_days"), labels.binary_label(F.col("binary_label"), F.col("canonical_label")).alias("is_planet"))
+
+
+@register("SELECT c_custkey AS tic_id, CASE WHEN c_custkey % 3 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'a/tess2018206045859-s0001-' || lpad(CAST(c_custkey AS VARCHAR), 16, '0') || '-0120-s_lc.fits' ELSE 'b/TIC ' || c_custkey || '.fits' END END AS path, 'tic_' || c_custkey || '_s1_' || (c_custkey % 5) AS target_key FROM customer")
+def target_files(spark, sf_dir):
+    """Labelled targets and the files whose names hold their numbers."""
+    c = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tic_id"))
+    name = F.when(F.col("tic_id") % 2 == 0, F.concat(F.lit("a/tess2018206045859-s0001-"), F.lpad(F.col("tic_id").cast("string"), 16, "0"), F.lit("-0120-s_lc.fits"))).otherwise(F.concat(F.lit("b/TIC "), F.col("tic_id").cast("string"), F.lit(".fits")))
+    files = c.where("tic_id % 3 <> 0").select(name.alias("path"))
+    files = files.unionByName(files.select(F.concat("path", F.lit(".copy.fits")).alias("path")))
+    return labels.files_of(c, files).select("tic_id", "path", labels.target_key(F.col("path"), F.col("tic_id"), F.lit(1), F.col("tic_id") % 5).alias("target_key"))
 
 
 @register("SELECT s_suppkey, round(CAST(s_acctbal AS DOUBLE), 4) AS s_acctbal FROM supplier WHERE s_suppkey IS NOT NULL ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 50")
@@ -343,5 +434,21 @@ def target_list(spark, sf_dir):
     return labels.target_list(s, "s_suppkey", "s_acctbal", 50).select("s_suppkey", F.round(F.col("s_acctbal").cast("double"), 4).alias("s_acctbal"))
 
 
-def numbers(*columns: str) -> list[Column]:
-    return [C.finite(F.col(c)).alias(c) for c in columns]
+@register(f"WITH {LABELLED}, x AS (SELECT status IN ('STRONG_DETECTION', 'WEAK_DETECTION') AS d, coalesce(label <> '{catalog.NOTHING}', false) AS r, coalesce(label = final_class, false)::INT AS y, least(floor(confidence * 5), 4) AS bin, confidence, label, final_class FROM lab), e AS (SELECT sum(n * abs(c - a)) / sum(n) AS ece FROM (SELECT count(*) AS n, avg(confidence) AS c, avg(y) AS a FROM x GROUP BY bin)), f AS (SELECT count(CASE WHEN d AND r THEN 1 END) AS tp, count(CASE WHEN d AND NOT r THEN 1 END) AS fp, count(CASE WHEN NOT d AND NOT r THEN 1 END) AS tn, count(CASE WHEN NOT d AND r THEN 1 END) AS fn, avg(CASE WHEN label IS NOT NULL THEN y END) AS accuracy FROM x) SELECT unnest(['detection', 'detection', 'detection', 'detection', 'classes', 'calibration']) AS part, unnest(['tp', 'fp', 'tn', 'fn', 'accuracy', 'ece']) AS metric, unnest([tp::DOUBLE, fp, tn, fn, round(accuracy, 6), round(ece, 6)]) AS value FROM f, e")
+def validation_report(spark, sf_dir):
+    return rounded(validation.report(labelled(spark, sf_dir)).where("part = 'detection' AND metric IN ('tp', 'fp', 'tn', 'fn') OR metric IN ('accuracy', 'ece') OR part = 'warning'"))
+
+
+@register(f"WITH {LABELLED}, c AS (SELECT unnest({catalog.CLASSES}) AS truth, unnest(range(7)) AS place) SELECT place, truth, " + ", ".join(f"count(CASE WHEN final_class = '{k}' THEN 1 END) AS \"{k}\"" for k in catalog.CLASSES) + " FROM c LEFT JOIN lab ON label = truth GROUP BY place, truth")
+def confusion_matrix(spark, sf_dir):
+    return rounded(validation.confusion(labelled(spark, sf_dir), "label", "final_class", catalog.CLASSES))
+
+
+@register(f"WITH {GUARD} SELECT CAST(least(floor(confidence * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM dec WHERE confidence BETWEEN 0 AND 1 GROUP BY 1")
+def confidence_histogram(spark, sf_dir):
+    return rounded(validation.chart_bins(decided(spark, sf_dir), "confidence"))
+
+
+@register(f'WITH {CAND_SQL}, x AS (SELECT unnest([{", ".join(repr(f"p_{i}") for i in range(7))}]) AS class, unnest([{", ".join(f"p_{i}" for i in range(7))}]) AS v FROM cand) SELECT class AS "class", round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, var_pop(v) < 1e-6 AS collapsed FROM x GROUP BY class')
+def prediction_diversity(spark, sf_dir):
+    return rounded(validation.diversity(candidates(spark, sf_dir), [f"p_{i}" for i in range(7)]))
