@@ -85,8 +85,8 @@ def gap_metrics(spark, sf_dir):
 @register(f"""WITH {OBS}, n AS (SELECT *, pdcsap_flux / median(pdcsap_flux) OVER (PARTITION BY tic_id) AS x FROM obs), k AS (SELECT * FROM n WHERE quality & {series.MASKS['conservative']} = 0),
 m AS (SELECT tic_id, median(x) AS med, 1.4826 * mad(x) AS sig FROM k GROUP BY tic_id), f AS (SELECT k.*, x > med + 7 * sig AS h, x < med - 15 * sig AS l FROM k JOIN m USING (tic_id)),
 a AS (SELECT tic_id, count(*) AS n_kept, CAST(sum(h::INT) AS BIGINT) AS n_high, CAST(sum(l::INT) AS BIGINT) AS n_low FROM f GROUP BY tic_id), g AS (SELECT tic_id, median(x) AS med, 1.4826 * mad(x) AS sig, count(*) AS n_final FROM f WHERE NOT h GROUP BY tic_id),
-r AS (SELECT tic_id, sqrt(avg((x - med) ^ 2)) * 1e6 AS rms FROM f JOIN g USING (tic_id) WHERE NOT h GROUP BY tic_id), w AS (SELECT tic_id, count(*) AS n_raw, median(pdcsap_flux) AS mf FROM obs GROUP BY tic_id)
-SELECT tic_id, 1 AS sector, n_raw, round(mf, 4) AS median_flux, n_kept, n_high, n_low, n_final, round(rms, 4) AS rms_ppm, round(sig * 1e6, 4) AS noise_ppm, round(1 - n_final / n_raw, 4) AS removed_fraction, CASE WHEN n_final < 500 THEN 'TOO_FEW_CLEAN_POINTS' ELSE 'OK' END AS status FROM w JOIN a USING (tic_id) JOIN g USING (tic_id) JOIN r USING (tic_id)""")
+r AS (SELECT tic_id, sqrt(avg((x - med) ^ 2)) * 1e6 AS rms FROM f JOIN g USING (tic_id) WHERE NOT h GROUP BY tic_id), w AS (SELECT tic_id, count(*) AS n_raw, count(CASE WHEN pdcsap_flux > 0 THEN 1 END) AS n_finite, median(pdcsap_flux) AS mf FROM obs GROUP BY tic_id)
+SELECT tic_id, 1 AS sector, n_raw, n_finite, round(mf, 4) AS median_flux, n_kept, n_high, n_low, n_final, round(rms, 4) AS rms_ppm, round(sig * 1e6, 4) AS noise_ppm, round(1 - n_final / n_raw, 4) AS removed_fraction, CASE WHEN n_final < 500 THEN 'TOO_FEW_CLEAN_POINTS' ELSE 'OK' END AS status FROM w JOIN a USING (tic_id) JOIN g USING (tic_id) JOIN r USING (tic_id)""")
 def quality_summary(spark, sf_dir):
     return rounded(series.quality_summary(tables.observations(spark, sf_dir)), 4)
 
@@ -434,9 +434,12 @@ def target_list(spark, sf_dir):
     return labels.target_list(s, "s_suppkey", "s_acctbal", 50).select("s_suppkey", F.round(F.col("s_acctbal").cast("double"), 4).alias("s_acctbal"))
 
 
-@register(f"WITH {LABELLED}, x AS (SELECT status IN ('STRONG_DETECTION', 'WEAK_DETECTION') AS d, coalesce(label <> '{catalog.NOTHING}', false) AS r, coalesce(label = final_class, false)::INT AS y, least(floor(confidence * 5), 4) AS bin, confidence, label, final_class FROM lab), e AS (SELECT sum(n * abs(c - a)) / sum(n) AS ece FROM (SELECT count(*) AS n, avg(confidence) AS c, avg(y) AS a FROM x GROUP BY bin)), f AS (SELECT count(CASE WHEN d AND r THEN 1 END) AS tp, count(CASE WHEN d AND NOT r THEN 1 END) AS fp, count(CASE WHEN NOT d AND NOT r THEN 1 END) AS tn, count(CASE WHEN NOT d AND r THEN 1 END) AS fn, avg(CASE WHEN label IS NOT NULL THEN y END) AS accuracy FROM x) SELECT unnest(['detection', 'detection', 'detection', 'detection', 'classes', 'calibration']) AS part, unnest(['tp', 'fp', 'tn', 'fn', 'accuracy', 'ece']) AS metric, unnest([tp::DOUBLE, fp, tn, fn, round(accuracy, 6), round(ece, 6)]) AS value FROM f, e")
+@register(f"""WITH {REPORT}, x AS (SELECT status IN ('STRONG_DETECTION', 'WEAK_DETECTION') AS d, coalesce(label <> '{catalog.NOTHING}', false) AS r, coalesce(label = final_class, false)::INT AS y, least(floor(confidence * 5), 4) AS bin, confidence FROM lab), e AS (SELECT sum(n * abs(c - a)) / sum(n) AS ece FROM (SELECT count(*) AS n, avg(confidence) AS c, avg(y) AS a FROM x GROUP BY bin)),
+f AS (SELECT count(CASE WHEN d AND r THEN 1 END)::DOUBLE AS tp, count(CASE WHEN d AND NOT r THEN 1 END)::DOUBLE AS fp, count(CASE WHEN NOT d AND NOT r THEN 1 END)::DOUBLE AS tn, count(CASE WHEN NOT d AND r THEN 1 END)::DOUBLE AS fn FROM x), m AS (SELECT sum(hits) / sum(support) AS accuracy, avg(CASE WHEN support > 0 THEN recall END) AS balanced, avg(f1) AS macro, sum(f1 * support) / sum(support) AS weighted FROM rf)
+SELECT unnest(['detection', 'detection', 'detection', 'detection', 'detection', 'detection', 'detection', 'detection', 'classes', 'classes', 'classes', 'classes', 'calibration']) AS part, unnest(['tp', 'fp', 'tn', 'fn', 'precision', 'recall', 'specificity', 'f1', 'accuracy', 'balanced_accuracy', 'macro_f1', 'weighted_f1', 'ece']) AS metric,
+unnest([tp, fp, tn, fn, round(tp / (tp + fp), 6), round(tp / (tp + fn), 6), round(tn / (tn + fp), 6), round(2 * tp / (2 * tp + fp + fn), 6), round(accuracy, 6), round(balanced, 6), round(macro, 6), round(weighted, 6), round(ece, 6)]) AS value FROM f, e, m""")
 def validation_report(spark, sf_dir):
-    return rounded(validation.report(labelled(spark, sf_dir)).where("part = 'detection' AND metric IN ('tp', 'fp', 'tn', 'fn') OR metric IN ('accuracy', 'ece') OR part = 'warning'"))
+    return rounded(validation.report(labelled(spark, sf_dir)))
 
 
 @register(f"WITH {LABELLED}, c AS (SELECT unnest({catalog.CLASSES}) AS truth, unnest(range(7)) AS place) SELECT place, truth, " + ", ".join(f"count(CASE WHEN final_class = '{k}' THEN 1 END) AS \"{k}\"" for k in catalog.CLASSES) + " FROM c LEFT JOIN lab ON label = truth GROUP BY place, truth")

@@ -9,6 +9,13 @@ OBSERVATIONS = ["tic_id", "sector", "cadence", "time", "pdcsap_flux", "sap_flux"
 ALIASES = {"time": ["TIME"], "quality": ["QUALITY"], "centroid_col": ["MOM_CENTR1", "CENTR1", "POS_CORR1"], "centroid_row": ["MOM_CENTR2", "CENTR2", "POS_CORR2"], "sap_flux": ["SAP_FLUX"], "pdcsap_flux": ["PDCSAP_FLUX"]}
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, worked out once: checkpointed to the shared folder that spark.checkpoint.dir names, so that its plan ends here; persisted where there is none."""
+    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return df.checkpoint()
+    return df.persist()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
