@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitlake.functions import columns as C
-from transitlake.operators import catalog, labels, search, series, validation
+from transitlake.operators import catalog, injection, labels, search, series, validation, vetting
 from transitlake.plans import registered
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +32,14 @@ def test_labels(spark):
     names = {"PC": catalog.PLANET, "Eclipsing Binary": catalog.BINARY, "no-signal": catalog.NOTHING, "": None, "what": None}
     for k, v in names.items():
         assert one(spark, labels.normalise_label(F.lit(k)))[0] == v
-    assert list(one(spark, *labels.disposition(F.lit("FP")))) == [None, "false_positive_or_other"]
+    assert list(one(spark, *labels.disposition(F.lit("FP")))) == [None, "false_positive_or_other", "toi_false_positive_subtype_not_assumed"]
+    assert list(one(spark, *labels.disposition(F.lit("Astrophysical False Positive"), "kepler"))) == [catalog.BINARY, "false_positive_or_other", ""]
+    assert list(one(spark, *labels.disposition(F.lit("Ambiguous"))))[0] == catalog.UNCERTAIN and one(spark, labels.disposition(F.lit("quiet"), "tess_dv")[1])[0] == "false_positive_or_other"
+    with pytest.raises(ValueError):
+        labels.source_of("elsewhere")
+    assert sum(map(len, labels.ALIASES.values())) == len({a for xs in labels.ALIASES.values() for a in xs}) and one(spark, labels.normalise_label(F.lit(" Marginal ")))[0] == catalog.UNCERTAIN
+    yes = lambda x, y=None: one(spark, labels.binary_label(F.lit(x), F.lit(y)))[0]
+    assert [yes("PC"), yes("0"), yes("?"), yes(None, catalog.PLANET), yes(None, catalog.BLEND), yes(None)] == [1.0, 0.0, None, 1.0, 0.0, None]
     assert one(spark, labels.epoch(F.lit(2458900.25)))[0] == pytest.approx(1900.25)
     assert one(spark, labels.first_text(F.lit(" "), F.lit("nan"), F.lit("x ")))[0] == "x"
     assert one(spark, labels.sector_of(F.lit("sector 12 a")), labels.sector_of(F.lit("none")))[0] == 12
@@ -80,3 +87,85 @@ def test_empty_metrics(spark):
 def test_pending(spark):
     targets = spark.createDataFrame([(1,), (2,), (2,)], "tic_id long")
     assert [r.tic_id for r in catalog.pending(targets, targets.where("tic_id = 2"), ["tic_id"]).collect()] == [1]
+
+
+def test_public_tables(spark):
+    toi = spark.createDataFrame([(123, "PC", 2.75, 2458900.25, 3.6, 850.0), (124, "FP", None, None, None, None), (125, None, 1.0, 1900.0, 2.4, 1.0)], "tid long, tfopwg_disp string, pl_orbper double, pl_tranmid double, pl_trandurh double, pl_trandep double")
+    rows = {r.tic_id: r for r in labels.standardise(toi, "toi").collect()}
+    assert (rows[123].canonical_label, rows[123].epoch_time, rows[123].epoch_time_system, rows[123].epoch_time_bjd) == (catalog.PLANET, pytest.approx(1900.25), "BTJD", 2458900.25)
+    assert rows[123].duration_days == pytest.approx(0.15) and rows[124].binary_label == labels.UNLIKE and rows[125].canonical_label is None
+    seeds = labels.seeded(toi).collect()
+    assert [(r.tic_id, r.t0, r.depth) for r in seeds] == [(123, pytest.approx(1900.25), pytest.approx(850e-6)), (125, 1900.0, pytest.approx(1e-6))]
+    assert [r.tid for r in labels.query_metadata(toi, ["tid"], "pl_orbper > 2", 5).collect()] == [123]
+    paths = {"x/tess2018206045859-s0001-0000000025155310-0120-s_lc.fits": 25155310, "TIC 42.fits": 42, "a/lc_77.fits.gz": 77, "none.fits": None}
+    for path, target in paths.items():
+        assert one(spark, labels.target_of_path(F.lit(path)))[0] == target
+    key = one(spark, labels.target_key(F.lit("a/b.fits"), F.lit(None).cast("long"), F.lit(1), F.lit(0)))[0]
+    assert key.startswith("fits_b_") and len(key) == 17
+
+
+def test_facts_come_from_the_first_column_that_exists(spark):
+    df = spark.createDataFrame([(1, 2, 0, catalog.PLANET, 0.82, 3.1, 0.1, 900.0, 12.0, 0.2, 0.1, 0.5, 0.05, 0.9, 5.0)], "tic_id long, sector int, candidate_id int, final_predicted_class string, final_confidence double, fit_period_days double, fit_duration_days double, fit_depth_ppm double, fit_snr double, vet_secondary_sigma double, vet_odd_even_sigma double, vet_centroid_shift_sigma double, vet_crowding_risk double, vet_data_quality_score double, period_days double")
+    r = catalog.harmonise(df).first()
+    assert (r.period_days, r.duration_hours, r.priority_rank, r.final_class) == (3.1, pytest.approx(2.4), 1, catalog.PLANET) and "HIGH_PRIORITY" in r.recommended_action
+    assert catalog.schema_issues(catalog.harmonise(df)).count() == 0
+    bad = catalog.harmonise(df.withColumns({"final_predicted_class": F.lit("X"), "fit_depth_ppm": F.lit(None).cast("double")})).withColumns({"depth_ppm": F.lit(0.0), "confidence": F.lit(2.0)})
+    assert {x.issue for x in catalog.schema_issues(bad).collect()} == {"UNKNOWN_CLASS", "CONFIDENCE_RANGE", "DEPTH_PPM_RANGE"}
+    twice = spark.createDataFrame([(1, 0, 0.5), (1, 0, 0.6)], "tic_id long, candidate_id int, p double")
+    with pytest.raises(Exception, match="two rows of facts"):
+        catalog.attach(df, twice, ["tic_id", "candidate_id"]).collect()
+    assert catalog.union(df.select("tic_id"), df.select("candidate_id")).columns == ["tic_id", "candidate_id"]
+
+
+def test_long_series_are_searched_without_groups(spark):
+    s = registered.injected(spark, SF)
+    for method in search.METHODS:
+        options = {"method": method, "periods": 40, "low": 1.0, "high": 5.0, "durations": [0.1, 0.2, 0.3], "bins": 60}
+        near = {r.trial: r for r in search.periodogram(s, "flux_norm", **options).collect()}
+        far = {r.trial: r for r in search.periodogram(s, "flux_norm", most=10, **options).collect()}
+        assert near.keys() == far.keys() and len(near) > 30
+        for i, r in near.items():
+            assert (r.width, r.duration) == (far[i].width, far[i].duration) and (r.period, r.depth, r.score, r.t0) == pytest.approx((far[i].period, far[i].depth, far[i].score, far[i].t0), rel=1e-6, abs=1e-12)
+
+
+def test_trends_of_many_widths_and_thin_frames(spark):
+    rows = [(k, 1, i, i * (0.02 + 0.001 * k), float((7 * i * i + k) % 31) if not 40 <= i < 60 else None) for k in range(40) for i in range(100)]
+    s = spark.createDataFrame(rows + [(99, 1, i, float(i), float(i)) for i in range(3)], "tic_id long, sector int, cadence int, time double, x double")
+    got = {(r.tic_id, r.cadence): r.trend for r in series.rolling_trend(s, "x", 0.3, piece=17).collect()}
+    assert [got[99, i] for i in range(3)] == [1.0] * 3 and None not in got.values()
+    for k in (0, 7, 39):
+        n = max(5, round(0.3 / (0.02 + 0.001 * k)))
+        n += 1 - n % 2
+        x = [r[4] for r in rows if r[0] == k]
+        want = []
+        for i in range(100):
+            seen = sorted(v for v in x[max(0, i - n // 2) : i + n // 2 + 1] if v is not None)
+            want.append((seen[(len(seen) - 1) // 2] + seen[len(seen) // 2]) / 2 if len(seen) >= max(3, n // 5) else None)
+        known = [i for i, v in enumerate(want) if v is not None]
+        for i, v in enumerate(want):
+            if v is None:
+                a, b = max(j for j in known if j < i), min(j for j in known if j > i)
+                v = want[a] + (want[b] - want[a]) * (i - a) / (b - a)
+            assert got[k, i] == pytest.approx(v)
+
+
+def test_uncertainty_and_stability(spark):
+    df = spark.createDataFrame([(1000.0, 50.0, 12.0, 8.0, 3, 0.9, 0.4), (None, None, 8.0, None, 0, None, None)], "fit_depth_ppm double, fit_depth_err_ppm double, fit_snr double, sde double, n_full int, confidence double, margin double")
+    a, b = vetting.uncertainty(df).collect()
+    assert a.unc_depth_err_ppm == 50 and 0.6 < a.unc_final_confidence <= 1 and a.unc_confidence_level in ("HIGH", "MEDIUM")
+    assert b.unc_depth_err_ppm is None and b.unc_parameter_confidence == pytest.approx(min(0.5, 1 - 0.7 - 0.3 * 0.25)) and "DEPTH_UNCERTAINTY_UNAVAILABLE" in b.unc_warnings and "FEW_FULL_TRANSITS" in b.unc_warnings
+    q = lambda *x: one(spark, vetting.data_quality(*[F.lit(v).cast("double") for v in x]))[0]
+    assert [q(0, 500, 27), q(1, 500, 27), q(None, 9000, 5)] == [1.0, pytest.approx(0.65), pytest.approx(0.4)]
+
+
+def test_grid_of_signals(spark):
+    grid = injection.specs(spark)
+    assert grid.count() == 37 and {(r.label, r["count"]) for r in grid.groupBy("label").count().collect()} == {(catalog.PLANET, 16), (catalog.BINARY, 12), (catalog.BLEND, 9)}
+    assert injection.specs(spark, 2).groupBy("label").count().where("count <> 2").count() == 0
+
+
+def test_status_tells_what_was_detected(spark):
+    df = spark.createDataFrame([("NO_STRONG_DETECTION",), ("NO_DETECTION",), ("WEAK_DETECTION",), ("STRONG_DETECTION",), (None,)], "status string")
+    assert [r[0] for r in df.select(validation.detected(df.columns)).collect()] == [False, False, True, True, False]
+    df = spark.createDataFrame([(7.0,), (6.0,), (None,)], "snr double")
+    assert [r[0] for r in df.select(validation.detected(df.columns)).collect()] == [True, False, False]

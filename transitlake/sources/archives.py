@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gzip
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import catalog
@@ -16,7 +18,6 @@ BLOCK = 2880
 FORMATS = {"L": "S1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8"}
 COLUMNS = [*ALIASES, "cadence"]
 HEADER = {"tic_id": ("TICID", int), "sector": ("SECTOR", int), "crowdsap": ("CROWDSAP", float), "flfrcsap": ("FLFRCSAP", float), "stellar_radius": ("RADIUS", float)}
-DECODED = "status string, tic_id long, sector long, crowdsap double, flfrcsap double, stellar_radius double, rows array<struct<" + ", ".join(f"{c}: double" for c in COLUMNS) + ">>"
 #: Columns of headerless star catalogs by place.
 CTL = {0: "ID", 1: "priority", 2: "splists", 3: "objID"}
 TIC = {0: "ID", 13: "ra", 14: "dec", 60: "Tmag", 64: "Teff", 66: "logg", 70: "rad", 72: "mass", 74: "rho", 77: "lum", 79: "d", 87: "priority", 124: "objID"}
@@ -66,27 +67,41 @@ def light_curve(data: bytes) -> tuple[dict[str, str], dict[str, np.ndarray]]:
 
 
 def decoded(data: bytes | None) -> tuple:
-    """A row of DECODED; what can't be read gives a status and no rows."""
+    """(status, header values, series by COLUMNS); what can't be read gives a status and no points."""
     try:
         cards, columns = light_curve(bytes(data or b""))
         pick = lambda names: next((columns[n] for n in names if n in columns), None)
         n = len(columns["TIME"])
         series = [pick([k.upper(), *others]) for k, others in {**ALIASES, "cadence": ["CADENCENO"]}.items()]
-        series = [np.full(n, np.nan) if s is None else s for s in series]
-        rows = [tuple(None if v != v else v for v in row) for row in np.stack(series, 1).tolist()]
         meta = [kind(cards[k]) if cards.get(k) else None for k, kind in HEADER.values()]
-        return ("OK", *meta, rows)
+        return ("OK", *meta, [np.full(n, np.nan) if s is None else s for s in series])
     except (ValueError, KeyError, OSError, EOFError, TypeError) as error:
-        return (f"UNREADABLE: {type(error).__name__}", *[None] * len(HEADER), [])
+        return (f"UNREADABLE: {type(error).__name__}", *[None] * len(HEADER), [np.zeros(0)] * len(COLUMNS))
 
 
 def read_fits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(points, files): a row for each cadence of all FITS files under path, and (path, status, n) for each file. Absent columns and values that are no number are null; compressed tables (fz) count as unreadable. Spark's scan skips files without a byte, so these have no row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.fits*").load(path)
-    done = files.select("path", F.udf(decoded, DECODED, useArrow=False)("content").alias("f")).select("path", "f.*")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.fits*").load(path).select("path", "content")
+    texts = {"path": pa.string(), "status": pa.string()}
+    types = {n: texts.get(n, pa.int64() if n in ("tic_id", "sector", "n") else pa.float64()) for n in ("path", "status", "n", *HEADER, *COLUMNS)}
+
+    def points_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The points of each file, some thousands at a time; a file without any has one row with its status."""
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                status, *meta, series = decoded(content.as_py())
+                n = len(series[0])
+                for i in range(0, max(n, 1), 1 << 14):
+                    part = [x[i : i + (1 << 14)] for x in series] if n else [np.full(1, np.nan)] * len(COLUMNS)
+                    fixed = [name, status if not i else None, n, *meta]
+                    arrays = [pa.array([v] * len(part[0]), t) for v, t in zip(fixed, types.values())]
+                    yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.float64(), from_pandas=True) for x in part)], list(types))
+
+    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long' if t == pa.int64() else 'double'}" for n, t in types.items())
+    done = files.mapInArrow(points_of, schema)
     kinds = {"quality": "int", "cadence": "long"}
-    points = done.select("path", *HEADER, F.explode("rows").alias("r")).select("path", *HEADER, *[F.col(f"r.{c}").cast(kinds.get(c, "double")).alias(c) for c in COLUMNS])
-    return points, done.select("path", "status", F.size("rows").alias("n"))
+    points = done.where("n > 0").select("path", *HEADER, *[F.col(c).cast(kinds.get(c, "double")).alias(c) for c in COLUMNS])
+    return points, done.where("status IS NOT NULL").groupBy("path").agg(F.first("status").alias("status"), F.first("n").cast("int").alias("n"))
 
 
 def star_catalog(spark: SparkSession, path: str, kind: str = "auto", names: list[str] | None = None) -> DataFrame:
