@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,9 +36,9 @@ LETTER, NUMBER, SPACE, END, OTHER = 1, 2, 3, 4, 0
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Words kept with their ids in each worker.
-MEMO = 100_000
+MEMO = 60_000
 #: States of the automaton that a worker holds.
-LIMIT = 200_000
+LIMIT = 150_000
 
 
 @lru_cache(1)
@@ -105,7 +106,7 @@ class Compiled:
     target: np.ndarray
     emitted: np.ndarray  # by state: the token that ends there
     cuts: np.ndarray  # by state: where its parts begin, and where the last ends
-    parts: np.ndarray  # (trie node, token before it)
+    parts: np.ndarray  # a trie node, and one more than the token before it in the lowest 24 bits
 
 
 class Labels:
@@ -128,32 +129,34 @@ class Labels:
 class Gadgets:
     """The automaton over tokens, one merge gadget after another."""
 
-    def __init__(self, single: list[int], merges: list[tuple[int, int, int]]):
-        self.born = dict.fromkeys(single, 0)
-        self.origin: dict[int, tuple[int, int]] = {}
-        self.cut: dict[tuple[int, int], int] = {}
-        for time, (u, v, w) in enumerate(merges, 1):
-            if w in self.born:
+    def __init__(self, single: list[int], merges: np.ndarray, size: int):
+        self.born = array("i", [-1]) * size  # the merge that made each token; 0 for those of one byte
+        self.first, self.second = array("i", [-1]) * size, array("i", [-1]) * size
+        self.cut: dict[int, int] = {}
+        for i in single:
+            self.born[i] = 0
+        for time, (u, v, w) in enumerate(merges.tolist(), 1):
+            if self.born[w] >= 0:
                 raise ValueError(f"token {w} comes of two merges")
-            self.cut[u, v] = time  # the split-off copy of the state behind u has no arc v
-            self.origin[w] = (u, v)  # w leads where v led, and starts where u starts
+            self.cut[u << 24 | v] = time  # the split-off copy of the state behind u has no arc v
+            self.first[w], self.second[w] = u, v  # w leads where v led, and starts where u starts
             self.born[w] = time
 
-    def arc(self, x: int, y: int, time: float = 1 << 60) -> bool:
+    def arc(self, x: int, y: int, time: int = 1 << 60) -> bool:
         """Whether the state behind x has an arc y after `time` merges."""
-        born, cut, origin = self.born, self.cut, self.origin
+        born, cut, first, second = self.born, self.cut, self.first, self.second
         while True:
-            if cut.get((x, y), time + 1) <= time:
+            if cut.get(x << 24 | y, time + 1) <= time:
                 return False
             a, b = born[x], born[y]
             if not a and not b:
                 return True
             if a == b:  # x leads where its second half led, and reads itself if that read its first half
-                (y, x), time = origin[x], a - 1
+                y, x, time = first[x], second[x], a - 1
             elif a > b:  # the state behind x was copied from that behind its second half
-                x, time = origin[x][1], a - 1
+                x, time = second[x], a - 1
             else:  # y's arc came to the states that read its first half
-                y, time = origin[y][0], b
+                y, time = first[y], b
 
 
 class Automaton:
@@ -164,29 +167,28 @@ class Automaton:
 
     def __init__(self, compiled: Compiled):
         self.special = compiled.special
-        self.size = compiled.size.tolist()
-        flat, self.label = compiled.flat.tobytes(), {}
-        at = 0
-        for i, n in enumerate(self.size):
-            if n:
-                self.label[i] = flat[at : at + n]
-            at += n
-        ordinary = {i: x for i, x in self.label.items() if i not in set(self.special.values())}
+        self.size = array("i", compiled.size.tolist())
+        flat, single, at = compiled.flat.tobytes(), [], 0
         self.trie: dict[int, int] = {}
-        self.token = [-1]
-        self.inner = [True]  # whether a node has children
-        for i, x in ordinary.items():
+        self.token, self.inner = array("i", [-1]), bytearray(1)  # whether a node has children
+        aside = set(self.special.values())
+        for i, n in enumerate(self.size):
             node = 0
-            for b in x:
-                below = self.trie.get(node << 8 | b)
-                if below is None:
-                    below = self.trie[node << 8 | b] = len(self.token)
-                    self.token.append(-1)
-                    self.inner.append(False)
-                    self.inner[node] = True
-                node = below
-            self.token[node] = i
-        self.gadgets = Gadgets([i for i, x in ordinary.items() if len(x) == 1], list(map(tuple, compiled.merges.tolist())))
+            if i not in aside:
+                for b in flat[at : at + n]:
+                    below = self.trie.get(node << 8 | b)
+                    if below is None:
+                        below = self.trie[node << 8 | b] = len(self.token)
+                        self.token.append(-1)
+                        self.inner.append(0)
+                        self.inner[node] = 1
+                    node = below
+            if node:
+                self.token[node] = i
+            if n == 1 and i not in aside:
+                single.append(i)
+            at += n
+        self.gadgets = Gadgets(single, compiled.merges, len(self.size))
         self.base = compiled
         self.words = Memo(self)
         self.reset()
@@ -194,31 +196,33 @@ class Automaton:
     def reset(self) -> None:
         c = self.base
         self.step = dict(zip(c.arcs.tolist(), c.target.tolist()))
-        self.emitted = c.emitted.tolist()
-        cuts, parts = c.cuts.tolist(), list(map(tuple, c.parts.tolist()))
+        self.emitted = array("i", c.emitted.tolist())
+        cuts, parts = c.cuts.tolist(), c.parts.tolist()
         self.parts = [tuple(parts[a:b]) for a, b in zip(cuts, cuts[1:])]
         self.number = {x: i for i, x in enumerate(self.parts)}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def add(self, state: int, byte: int) -> int:
         """The arc that the gadgets imply."""
         parts, token = [], -1
-        for node, x in self.parts[state]:
-            below = self.trie.get(node << 8 | byte)
+        for part in self.parts[state]:
+            below = self.trie.get(part >> 24 << 8 | byte)
             if below is None:
                 continue
-            y = self.token[below]
+            x, y = (part & 0xFFFFFF) - 1, self.token[below]
             if y >= 0 and token < 0:
-                ok = x < 0 or self.known.get((x, y))
+                ok = x < 0 or self.known.get(x << 24 | y)
                 if ok is None:
-                    ok = self.known[x, y] = self.gadgets.arc(x, y)
+                    if len(self.known) > LIMIT:
+                        self.known.clear()
+                    ok = self.known[x << 24 | y] = self.gadgets.arc(x, y)
                 if ok:
                     token = y
             if self.inner[below]:
-                parts.append((below, x))
+                parts.append(below << 24 | (x + 1))
         if token < 0:
             raise ValueError(f"no token can end after byte {byte}")
-        parts.append((0, token))
+        parts.append(token + 1)
         key = tuple(parts)
         to = self.number.get(key)
         if to is None:
@@ -294,7 +298,7 @@ class Memo(dict):
 def compiled_of(special: dict[str, int], label: dict[int, bytes], merges: list[tuple[int, int, int]], digest: str) -> Compiled:
     """The automaton over the labels of a vocabulary, from its one starting state on."""
     ids = [label.get(i, b"") for i in range(max(label, default=-1) + 1)]
-    c = Compiled(digest, special, np.array([len(x) for x in ids], np.int64), np.frombuffer(b"".join(ids), np.uint8), np.array(merges, np.int64).reshape(-1, 3), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([-1]), np.array([0, 1]), np.array([[0, -1]]))
+    c = Compiled(digest, special, np.array([len(x) for x in ids], np.int64), np.frombuffer(b"".join(ids), np.uint8), np.array(merges, np.int64).reshape(-1, 3), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([-1]), np.array([0, 1]), np.array([0]))
     a = Automaton(c)
     for i in sorted(label):
         if i not in special.values():
