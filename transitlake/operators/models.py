@@ -24,12 +24,16 @@ def shuffled(key: Column) -> Column:
 
 def hold_out(df: DataFrame, label: str, key: Column, share: float = 0.25) -> DataFrame:
     """df with held_out: the first quarter of each label by hash; none if a label has under two rows or the test would be smaller than the labels are many."""
-    w = Window.partitionBy(label)
     counts = df.groupBy(label).count().agg(F.min("count").alias("least"), F.sum("count").alias("n"), F.count("*").alias("k"))
     fits = F.col("least").isNotNull() & (F.col("least") >= 2) & (F.ceil(share * F.col("n")) >= F.col("k"))
-    n = F.count("*").over(w)
-    rank = F.row_number().over(w.orderBy(shuffled(key), key))
-    return df.withColumn("_r", rank).withColumn("_n", n).crossJoin(F.broadcast(counts)).withColumn("held_out", fits & (F.col("_r") <= F.ceil(share * F.col("_n")))).drop("_r", "_n", "least", "n", "k")  # one row of counts
+    # rows are numbered within 65536 steps of the hash, and the steps by what comes before them: no task holds a label
+    df = df.withColumn("_step", F.shiftright(shuffled(key), 48))
+    steps = df.groupBy(label, "_step").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(label)
+    steps = steps.select(F.col(label).alias("_of"), F.col("_step").alias("_at"), (F.sum("_c").over(w.orderBy("_step")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    own = F.row_number().over(Window.partitionBy(label, "_step").orderBy(shuffled(key), key))
+    ranked = df.withColumn("_own", own).join(steps, F.col(label).eqNullSafe(F.col("_of")) & (F.col("_step") == F.col("_at")))
+    return ranked.crossJoin(F.broadcast(counts)).withColumn("held_out", fits & (F.col("_own") + F.col("_before") <= F.ceil(share * F.col("_n")))).drop("_step", "_own", "_of", "_at", "_before", "_n", "least", "n", "k")  # one row of counts
 
 
 def fold_of(key: Column, folds: int) -> Column:
