@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitlake.functions import columns as C
-from transitlake.operators import catalog, injection, labels, search, series, validation, vetting
+from transitlake.operators import catalog, fitting, injection, labels, search, series, validation, vetting
 from transitlake.plans import registered
 
 SF = "/root/testdata/sf0.001"
@@ -128,6 +128,19 @@ def test_long_series_are_searched_without_groups(spark):
             assert (r.width, r.duration) == (far[i].width, far[i].duration) and (r.period, r.depth, r.score, r.t0) == pytest.approx((far[i].period, far[i].depth, far[i].score, far[i].t0), rel=1e-6, abs=1e-12)
 
 
+def test_long_series_are_vetted_and_refined_without_groups(spark):
+    s = registered.injected(spark, SF).withColumn("flux_norm", F.when(F.col("time") % 1 > 0.02, F.col("flux_norm"))).cache()
+    for run in (lambda **o: series.secondary(s, "flux_norm", **o), lambda **o: fitting.refine_ephemeris(s, "flux_norm", periods=3, epochs=5, **o)):
+        near, far = ([tuple(r) for r in run(**o).orderBy(*series.K).collect()] for o in ({}, {"most": 10}))
+        assert len(near) == len(far) > 0
+        assert all(a == pytest.approx(b, rel=1e-9) for a, b in zip(near, far))
+    bare = s.withColumn("period", F.lit(None).cast("double"))
+    for o in ({}, {"most": 10}):
+        assert series.secondary(bare, "flux_norm", **o).isEmpty() and series.secondary(s.limit(0), "flux_norm", **o).isEmpty()
+        assert fitting.refine_ephemeris(s.limit(0), "flux_norm", periods=2, epochs=2, **o).isEmpty()
+        assert [r.refinement_snr for r in fitting.refine_ephemeris(bare, "flux_norm", periods=2, epochs=2, **o).collect()] == [None]
+
+
 def test_trends_of_many_widths_and_thin_frames(spark):
     rows = [(k, 1, i, i * (0.02 + 0.001 * k), float((7 * i * i + k) % 31) if not 40 <= i < 60 else None) for k in range(40) for i in range(100)]
     s = spark.createDataFrame(rows + [(99, 1, i, float(i), float(i)) for i in range(3)], "tic_id long, sector int, cadence int, time double, x double")

@@ -10,6 +10,8 @@ from ..functions import columns as C
 
 K = ["tic_id", "sector"]
 MAD = 1.4826
+#: Points of a series that one task may hold.
+MOST = 1 << 18
 #: Quality bits by preset.
 MASKS = {"none": 0, "minimal": 2 | 4 | 8 | 64 | 2048 | 4096 | 8192 | 16384, "conservative": 2 | 4 | 8 | 64 | 2048 | 4096 | 8192 | 16384 | 32 | 128 | 256 | 512 | 1024, "strict": 32767}
 
@@ -209,16 +211,50 @@ def odd_even(events: DataFrame, keys: list[str] = K) -> DataFrame:
     return two.select(*keys, F.when((F.col("no") > 0) & (F.col("ne") > 0), F.coalesce(C.ratio(F.abs(F.col("mo") - F.col("me")), below), F.lit(0.0))).otherwise(0.0).alias("odd_even_sigma"))
 
 
-def secondary(series: DataFrame, value: str, keys: list[str] = K) -> DataFrame:
-    """(keys, secondary_sigma, secondary_phase, secondary_depth): the strongest dip at another phase, 0.15 to 0.85 by 0.005, the first of equal ones; series of under fifty points have none."""
+def by_length(series: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The series of up to `most` points, which one task may hold, and the longer ones."""
+    s = series.join(series.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    return s.where(F.col("_n") <= most).drop("_n"), s.where(F.col("_n") > most).drop("_n")
+
+
+def secondary(series: DataFrame, value: str, keys: list[str] = K, most: int = MOST) -> DataFrame:
+    """(keys, secondary_sigma, secondary_phase, secondary_depth): the strongest dip at another phase, 0.15 to 0.85 by 0.005, the first of equal ones; series of under fifty points have none.
+
+    Series of up to `most` points go to an Arrow kernel, so that points are shuffled once; longer ones meet their phases before the shuffle.
+    """
     cycle = C.phase_days(F.col("time"), F.col("period"), F.col("t0")) / F.col("period")
+    s = series.select(*keys, C.finite(F.col(value)).alias("x"), cycle.alias("c"), (F.col("duration") / F.col("period")).alias("w")).where("c IS NOT NULL AND w IS NOT NULL")
+    near, far = by_length(s, keys, most)
+    kinds = dict(s.dtypes)
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x, c, w = (t.column(n).to_numpy() for n in ("x", "c", "w"))
+        rows = []
+        for i in range(141):
+            phase = 0.15 + i * 0.005
+            dist = c - phase + 0.5
+            dist = np.abs(dist - np.floor(dist) - 0.5)
+            inside = dist < 0.5 * w
+            around = (dist < np.maximum(3 * w, 0.04)) & ~inside & (np.abs(c) > 2 * w)
+            n_in, n_out = int(inside.sum()), int(around.sum())
+            y, z = x[inside], x[around]
+            y, z = y[~np.isnan(y)], z[~np.isnan(z)]
+            if n_in >= 3 and n_out >= 10 and len(y) and len(z):
+                base = float(np.median(z))
+                rows.append((phase, n_in, float(np.median(y)), base, float(np.median(np.abs(z - base))) * MAD))
+        own = [pa.array([t.column(k)[0].as_py()] * len(rows), t.schema.field(k).type) for k in keys]
+        types = [pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([*own, *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(types))], [*keys, "phase", "n_in", "m_in", "m_out", "noise"])
+
+    done = near.groupBy(*keys).applyInArrow(kernel, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", phase double, n_in long, m_in double, m_out double, noise double")
     grid = F.transform(F.sequence(F.lit(0), F.lit(140)), lambda i: 0.15 + i * 0.005)
-    s = series.select(*keys, F.col(value).alias("x"), cycle.alias("c"), (F.col("duration") / F.col("period")).alias("w")).withColumn("phase", F.explode(grid))
+    far = far.withColumn("phase", F.explode(grid))
     dist = F.abs(C.floor_mod(F.col("c") - F.col("phase") + 0.5, F.lit(1.0)) - 0.5)
-    s = s.withColumns({"i": dist < 0.5 * F.col("w"), "o": (dist < F.greatest(3 * F.col("w"), F.lit(0.04))) & (dist >= 0.5 * F.col("w")) & (F.abs(F.col("c")) > 2 * F.col("w"))}).where("i OR o")
+    far = far.withColumns({"i": dist < 0.5 * F.col("w"), "o": (dist < F.greatest(3 * F.col("w"), F.lit(0.04))) & (dist >= 0.5 * F.col("w")) & (F.abs(F.col("c")) > 2 * F.col("w"))}).where("i OR o")
     k = [*keys, "phase"]
-    one = s.groupBy(*k).agg(F.count(F.when(F.col("i"), 1)).alias("n_in"), F.count(F.when(F.col("o"), 1)).alias("n_out"), F.median(F.when(F.col("i"), F.col("x"))).alias("m_in"), F.median(F.when(F.col("o"), F.col("x"))).alias("m_out"))
-    two = s.join(one.where("n_in >= 3 AND n_out >= 10"), k).groupBy(*k).agg(*[F.first(c).alias(c) for c in ("n_in", "m_in", "m_out")], (F.median(F.when(F.col("o"), F.abs(F.col("x") - F.col("m_out")))) * MAD).alias("noise"))
+    one = far.groupBy(*k).agg(F.count(F.when(F.col("i"), 1)).alias("n_in"), F.count(F.when(F.col("o"), 1)).alias("n_out"), F.median(F.when(F.col("i"), F.col("x"))).alias("m_in"), F.median(F.when(F.col("o"), F.col("x"))).alias("m_out"))
+    two = far.join(one.where("n_in >= 3 AND n_out >= 10"), k).groupBy(*k).agg(*[F.first(c).alias(c) for c in ("n_in", "m_in", "m_out")], (F.median(F.when(F.col("o"), F.abs(F.col("x") - F.col("m_out")))) * MAD).alias("noise"))
+    two = done.unionByName(two)
     sig = C.ratio(F.col("m_out") - F.col("m_in"), F.col("noise")) * F.sqrt("n_in")
     best = two.select(*keys, "phase", F.round(sig, 9).alias("sig"), (F.col("m_out") - F.col("m_in")).alias("depth")).where("sig IS NOT NULL").groupBy(*keys).agg(F.max(F.struct(F.col("sig"), (-F.col("phase")).alias("p"), "depth")).alias("b"))
     enough = series.groupBy(*keys).agg(F.count(value).alias("_c")).where("_c >= 50").drop("_c")
