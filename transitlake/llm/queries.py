@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, contamination, language, licenses, quality, simhash, suffixes, suffixtree, toxicity, warc
+from . import bpe, contamination, conversations, divergence, language, licenses, quality, simhash, suffixes, suffixtree, tokenfiles, toxicity, warc
 from .common import importable, scratch, table
 
 
@@ -134,10 +134,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, lm, weights).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, count(*) AS terms, CAST(sum(n) AS BIGINT) AS total FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN v USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce(CAST(sum(n) AS BIGINT), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 5) // (g.total + 5 * l.terms) AS p, 1 + 1000000000 * (v.n + 5) // (l.total + 5 * l.terms) AS q
+  FROM g JOIN l ON l.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM term) WHERE rank <= 50
+"""
+
+
+def op12_idplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "ids")
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, vocabulary(), end=2)
+    return tokenfiles.digests(spark, path)
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op3_bpe, op4_suffixes, op5_licenses, op6_language, op7_lm, op8_quality, op9_decontamination, op10_toxicity)
+    found = (op1_simhash, op2_warc, op3_bpe, op4_suffixes, op5_licenses, op6_language, op7_lm, op8_quality, op9_decontamination, op10_toxicity, op11_divergence, op12_idplanes, op13_conversations)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op8_quality": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op8_quality": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_divergence": OP11_SQL}
