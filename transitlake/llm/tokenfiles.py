@@ -39,14 +39,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import importable, pieces
+from .common import importable, pieces, stored
 
 MAGIC = b"TLPLANES1"
 #: A text may be cut before a space or line end that follows neither: no match of a byte-level pre-tokenizer runs from other characters into white space.
 PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*|\s+")
+#: Where a cut before every space or line end would divide white space.
+RUN = re.compile(r"\s[ \n]")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
-#: Pieces whose ids a worker remembers; characters of a text that are encoded at a time.
-MEMO, SLICE = 1_000_000, 1 << 20
+#: Pieces whose ids a worker remembers in each of two generations; characters of a text that are encoded at a time.
+MEMO, SLICE = 400_000, 1 << 20
 SEGMENTS = pa.schema([("partition", pa.int64()), ("file", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("before", pa.bool_()), ("after", pa.bool_()), ("total", pa.int64())])
 ENCODERS: dict[str, "Encoder"] = {}
 
@@ -74,32 +76,47 @@ class Encoder:
         for token, i in vocabulary.items():
             self.width[i] = len(token.encode()) if token in special else len(token)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """The text's pieces: one that begins with a space and is no white space after it without that space, one that begins with a line end as it is, others after a space."""
+        if text and not (RUN.search(text) or text[0].isspace() or text[-1].isspace()):
+            out = text.replace("\n", " \n").split(" ")
+            out[0] = " " + out[0]
+            return out
+        return [x[1:] if x[0] == " " and not x[1:2].isspace() and len(x) > 1 else x if x[0] == "\n" else " " + x for x in PIECE.findall(text)]
 
     def learn(self, new: set[str]) -> None:
         """Ids of pieces; those that start and end like a word in a text are encoded as one text."""
-        run = [x for x in new if x[0] in " \n" and not x[-1].isspace()]
-        for x in new.difference(run):
-            self.memo[x] = self.ids(x)
+        run = []
+        for x in new:
+            if x[0] == " " or x[-1].isspace():
+                self.memo[x] = self.ids(x[1:] if x[0] == " " else x if x[0] == "\n" else " " + x)
+            else:
+                run.append(x)
         for i in range(0, len(run), 50_000):
-            part = run[i : i + 50_000]
+            part = [x if x[0] == "\n" else " " + x for x in run[i : i + 50_000]]
             ids = np.frombuffer(self.ids("".join(part)), "<u4")
             cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
             data, at = ids.tobytes(), 0
-            for x, cut in zip(part, (4 * cuts).tolist()):
+            for x, cut in zip(run[i : i + 50_000], (4 * cuts).tolist()):
                 self.memo[x] = data[at:cut]
                 at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [self.ids(x) for x in texts]
-        cut = [PIECE.findall(x) for x in texts]
+        cut = [self.cut(x) for x in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         if new := set().union(*cut).difference(self.memo):
-            self.learn(new)
+            known = new.intersection(self.older)
+            self.memo.update((x, self.older[x]) for x in known)
+            self.learn(new - known)
         return [b"".join(map(self.memo.__getitem__, x)) for x in cut]
 
     def slices(self, text: str) -> Iterator[str]:
@@ -339,6 +356,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         return out
 
     found = files(spark, path).mapInArrow(run, "partition long, file long, at long, doc_id long, n long, crc long, before boolean, after boolean, total long")
+    found = stored(found, "documents")
     # one row a partition: its ids, and those of the partitions before it
     bases = found.groupBy("partition").agg(F.max("total").alias("total"))
     bases = bases.select("partition", (F.sum("total").over(Window.orderBy("partition")) - F.col("total")).alias("base"))
