@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from transitlake.plans import fitted, registered  # noqa: F401 (fitted registers its own)
+from transitlake.plans import fitted, registered, runs  # noqa: F401 (all register their own)
 
 SF = "/root/testdata/sf0.001"
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C
 from .catalog import CLASSES
+from .selection import quantiles
 
 #: Parts of feature names by group, and what stands for "no evidence" in it (None: left as it is).
 GROUPS = {"centroid": (["cent", "pos", "shift"], 0.0), "vetting": (["odd", "even", "sec", "eclipse"], 0.0), "stellar": (["rad", "mass", "teff", "logg"], None), "crowding": (["crowd", "dilution"], 1.0)}
@@ -44,7 +45,7 @@ def fold_of(key: Column, folds: int) -> Column:
 def train(df: DataFrame, features: list[str], label: str = "label", trees: int = 220, least: int = 2, seed: int = 42) -> PipelineModel:
     """A forest over features filled with their medians (0 if a column has no value) and marks of what was missing; classes weigh alike. Rows without a label are left out."""
     rows = df.where(F.col(label).isNotNull())
-    middle = rows.agg(*[F.coalesce(F.median(C.finite(F.col(f))), F.lit(0.0)).alias(f) for f in features]).first()
+    middle = {f: v or 0.0 for f, v in quantiles(rows, features).items()}
     filled = ", ".join(f"coalesce(CASE WHEN NOT isnan(CAST(`{f}` AS DOUBLE)) THEN CAST(`{f}` AS DOUBLE) END, {middle[f]!r}D) AS `_f_{f}`, CAST(`{f}` IS NULL AS DOUBLE) AS `_m_{f}`" for f in features)
     fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
     assemble = VectorAssembler(inputCols=[f"_{k}_{f}" for f in features for k in "fm"], outputCol="_features")
@@ -134,5 +135,32 @@ def anomalies(df: DataFrame, vector: str, parts: int = 8, strength: Column | Non
     squares = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda a, v: a + v * v)
     # the parts are orthonormal, so what they leave is the difference of the squares
     score = lambda d: shape.transform(centre.transform(d)).withColumn("anomaly_score", F.greatest((squares("_c") - squares("_y")) / F.size(vector), F.lit(0.0)))
-    most = score(quiet).agg(F.percentile("anomaly_score", F.lit(quantile))).first()[0]
+    most = quantiles(score(quiet), ["anomaly_score"], quantile)["anomaly_score"]
     return score(rows).withColumn("is_anomalous", F.col("anomaly_score") > F.lit(most)).drop("_low", "_span", "_x", "_c", "_y")
+
+
+#: Parts of names that are no features.
+NOT_FEATURES = ("label", "status", "warning", "error", "class", "method", "source", "path", "file", "note", "_id", "tic_id", "sector", "source_row", "run")
+
+
+def infer_features(df: DataFrame, label: str = "label", preferred: list[str] = (), extra: bool = True) -> list[str]:
+    """Columns to learn from: the preferred ones that exist, then any other that holds a number, but for the label, ids and names that tell of a status, class or place. One pass over all columns; a preferred column without a number stays out."""
+    names = [c for c, kind in df.dtypes if c != label and not kind.startswith(("array", "map", "struct", "binary"))]
+    names = [c for c in names if c in preferred or extra and not any(x in c.lower() for x in NOT_FEATURES)]
+    if not names:
+        return []
+    number = lambda n: C.finite(F.expr(f"try_cast(`{n}` AS DOUBLE)"))
+    some = df.agg(*[F.max(number(n).isNotNull()).alias(f"c{i}") for i, n in enumerate(names)]).first()
+    have = [n for i, n in enumerate(names) if some[i]]
+    return [n for n in preferred if n in have] + [n for n in have if n not in preferred]
+
+
+def model_frame(df: DataFrame, features: list[str], label: str = "label", keep: list[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
+    """(frame, features, warnings): rows whose label is a class, as its canonical name, with each feature as a finite double or null (null too where the column is absent); features without any number are left out, with a warning each."""
+    from .labels import normalise_label
+
+    value = lambda n: C.finite(F.expr(f"try_cast(`{n}` AS DOUBLE)")) if n in df.columns else F.lit(None).cast("double")
+    rows = df.select(*keep, normalise_label(F.col(label)).alias(label), *[value(n).alias(n) for n in features]).where(F.col(label).isNotNull())
+    counts = rows.agg(*[F.count(n).alias(f"c{i}") for i, n in enumerate(features)]).first() if features else []
+    used = [n for n, c in zip(features, counts) if c]
+    return rows.drop(*[n for n in features if n not in used]), used, [f"FEATURE_WITHOUT_VALUES:{n}" for n in features if n not in used]

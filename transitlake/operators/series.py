@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C
+from ..sources.tables import importable
 
 K = ["tic_id", "sector"]
 MAD = 1.4826
@@ -132,9 +133,11 @@ def rolling_trend(series: DataFrame, value: str, days: float = 1.0, keys: list[s
             wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n // 2, np.nan), x, np.full(n // 2, np.nan)]), n)
             for i in range(0, len(own), max(1, (1 << 20) // n)):
                 part = wide[own[i : i + max(1, (1 << 20) // n)]]
-                enough = np.isfinite(part).sum(1) >= max(3, n // 5)
-                if enough.any():
-                    out[i : i + len(part)][enough] = np.nanmedian(part[enough], axis=1)
+                some = np.isfinite(part).sum(1)
+                enough = np.flatnonzero(some >= max(3, n // 5))
+                part = np.sort(part[enough], axis=1)  # what isn't there comes last
+                k, at_ = some[enough], np.arange(len(enough))
+                out[i + enough] = (part[at_, (k - 1) // 2] + part[at_, k // 2]) / 2
         rows = t.take(pa.array(order[own])).select([*keys, "_at"])
         return rows.append_column("_trend", pa.array(out, from_pandas=True))
 
@@ -145,13 +148,13 @@ def rolling_trend(series: DataFrame, value: str, days: float = 1.0, keys: list[s
 
 
 def interpolate(series: DataFrame, value: str, keys: list[str] = K, by: str = "time") -> DataFrame:
-    """series with nulls of `value` filled on a line in time (or another column) between neighbours, and by the nearest at the ends."""
-    w = Window.partitionBy(*keys).orderBy(by)
+    """series with nulls of `value` filled on a line in time (or another column) between neighbours, and by the nearest at the ends. Two running windows, one in each direction: linear in the points of a series."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(by).alias("time"), F.col(value).alias("v")))
-    s = series.withColumn("_a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    seen = lambda order: F.last(known, True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    s = series.withColumn("_a", seen(F.asc(by))).withColumn("_b", seen(F.desc(by)))
     a, b = F.col("_a"), F.col("_b")
     line = F.when(a.isNull(), b["v"]).when(b.isNull() | (a["time"] == b["time"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col(by) - a["time"]) / (b["time"] - a["time"]))
-    return s.withColumn(value, line).drop("_a", "_b")
+    return s.withColumn(value, F.coalesce(F.col(value), line)).drop("_a", "_b")
 
 
 def detrend(series: DataFrame, value: str = "flux_norm", days: float = 1.0, masked: Column | None = None) -> DataFrame:
@@ -284,14 +287,19 @@ def red_noise(series: DataFrame, value: str, lags: int = 20, keys: list[str] = K
     return each.groupBy(*keys).agg(F.median("r").alias("red_noise"))
 
 
-def red_noise_beta(series: DataFrame, value: str, points: int = 10, keys: list[str] = K) -> DataFrame:
-    """(keys, beta): spread of means of whole blocks of points, over what white noise would give, within 1 to 5."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("time")) - 1
-    s = series.select(*keys, F.col(value).alias("x"), F.floor(n / points).alias("block"))
-    blocks = s.groupBy(*keys, "block").agg(F.avg("x").alias("x"), F.count("*").alias("c")).where(F.col("c") == points)
+def red_noise_beta(series: DataFrame, value: str, keys: list[str] = K) -> DataFrame:
+    """(keys, beta): spread of means of whole blocks of points, of about a `duration` each (three points at least), over what white noise would give, within 1 to 5; 1 under 100 points, if a block is a fifth of the series, or where nothing spreads."""
+    w = Window.partitionBy(*keys).orderBy("time")
+    s = series.select(*keys, "time", "duration", C.finite(F.col(value)).alias("x")).where("x IS NOT NULL AND time IS NOT NULL")
+    s = s.withColumns({"at": F.row_number().over(w) - 1, "dt": F.col("time") - F.lag("time").over(w)})
+    size = s.groupBy(*keys).agg(F.count("*").alias("n"), F.median("dt").alias("dt"), F.first("duration").alias("duration"))
+    block = F.greatest(F.lit(3), F.bround(C.ratio(F.col("duration"), F.when(F.col("dt") > 0, F.col("dt")))).cast("int"))
+    size = size.select(*keys, "n", F.when((F.col("duration") > 0) & (F.col("dt") > 0), block).alias("size"))
+    means = s.drop("dt", "duration").join(size.where("n >= 100 AND size < n div 5"), keys).groupBy(*keys, F.expr("at div size").alias("block")).agg(F.avg("x").alias("x"), F.count("*").alias("c"), F.first("size").alias("size")).where("c = size")
     a = robust(s, keys, "x").select(*keys, F.col("sigma").alias("s1"))
-    b = robust(blocks, keys, "x").select(*keys, F.col("sigma").alias("sb"))
-    return a.join(b, keys, "left").select(*keys, F.coalesce(C.clip(C.ratio(F.col("sb") * (points**0.5), F.col("s1")), 1, 5), F.lit(1.0)).alias("beta"))
+    b = robust(means, keys, "x").select(*keys, F.col("sigma").alias("sb"))
+    both = a.join(size, keys).join(b, keys, "left")
+    return both.select(*keys, F.coalesce(C.clip(C.ratio(F.col("sb") * F.sqrt("size"), F.col("s1")), 1, 5), F.lit(1.0)).alias("beta"))
 
 
 def phase_bins(series: DataFrame, value: str, bins: int = 50, least: int = 3, keys: list[str] = K) -> DataFrame:
@@ -301,11 +309,40 @@ def phase_bins(series: DataFrame, value: str, bins: int = 50, least: int = 3, ke
     return series.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.median(value).alias("median")).where(F.col("n") >= least)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers (in 64), each made another of no visible order: shifts and odd factors, which lose nothing."""
+    x = (x ^ x >> np.uint64(16)) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)
+    x = (x ^ x >> np.uint64(13)) * np.uint64(0xC2B2AE35) & np.uint64(0xFFFFFFFF)
+    return x ^ x >> np.uint64(16)
+
+
+def drawn(r: np.ndarray, n: int) -> np.ndarray:
+    """Places 0 to n - 1, n for each replicate r, drawn with replacement by counters: alike on each run and in any order."""
+    i = mixed(np.arange(n, dtype=np.uint64) & np.uint64(0xFFFFFFFF))
+    return (mixed(i[None, :] + r[:, None].astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+#: SQL's form of a draw, for the tests of queries: the place of r and i among n.
+DRAW = """CAST((xor(a5, a5 >> 16) * CAST(n AS UBIGINT)) >> 32 AS BIGINT) AS place FROM (SELECT *, (xor(a4, a4 >> 13) * 3266489909) & 4294967295 AS a5 FROM (SELECT *, (xor(a3, a3 >> 16) * 2246822507) & 4294967295 AS a4 FROM (SELECT *, (xor(a2, a2 >> 16) + CAST(r AS UBIGINT) * 2654435761) & 4294967295 AS a3
+FROM (SELECT *, (xor(a1, a1 >> 13) * 3266489909) & 4294967295 AS a2 FROM (SELECT *, (xor(a0, a0 >> 16) * 2246822507) & 4294967295 AS a1 FROM (SELECT *, CAST(i AS UBIGINT) AS a0 FROM"""
+
+
+def resampled(x: np.ndarray, replicates: int, cells: int = 1 << 20) -> np.ndarray:
+    """The median of each replicate of x, drawn anew with replacement, `cells` draws at a time."""
+    step = max(1, cells // max(1, len(x)))
+    return np.concatenate([np.median(x[drawn(np.arange(r, min(r + step, replicates)), len(x))], axis=1) for r in range(0, replicates, step)])
+
+
 def bootstrap_depth(events: DataFrame, replicates: int = 500, keys: list[str] = K) -> DataFrame:
-    """(keys, err): spread of medians of events drawn with replacement; draws are (7919 r + 104729 i + 13) mod n, alike on each run."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy("event")) - 1
-    e = events.where("depth IS NOT NULL").select(*keys, "depth", at.alias("place"), F.count("*").over(Window.partitionBy(*keys)).alias("n")).where("n > 1")
-    draws = e.select(*keys, F.col("place").alias("i"), "n").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("place", ((7919 * F.col("r") + 104729 * F.col("i") * (F.col("r") + 1) + 13) % F.col("n")).cast("int")).select(*keys, "r", "place")
-    each = draws.join(e.select(*keys, "place", "depth"), [*keys, "place"]).groupBy(*keys, "r").agg(F.median("depth").alias("m"))
-    return each.groupBy(*keys).agg(F.stddev_samp("m").alias("err"))
+    """(keys, err): spread of medians of events drawn with replacement, one Arrow group a candidate; none for one event."""
+    importable(events.sparkSession)
+    kinds = dict(events.dtypes)
+
+    def kernel(t: pa.Table) -> pa.Table:
+        t = t.sort_by("event")
+        x = t.column("depth").to_numpy()
+        own = [t.column(k).slice(0, 1) for k in keys]
+        return pa.Table.from_arrays([*own, pa.array([float(np.std(resampled(x, replicates), ddof=1)) if len(x) > 1 else None], pa.float64())], [*keys, "err"])
+
+    e = events.select(*keys, "event", C.finite(F.col("depth")).alias("depth")).where("depth IS NOT NULL")
+    return e.groupBy(*keys).applyInArrow(kernel, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", err double").where("err IS NOT NULL")

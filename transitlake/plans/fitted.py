@@ -96,8 +96,7 @@ def end_to_end_catalog(spark, sf_dir):
 @register()
 def injection_grid(spark, sf_dir):
     """The grid of 37 signals put into every target and searched for, scored by kind."""
-    found = injection.run(tables.observations(spark, sf_dir), injection.specs(spark))
-    return validation.injection_summary(found.withColumn("final_class", F.when(F.col("detected"), F.lit(catalog.PLANET)).otherwise(catalog.NOTHING)))
+    return validation.injection_summary(tables.kept(injection.run(tables.observations(spark, sf_dir), injection.specs(spark)), "injections"))
 
 
 @register(f"""WITH {INJ}, a AS (SELECT tic_id, median(CASE WHEN abs(ph) >= 0.5::DOUBLE THEN x END) AS m FROM s GROUP BY tic_id) SELECT s.tic_id, 1 AS sector, round(sqrt(avg((x - m) ^ 2)) * 1e6, 3) AS out_rms_ppm FROM s JOIN a USING (tic_id) WHERE abs(ph) >= 0.5::DOUBLE GROUP BY s.tic_id""")
@@ -105,9 +104,9 @@ def out_of_transit_rms(spark, sf_dir):
     return rounded(vetting.out_rms(injected(spark, sf_dir), "flux_norm"), 3)
 
 
-@register(f"""WITH {INJ}, z AS (SELECT tic_id, x, CASE WHEN i THEN 'i' ELSE 'o' END AS side, row_number() OVER (PARTITION BY tic_id, i ORDER BY time) - 1 AS place, count(*) OVER (PARTITION BY tic_id, i) AS n FROM s WHERE i OR abs(ph) >= 0.5::DOUBLE),
-d AS (SELECT tic_id, side, r, (7919 * r + 104729 * place * (r + 1) + 13) % n AS place FROM z, range(300) q(r)), e AS (SELECT d.tic_id, r, median(CASE WHEN d.side = 'o' THEN x END) - median(CASE WHEN d.side = 'i' THEN x END) AS depth FROM d JOIN z ON z.tic_id = d.tic_id AND z.side = d.side AND z.place = d.place GROUP BY d.tic_id, r), n AS (SELECT tic_id, count(CASE WHEN side = 'i' THEN 1 END) AS ni, count(CASE WHEN side = 'o' THEN 1 END) AS no FROM z GROUP BY tic_id)
-SELECT tic_id, 1 AS sector, round(stddev_samp(depth) * 1e6, 3) AS boot_err_ppm FROM e JOIN n USING (tic_id) WHERE ni >= 3 AND no >= 20 GROUP BY tic_id""")
+@register(f"""WITH {INJ}, z AS (SELECT tic_id, x, CASE WHEN i THEN 'i' ELSE 'o' END AS side, row_number() OVER (PARTITION BY tic_id, i ORDER BY time, x) - 1 AS i, count(*) OVER (PARTITION BY tic_id, i) AS n FROM (SELECT * FROM s WHERE i OR abs(ph) >= 0.5::DOUBLE)),
+d AS (SELECT tic_id, side, r, {series.DRAW} (SELECT tic_id, side, i, n, r FROM z, range(300) q(r))))))))), e AS (SELECT d.tic_id, r, median(CASE WHEN d.side = 'o' THEN x END) - median(CASE WHEN d.side = 'i' THEN x END) AS depth FROM d JOIN z ON z.tic_id = d.tic_id AND z.side = d.side AND z.i = d.place GROUP BY d.tic_id, r), c AS (SELECT tic_id, count(CASE WHEN side = 'i' THEN 1 END) AS ni, count(CASE WHEN side = 'o' THEN 1 END) AS no FROM z GROUP BY tic_id)
+SELECT tic_id, 1 AS sector, round(stddev_samp(depth) * 1e6, 3) AS boot_err_ppm FROM e JOIN c USING (tic_id) WHERE ni >= 3 AND no >= 20 GROUP BY tic_id""")
 def residual_bootstrap(spark, sf_dir):
     return rounded(vetting.residual_bootstrap(injected(spark, sf_dir), "flux_norm"), 3)
 

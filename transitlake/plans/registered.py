@@ -136,8 +136,8 @@ def odd_even_test(spark, sf_dir):
     return rounded(series.odd_even(series.event_depths(injected(spark, sf_dir), "flux_norm")), 4)
 
 
-@register(f"""WITH {INJ}, {EVENTS}, p AS (SELECT tic_id, depth, row_number() OVER (PARTITION BY tic_id ORDER BY event) - 1 AS place, count(*) OVER (PARTITION BY tic_id) AS n FROM ed WHERE depth IS NOT NULL), d AS (SELECT tic_id, r, (7919 * r + 104729 * place * (r + 1) + 13) % n AS place FROM p, range(500) q(r) WHERE n > 1),
-m AS (SELECT d.tic_id, r, median(depth) AS m FROM d JOIN p ON d.tic_id = p.tic_id AND d.place = p.place GROUP BY d.tic_id, r) SELECT tic_id, 1 AS sector, round(stddev_samp(m), 7) AS err FROM m GROUP BY tic_id""")
+@register(f"""WITH {INJ}, {EVENTS}, p AS (SELECT tic_id, depth, row_number() OVER (PARTITION BY tic_id ORDER BY event) - 1 AS i, count(*) OVER (PARTITION BY tic_id) AS n FROM ed WHERE depth IS NOT NULL), d AS (SELECT tic_id, r, {series.DRAW} (SELECT tic_id, i, n, r FROM p, range(500) q(r) WHERE n > 1)))))))),
+m AS (SELECT d.tic_id, r, median(depth) AS m FROM d JOIN p ON d.tic_id = p.tic_id AND d.place = p.i GROUP BY d.tic_id, r) SELECT tic_id, 1 AS sector, round(stddev_samp(m), 7) AS err FROM m GROUP BY tic_id""")
 def bootstrap_depth_error(spark, sf_dir):
     return rounded(series.bootstrap_depth(series.event_depths(injected(spark, sf_dir), "flux_norm")), 7)
 
@@ -160,7 +160,9 @@ def red_noise_proxy(spark, sf_dir):
     return rounded(series.red_noise(injected(spark, sf_dir), "flux_norm"))
 
 
-@register(f"WITH {INJ}, b AS (SELECT tic_id, x, (row_number() OVER (PARTITION BY tic_id ORDER BY time) - 1) // 10 AS k FROM s), m AS (SELECT tic_id, k, avg(x) AS x FROM b GROUP BY tic_id, k HAVING count(*) = 10), u AS (SELECT tic_id, 1.4826 * mad(x) AS s1 FROM s GROUP BY tic_id), v AS (SELECT tic_id, 1.4826 * mad(x) AS sb FROM m GROUP BY tic_id) SELECT tic_id, 1 AS sector, round(coalesce(least(greatest(sb * sqrt(10) / s1, 1), 5), 1), 5) AS beta FROM u LEFT JOIN v USING (tic_id)")
+@register(f"""WITH {INJ}, a AS (SELECT tic_id, time, x, duration, row_number() OVER w - 1 AS pos, time - lag(time) OVER w AS dt FROM s WINDOW w AS (PARTITION BY tic_id ORDER BY time)), z AS (SELECT tic_id, count(*) AS n, greatest(3, CAST(round_even(any_value(duration) / median(dt), 0) AS INT)) AS size FROM a GROUP BY tic_id),
+m AS (SELECT tic_id, pos // size AS k, avg(x) AS x, any_value(size) AS size FROM a JOIN z USING (tic_id) WHERE n >= 100 AND size < n // 5 GROUP BY tic_id, k HAVING count(*) = any_value(size)), u AS (SELECT tic_id, 1.4826 * mad(x) AS s1 FROM s GROUP BY tic_id), v AS (SELECT tic_id, 1.4826 * mad(x) AS sb, any_value(size) AS size FROM m GROUP BY tic_id)
+SELECT tic_id, 1 AS sector, round(coalesce(least(greatest(sb * sqrt(size) / nullif(s1, 0), 1), 5), 1), 5) AS beta FROM u LEFT JOIN v USING (tic_id)""")
 def red_noise_beta(spark, sf_dir):
     return rounded(series.red_noise_beta(injected(spark, sf_dir), "flux_norm"), 5)
 
@@ -274,7 +276,7 @@ def target_summary(spark, sf_dir):
     return rounded(catalog.target_summary(targets, found, ["tic_id"]))
 
 
-@register(f"""WITH {CAND_SQL}, k AS (SELECT *, candidate_id % 4 = 0 AS v, candidate_id % 3 <> 0 AS m FROM cand) SELECT tic_id, candidate_id, round(CASE WHEN v THEN p_1 END, 6) AS model_p, round(CASE WHEN m THEN p_2 END, 6) AS table_p, round(CASE WHEN v AND m THEN (0.5 * p_1 + 0.5 * p_2) / nullif(0.5 * (p_0 + p_3) + 0.5 * p_1 + 0.5 * p_2, 0) END, 6) AS both FROM k""")
+@register(f"""WITH {CAND_SQL}, k AS (SELECT *, candidate_id % 4 = 0 AS v, candidate_id % 3 <> 0 AS m FROM cand) SELECT tic_id, candidate_id, round(CASE WHEN v THEN p_1 END, 6) AS model_p, round(CASE WHEN m THEN p_2 END, 6) AS table_p, round(CASE WHEN v AND m AND p_0 + p_1 + p_2 + p_3 = 0 THEN 0.5 WHEN v AND m THEN (0.5 * p_1 + 0.5 * p_2) / nullif(0.5 * (p_0 + p_3) + 0.5 * p_1 + 0.5 * p_2, 0) END, 6) AS both FROM k""")
 def attached_predictions(spark, sf_dir):
     """Predictions of two models joined to their candidates, those of the first winning; and class probabilities of both blended."""
     c, k = candidates(spark, sf_dir), ["tic_id", "candidate_id"]

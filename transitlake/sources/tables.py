@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 OBSERVATIONS = ["tic_id", "sector", "cadence", "time", "pdcsap_flux", "sap_flux", "quality", "centroid_col", "centroid_row"]
@@ -9,11 +14,41 @@ OBSERVATIONS = ["tic_id", "sector", "cadence", "time", "pdcsap_flux", "sap_flux"
 ALIASES = {"time": ["TIME"], "quality": ["QUALITY"], "centroid_col": ["MOM_CENTR1", "CENTR1", "POS_CORR1"], "centroid_row": ["MOM_CENTR2", "CENTR2", "POS_CORR2"], "sap_flux": ["SAP_FLUX"], "pdcsap_flux": ["PDCSAP_FLUX"]}
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, worked out once: checkpointed to the shared folder that spark.checkpoint.dir names, so that its plan ends here; persisted where there is none."""
-    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return df.checkpoint()
-    return df.persist()
+SHIPPED: set[str] = set()
+
+
+def importable(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"package-{uuid.uuid4().hex}.zip")  # Spark serves it from the driver
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in sorted(x for x in files if x.endswith(".py")):
+                z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(package)))
+    spark.sparkContext.addPyFile(path)
+    SHIPPED.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names. Where that is unset, a temporary folder in local mode, and an error on a cluster."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("transitlake.scratch", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("transitlake.scratch", base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df, worked out once: written to scratch and read back, so its plan ends here, a lost executor costs nothing of it, and what follows is planned on true sizes."""
+    path = scratch(df.sparkSession, name)
+    plain = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
