@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from transitlake.operators import catalog
 from transitlake.plans import registered
 from transitlake.sources import archives
 
@@ -63,7 +64,7 @@ def test_star_catalogs(spark):
 
 def test_sinks(spark):
     path = tempfile.mkdtemp(prefix="spark-")
-    c = registered.final_catalog(spark, SF)
+    c = catalog.harmonise(registered.decided(spark, SF)).withColumn("effective_snr", F.col("snr"))
     archives.save_catalog(c, f"{path}/catalog")
     assert spark.read.parquet(f"{path}/catalog").count() == c.count()
     with pytest.raises(ValueError):

@@ -64,12 +64,15 @@ def test_injected_period_is_found(spark):
 
 
 def test_catalog_contract(spark):
-    c = registered.final_catalog(spark, SF)
+    c = catalog.harmonise(registered.decided(spark, SF)).withColumn("effective_snr", F.col("snr")).cache()
     assert catalog.schema_issues(c).count() == 0
     assert catalog.schema_issues(c.limit(0)).count() == 0
     assert catalog.schema_issues(c.drop("tic_id")).first().issue == "MISSING_TIC_ID"
     bad = c.withColumn("confidence", F.lit(2.0)).withColumn("final_class", F.lit("X"))
     assert {r.issue for r in catalog.schema_issues(bad).collect()} == {"CONFIDENCE_RANGE", "UNKNOWN_CLASS"}
+    odd = c.withColumns({"depth_ppm": F.lit(None).cast("double"), "effective_snr": F.when(F.col("priority_rank") == 1, float("inf")).otherwise(F.col("snr"))})
+    assert {r.issue: r.n for r in catalog.schema_issues(odd).collect()} == {"DEPTH_PPM_ALL_NULL": 1, "EFFECTIVE_SNR_NOT_FINITE": 1}
+    assert {r.issue for r in catalog.schema_issues(c.drop("sector", "depth_ppm")).collect()} == {"MISSING_SECTOR", "MISSING_DEPTH_PPM"}
 
 
 def test_probabilities_sum_to_one(spark):

@@ -13,7 +13,9 @@ CLASSES = ["PLANETARY_TRANSIT_CANDIDATE", "ECLIPSING_BINARY", "BLEND_OR_CONTAMIN
 PLANET, BINARY, BLEND, VARIABLE, SYSTEMATIC, NOTHING, UNCERTAIN = CLASSES
 #: What each class adds to a candidate's priority.
 OFFSETS = {PLANET: 50, UNCERTAIN: 10, BINARY: -20, BLEND: -25, NOTHING: -80, SYSTEMATIC: -60}
-REQUIRED = ["tic_id", "final_class", "confidence", "priority_score", "priority_rank"]
+#: The columns that a catalog must have, and the bounds of its numbers: (least, most, whether least itself will do).
+REQUIRED = ["tic_id", "sector", "candidate_id", "priority_rank", "priority_score", "final_class", "confidence", "recommended_action", "period_days", "duration_hours", "depth_ppm", "effective_snr"]
+BOUNDS = {"confidence": (0, 1, True), "period_days": (0, None, False), "duration_hours": (0, None, False), "depth_ppm": (0, None, False), "effective_snr": (0, None, True), "priority_rank": (0, None, False)}
 
 
 def renormalise(p: list[Column]) -> list[Column]:
@@ -27,15 +29,19 @@ def guardrails(df: DataFrame, prefix: str = "p_") -> DataFrame:
     """df with class probabilities bent by physical evidence, and the warnings of what did."""
     c, p = F.col, {k: F.col(f"{prefix}{i}") for i, k in enumerate(CLASSES)}
     strong_binary = (c("secondary_sigma") >= 5) & (c("secondary_ratio") >= 0.05)
+    crowded = c("crowding") >= 0.4
+    if "crowdsap" in df.columns:
+        crowded = F.coalesce(crowded, F.lit(False)) | F.coalesce(C.finite(c("crowdsap")) <= 0.6, F.lit(False))
+    #: Fixed values: (warning, when, class that is raised, to at least, planet at most).
     rules = [
-        ("STRONG_SECONDARY", strong_binary, BINARY, 0.82, 0.18),
-        ("SECONDARY", (c("secondary_sigma") >= 5) & ~F.coalesce(c("secondary_ratio") >= 0.05, F.lit(False)), BINARY, 0.60, 0.35),
-        ("ODD_EVEN", c("odd_even_sigma") >= 3, BINARY, 0.72, 0.25),
-        ("CENTROID_STRONG", c("centroid_sigma") >= 5, BLEND, 0.82, 0.25),
-        ("CENTROID_CROWDED", (c("centroid_sigma") >= 3) & (c("centroid_sigma") < 5) & (c("crowding") >= 0.25), BLEND, 0.65, None),
-        ("CROWDED", c("crowding") >= 0.4, BLEND, 0.62, 0.38),
-        ("LOW_QUALITY", c("data_quality") <= 0.35, SYSTEMATIC, 0.70, 0.22),
-        ("LOW_SNR", c("snr") < 6, NOTHING, 0.55, 0.18),
+        ("guardrail_strong_secondary_eclipse", strong_binary, BINARY, 0.82, 0.18),
+        ("guardrail_possible_secondary_eclipse", (c("secondary_sigma") >= 5) & ~F.coalesce(c("secondary_ratio") >= 0.05, F.lit(False)), BINARY, 0.60, 0.35),
+        ("guardrail_odd_even_depth_mismatch", c("odd_even_sigma") >= 3, BINARY, 0.72, 0.25),
+        ("guardrail_significant_centroid_shift", c("centroid_sigma") >= 5, BLEND, 0.82, 0.25),
+        ("guardrail_marginal_centroid_plus_crowding", (c("centroid_sigma") >= 3) & (c("centroid_sigma") < 5) & (c("crowding") >= 0.25), BLEND, 0.65, None),
+        ("guardrail_low_crowdsap_or_high_crowding", crowded, BLEND, 0.62, 0.38),
+        ("guardrail_low_data_quality", c("data_quality") <= 0.35, SYSTEMATIC, 0.70, 0.22),
+        ("guardrail_low_snr", c("snr") < 6, NOTHING, 0.55, 0.18),
     ]
     # a class is only ever raised, the planet only ever lowered, so the order of the rules doesn't matter
     for k in CLASSES:
@@ -165,19 +171,25 @@ def harmonise(df: DataFrame) -> DataFrame:
 
 
 def schema_issues(df: DataFrame) -> DataFrame:
-    """(issue, n) of rows that break the catalog's contract; a missing column is one issue."""
+    """(issue, n) of rows that break the catalog's contract: unknown classes, no target, numbers out of bounds or not finite. A missing column, a column of numbers without any, and ranks that are not 1 to n (where all rows have one) are one issue each. An empty catalog has none."""
     spark = df.sparkSession
     missing = [(f"MISSING_{c.upper()}", 1) for c in REQUIRED if c not in df.columns]
     if missing:
         return spark.createDataFrame(missing, "issue string, n long")
     c = F.col
-    checks = {"UNKNOWN_CLASS": ~F.coalesce(c("final_class"), F.lit("")).isin(CLASSES), "CONFIDENCE_RANGE": ~c("confidence").between(0, 1), "NO_TARGET": c("tic_id").isNull()}
-    #: Numbers that must be over zero, or not under it.
-    for name, least in (("period_days", 0), ("duration_hours", 0), ("depth_ppm", 0), ("effective_snr", None), ("priority_rank", 0)):
-        if name in df.columns:
-            checks[f"{name.upper()}_RANGE"] = c(name) <= 0 if least == 0 else c(name) < 0
-    one = df.agg(*[F.coalesce(F.sum(F.coalesce(v, F.lit(False)).cast("int")), F.lit(0)).cast("long").alias(k) for k, v in checks.items()], F.when((F.count("*") > 0) & ((F.min("priority_rank") != 1) | (F.max("priority_rank") != F.count("*")) | (F.countDistinct("priority_rank") != F.count("*"))), 1).otherwise(0).cast("long").alias("RANK_NOT_CONTIGUOUS"))
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("issue"), c(k).alias("n")) for k in [*checks, "RANK_NOT_CONTIGUOUS"]])).alias("x")).select("x.*").where("n > 0")
+    counted = lambda when: F.coalesce(F.sum(F.coalesce(when, F.lit(False)).cast("int")), F.lit(0)).cast("long")
+    facts = {"UNKNOWN_CLASS": counted(~F.coalesce(c("final_class"), F.lit("")).isin(CLASSES)), "NO_TARGET": counted(c("tic_id").isNull())}
+    for name, (least, most, closed) in BOUNDS.items():
+        x = C.finite(c(name))
+        out = x < least if closed else x <= least
+        facts[f"{name.upper()}_RANGE"] = counted(out if most is None else out | (x > most))
+        facts[f"{name.upper()}_NOT_FINITE"] = counted(c(name).isNotNull() & x.isNull())
+        facts[f"{name.upper()}_ALL_NULL"] = ((F.count("*") > 0) & (F.count(x) == 0)).cast("long")
+    rank = c("priority_rank")
+    broken = (F.count("*") > 0) & (F.count(rank) == F.count("*")) & ((F.min(rank) != 1) | (F.max(rank) != F.count("*")) | (F.countDistinct(rank) != F.count("*")))
+    facts["RANK_NOT_CONTIGUOUS"] = F.coalesce(broken, F.lit(False)).cast("long")
+    one = df.agg(*[v.alias(k) for k, v in facts.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("issue"), c(k).alias("n")) for k in facts])).alias("x")).select("x.*").where("n > 0")
 
 
 def unknown_classes(df: DataFrame, column: str = "final_class") -> DataFrame:

@@ -14,8 +14,10 @@ from ..functions import columns as C
 from .catalog import CLASSES
 from .selection import quantiles
 
-#: Parts of feature names by group, and what stands for "no evidence" in it (None: left as it is).
-GROUPS = {"centroid": (["cent", "pos", "shift"], 0.0), "vetting": (["odd", "even", "sec", "eclipse"], 0.0), "stellar": (["rad", "mass", "teff", "logg"], None), "crowding": (["crowd", "dilution"], 1.0)}
+#: Parts of feature names by group, and what stands for "no evidence" in it (None: not known, so the model fills it).
+GROUPS = {"centroid": (["cent", "pos", "shift"], 0.0), "vetting": (["odd", "even", "sec", "eclipse"], 0.0), "stellar": (["rad", "mass", "teff", "logg"], None), "crowding": (["crowd", "dilution"], 0.0)}
+#: Features of which another value says nothing: all light is the target's.
+NEUTRAL = {"crowdsap": 1.0}
 
 
 def shuffled(key: Column) -> Column:
@@ -65,10 +67,12 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def blend(df: DataFrame, weight: float = 0.25) -> DataFrame:
-    """df with p_0 to p_4 drawn towards the rule scores s_0 to s_4, which are scaled to 1 first; rows without rule scores stay."""
-    total = reduce(lambda a, b: a + b, [F.col(f"s_{i}") for i in range(5)])
-    rule = [C.ratio(F.col(f"s_{i}"), total) if i < 5 else F.lit(0.0) for i in range(len(CLASSES))]
-    return df.withColumns({f"p_{i}": F.when(total > 0, (1 - weight) * F.col(f"p_{i}") + weight * r).otherwise(F.col(f"p_{i}")) for i, r in enumerate(rule)})
+    """df with class probabilities drawn towards the rule scores s_0 to s_4: what they leave open counts a quarter for UNCERTAIN, and all are scaled to 1 first; rows without a rule score over 0 stay."""
+    score = [F.greatest(F.coalesce(C.finite(F.col(f"s_{i}")), F.lit(0.0)), F.lit(0.0)) for i in range(5)]
+    some = F.greatest(*score)
+    rule = [*score, F.lit(0.0), F.greatest(F.lit(0.0), 1 - some) * 0.25]  # in the order of CLASSES
+    total = reduce(lambda a, b: a + b, rule)
+    return df.withColumns({f"p_{i}": F.when(some > 0, (1 - weight) * F.col(f"p_{i}") + weight * r / total).otherwise(F.col(f"p_{i}")) for i, r in enumerate(rule)})
 
 
 def out_of_fold(df: DataFrame, features: list[str], key: Column, label: str = "label", folds: int = 5, **options) -> DataFrame:
@@ -103,7 +107,7 @@ def counterfactuals(model: PipelineModel, df: DataFrame, features: list[str], ke
     for group, (marks, neutral) in GROUPS.items():
         own = [f for f in features if any(m in f for m in marks)]
         if own:
-            parts.append(df.withColumns({f: F.lit(neutral) for f in own} if neutral is not None else {}).withColumn("group", F.lit(group)))
+            parts.append(df.withColumns({f: F.lit(next((v for k, v in NEUTRAL.items() if k in f), neutral)).cast("double") for f in own}).withColumn("group", F.lit(group)))
     before = predict(model, df).select(*keys, F.col("model_class").alias("_before"))
     after = predict(model, reduce(DataFrame.unionByName, parts)).select(*keys, "group", F.col("model_class").alias("new_class"))
     return after.join(before, keys).select(*keys, "group", "new_class", (F.col("new_class") != F.col("_before")).alias("load_bearing"))

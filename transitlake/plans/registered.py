@@ -223,12 +223,23 @@ def decided(spark, sf_dir):
     return catalog.decide(catalog.guardrails(candidates(spark, sf_dir)))
 
 
-@register(f"WITH {GUARD} SELECT tic_id, candidate_id, final_class, round(confidence, 6) AS confidence, round(margin, 6) AS margin, concat_ws(';', CASE WHEN h1 THEN 'STRONG_SECONDARY' END, CASE WHEN h2 THEN 'SECONDARY' END, CASE WHEN h3 THEN 'ODD_EVEN' END, CASE WHEN h4 THEN 'CENTROID_STRONG' END, CASE WHEN h5 THEN 'CENTROID_CROWDED' END, CASE WHEN h6 THEN 'CROWDED' END, CASE WHEN h7 THEN 'LOW_QUALITY' END, CASE WHEN h8 THEN 'LOW_SNR' END) AS guard_warnings FROM dec")
+@register(f"WITH {GUARD} SELECT tic_id, candidate_id, final_class, round(confidence, 6) AS confidence, round(margin, 6) AS margin, concat_ws(';', CASE WHEN h1 THEN 'guardrail_strong_secondary_eclipse' END, CASE WHEN h2 THEN 'guardrail_possible_secondary_eclipse' END, CASE WHEN h3 THEN 'guardrail_odd_even_depth_mismatch' END, CASE WHEN h4 THEN 'guardrail_significant_centroid_shift' END, CASE WHEN h5 THEN 'guardrail_marginal_centroid_plus_crowding' END, CASE WHEN h6 THEN 'guardrail_low_crowdsap_or_high_crowding' END, CASE WHEN h7 THEN 'guardrail_low_data_quality' END, CASE WHEN h8 THEN 'guardrail_low_snr' END) AS guard_warnings FROM dec")
 def guarded_classes(spark, sf_dir):
     return rounded(decided(spark, sf_dir).select("tic_id", "candidate_id", "final_class", "confidence", "margin", "guard_warnings"))
 
 
-GUARD_WARNINGS = "concat_ws(';', CASE WHEN h1 THEN 'STRONG_SECONDARY' END, CASE WHEN h2 THEN 'SECONDARY' END, CASE WHEN h3 THEN 'ODD_EVEN' END, CASE WHEN h4 THEN 'CENTROID_STRONG' END, CASE WHEN h5 THEN 'CENTROID_CROWDED' END, CASE WHEN h6 THEN 'CROWDED' END, CASE WHEN h7 THEN 'LOW_QUALITY' END, CASE WHEN h8 THEN 'LOW_SNR' END)"
+LIGHT = "CASE WHEN candidate_id % 4 <> 0 THEN 0.3e0 + (candidate_id % 8) / 1e1 END"
+
+
+@register(f"WITH {GUARD.replace('crowding >= 0.4 AS h6', f'crowding >= 0.4 OR coalesce({LIGHT} <= 0.6, false) AS h6')} SELECT tic_id, candidate_id, final_class, round(confidence, 6) AS confidence, h6 AS crowded FROM dec")
+def crowded_classes(spark, sf_dir):
+    """Classes where the share of the target's own light is known for most."""
+    c = candidates(spark, sf_dir).withColumn("crowdsap", F.expr(LIGHT))
+    out = catalog.decide(catalog.guardrails(c))
+    return rounded(out.select("tic_id", "candidate_id", "final_class", "confidence", F.contains("guard_warnings", F.lit("low_crowdsap")).alias("crowded")))
+
+
+GUARD_WARNINGS = "concat_ws(';', CASE WHEN h1 THEN 'guardrail_strong_secondary_eclipse' END, CASE WHEN h2 THEN 'guardrail_possible_secondary_eclipse' END, CASE WHEN h3 THEN 'guardrail_odd_even_depth_mismatch' END, CASE WHEN h4 THEN 'guardrail_significant_centroid_shift' END, CASE WHEN h5 THEN 'guardrail_marginal_centroid_plus_crowding' END, CASE WHEN h6 THEN 'guardrail_low_crowdsap_or_high_crowding' END, CASE WHEN h7 THEN 'guardrail_low_data_quality' END, CASE WHEN h8 THEN 'guardrail_low_snr' END)"
 PRIORITY = f"""{GUARD}, pr AS (SELECT *, least(greatest(confidence, 0), 1) AS conf, confidence < 0.5 OR margin < 0.15 AS needs_review, round(100 * confidence + 4 * least(snr, 30) + 5 * least(n_transits, 6) + 20 * coalesce(data_quality, 0.6) + CASE final_class {' '.join(f"WHEN '{k}' THEN {v}" for k, v in catalog.OFFSETS.items())} ELSE 0 END - 8 * greatest(secondary_sigma - 3, 0) - 7 * greatest(odd_even_sigma - 2, 0) - 7 * greatest(centroid_sigma - 2, 0) - 25 * greatest(crowding - 0.25, 0), 6) AS priority_score FROM dec),
 ac AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, tic_id, candidate_id) AS priority_rank, confidence >= 0.75 AND secondary_sigma < 4 AND odd_even_sigma < 3 AND centroid_sigma < 3 AS fine FROM pr)"""
 
@@ -241,12 +252,12 @@ def final_catalog(spark, sf_dir):
     return rounded(c.select("tic_id", "candidate_id", "final_class", "confidence", "duration_hours", "needs_review", "risk_summary", "priority_score", "recommended_action", "priority_rank"))
 
 
-FAULTS = {"final_class": "CASE WHEN candidate_id % 11 = 0 THEN 'SOMETHING_ELSE' WHEN candidate_id % 17 = 0 THEN NULL ELSE final_class END", "confidence": "CASE WHEN candidate_id % 13 = 0 THEN 1.5e0 ELSE confidence END", "tic_id": "CASE WHEN candidate_id % 19 = 0 THEN NULL ELSE tic_id END", "depth_ppm": "CASE WHEN candidate_id % 7 = 0 THEN 0e0 ELSE depth_ppm END", "priority_rank": "CASE WHEN candidate_id % 23 = 0 THEN 1 ELSE priority_rank END"}
+FAULTS = {"final_class": "CASE WHEN candidate_id % 11 = 0 THEN 'SOMETHING_ELSE' WHEN candidate_id % 17 = 0 THEN NULL ELSE final_class END", "confidence": "CASE WHEN candidate_id % 13 = 0 THEN 1.5e0 ELSE confidence END", "tic_id": "CASE WHEN candidate_id % 19 = 0 THEN NULL ELSE tic_id END", "depth_ppm": "CASE WHEN candidate_id % 7 = 0 THEN 0e0 ELSE depth_ppm END", "priority_rank": "CASE WHEN candidate_id % 23 = 0 THEN 1 ELSE priority_rank END", "period_days": "CASE WHEN candidate_id % 29 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN candidate_id % 31 = 0 THEN -1e0 ELSE period_days END", "effective_snr": "CAST(NULL AS DOUBLE)"}
 
 
-@register(f"""WITH {PRIORITY}, fa AS (SELECT {FAULTS['final_class']} AS final_class, {FAULTS['confidence'].replace('confidence END', 'conf END')} AS confidence, {FAULTS['tic_id']} AS tic_id, CASE WHEN candidate_id % 7 = 0 THEN 0e0 ELSE greatest(depth_ppm, 1e-6) END AS depth_ppm, {FAULTS['priority_rank']} AS priority_rank FROM ac),
+@register(f"""WITH {PRIORITY}, fa AS (SELECT {FAULTS['final_class']} AS final_class, {FAULTS['confidence'].replace('confidence END', 'conf END')} AS confidence, {FAULTS['tic_id']} AS tic_id, CASE WHEN candidate_id % 7 = 0 THEN 0e0 ELSE greatest(depth_ppm, 1e-6) END AS depth_ppm, {FAULTS['priority_rank']} AS priority_rank, {FAULTS['period_days'].replace('ELSE period_days', 'ELSE greatest(period_days, 1e-6)')} AS period_days FROM ac),
 n AS (SELECT unnest([{{'issue': 'UNKNOWN_CLASS', 'n': (SELECT count(*) FROM fa WHERE final_class IS NULL OR final_class NOT IN {tuple(catalog.CLASSES)})}}, {{'issue': 'CONFIDENCE_RANGE', 'n': (SELECT count(*) FROM fa WHERE confidence < 0 OR confidence > 1)}}, {{'issue': 'NO_TARGET', 'n': (SELECT count(*) FROM fa WHERE tic_id IS NULL)}},
-{{'issue': 'DEPTH_PPM_RANGE', 'n': (SELECT count(*) FROM fa WHERE depth_ppm <= 0)}}, {{'issue': 'RANK_NOT_CONTIGUOUS', 'n': (SELECT CAST(count(DISTINCT priority_rank) <> count(*) OR min(priority_rank) <> 1 OR max(priority_rank) <> count(*) AS BIGINT) FROM fa)}}], recursive := true)) SELECT issue, n FROM n WHERE n > 0""")
+{{'issue': 'DEPTH_PPM_RANGE', 'n': (SELECT count(*) FROM fa WHERE depth_ppm <= 0)}}, {{'issue': 'PERIOD_DAYS_RANGE', 'n': (SELECT count(*) FROM fa WHERE isfinite(period_days) AND period_days <= 0)}}, {{'issue': 'PERIOD_DAYS_NOT_FINITE', 'n': (SELECT count(*) FROM fa WHERE NOT isfinite(period_days))}}, {{'issue': 'EFFECTIVE_SNR_ALL_NULL', 'n': (SELECT CAST(count(*) > 0 AS BIGINT) FROM fa)}}, {{'issue': 'RANK_NOT_CONTIGUOUS', 'n': (SELECT CAST(count(DISTINCT priority_rank) <> count(*) OR min(priority_rank) <> 1 OR max(priority_rank) <> count(*) AS BIGINT) FROM fa)}}], recursive := true)) SELECT issue, n FROM n WHERE n > 0""")
 def catalog_issues(spark, sf_dir):
     """The contract's check over a catalog with planted faults."""
     c = catalog.harmonise(decided(spark, sf_dir))
