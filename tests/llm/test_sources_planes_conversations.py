@@ -246,3 +246,13 @@ def test_source_query_matches_sql(spark, name):
     order = sorted(got.columns)
     assert order == sorted(want.columns)
     assert sorted(tuple(r[c] for c in order) for r in got.collect()) == sorted(tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall())
+
+
+def test_toxic_texts_held_out(spark):
+    """Of held-out toxic documents nine in ten are found, and those found are toxic."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    got = queries.op10_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    n = got.agg(F.sum("toxic").alias("toxic"), F.sum("predicted").alias("found"), F.sum(F.col("toxic") * F.col("predicted")).alias("right")).first()
+    assert n.right >= 0.9 * n.toxic and n.right >= 0.95 * n.found
