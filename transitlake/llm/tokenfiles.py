@@ -48,7 +48,7 @@ PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*|\s+")
 RUN = re.compile(r"\s[ \n]")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: Pieces whose ids a worker remembers in each of two generations; characters of a text that are encoded at a time.
-MEMO, SLICE = 400_000, 1 << 20
+MEMO, SLICE = 150_000, 1 << 20
 SEGMENTS = pa.schema([("partition", pa.int64()), ("file", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("before", pa.bool_()), ("after", pa.bool_()), ("total", pa.int64())])
 ENCODERS: dict[str, "Encoder"] = {}
 
@@ -98,12 +98,12 @@ class Encoder:
                 self.memo[x] = self.ids(x[1:] if x[0] == " " else x if x[0] == "\n" else " " + x)
             else:
                 run.append(x)
-        for i in range(0, len(run), 50_000):
-            part = [x if x[0] == "\n" else " " + x for x in run[i : i + 50_000]]
+        for i in range(0, len(run), 10_000):
+            part = [x if x[0] == "\n" else " " + x for x in run[i : i + 10_000]]
             ids = np.frombuffer(self.ids("".join(part)), "<u4")
             cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
             data, at = ids.tobytes(), 0
-            for x, cut in zip(run[i : i + 50_000], (4 * cuts).tolist()):
+            for x, cut in zip(run[i : i + 10_000], (4 * cuts).tolist()):
                 self.memo[x] = data[at:cut]
                 at = cut
 
@@ -230,7 +230,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
         def rows() -> Iterator[bytes]:
             for batch in batches:
-                for piece in pieces(iter([batch]), 1):
+                for piece in pieces(iter([batch]), 1, 1 << 20):
                     ids, texts = (c.to_pylist() for c in piece.columns)
                     if len(texts) == 1:
                         yield from out.add(ids[0], chain((encoder.encode([s])[0] for s in encoder.slices(texts[0])), (last,)))

@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -48,7 +49,7 @@ GRAMS = (4, 5, 6)
 #: Letters of words that may be parts of a word that spaces cut, and the share of all words from which on these are words of their own.
 SHORT, COMMON = 3, 1e-5
 #: Tried on quarters of the learning rows that others are fitted on: what holds weights back, and what a toxic row weighs. SURE: the score that counts as toxic.
-STEPS = [(back, heavy) for back in (0.1, 0.3, 1.0) for heavy in (3.0, 10.0, 30.0)]
+STEPS = [(back, heavy) for back in (0.3, 1.0) for heavy in (3.0, 10.0, 30.0)]
 SURE = 0.7
 
 
@@ -115,13 +116,32 @@ def features(words: Iterable[str], known: dict[str, tuple[str, ...]] | None = No
     return out
 
 
+class Finder:
+    """Which of some features a text of words has: an automaton over its letters, so that words need not be cut."""
+
+    def __init__(self, wanted: Iterable[str]):
+        self.machine, self.empty = ahocorasick.Automaton(), True
+        for x in wanted:
+            self.machine.add_word(x[1:] if x.startswith("~") else f" {x} ", x)
+            self.empty = False
+        if not self.empty:
+            self.machine.make_automaton()
+
+    def all(self, words: Iterable[str]) -> set[str]:
+        return set() if self.empty else {x for _, x in self.machine.iter(f" {' '.join(words)} ")}
+
+    def any(self, word: str) -> bool:
+        return not self.empty and next(self.machine.iter(f" {word} "), None) is not None
+
+
 class Reader:
     """Restores words; with `wanted` features only such as may have one of them."""
 
     def __init__(self, lm: CharacterModel, wanted: set[str] | None = None):
         self.logp, self.common = lm.logp.tolist(), lm.common
         self.memo: dict[str, str] = {}
-        self.part = None if wanted is None else re.compile("|".join(map(re.escape, sorted({collapsed(w.removeprefix("~")) for w in wanted}))) or "(?!)")
+        # parts that letters with nothing doubled must have
+        self.part = None if wanted is None else Finder({"~" + collapsed(w.removeprefix("~")) for w in wanted})
 
     def decode(self, token: str) -> str:
         """The likeliest letters, and spaces, behind the token."""
@@ -161,7 +181,7 @@ class Reader:
         if found is None:
             core = token.rstrip(TRAILING).lstrip(LEADING)
             if core.isalpha():
-                keep = not DOUBLED.search(core) or (self.part is not None and not self.part.search(collapsed(core)))
+                keep = not DOUBLED.search(core) or (self.part is not None and not self.part.any(collapsed(core)))
                 found = core if keep else self.decode(core)
             elif not any(map(str.isalpha, core)) and not (len(core) > 2 and any(c in STANDS and not c.isdigit() for c in core) and all(c in STANDS or c in SEPARATORS for c in core)):
                 found = ""
@@ -187,7 +207,7 @@ class Reader:
                 continue
             if len(run) > 1:
                 joined = "".join(run)
-                if len(joined) > SHORT and not joined.isdigit() and (self.part is None or not joined.isalpha() or self.part.search(collapsed(joined))):
+                if len(joined) > SHORT and not joined.isdigit() and (self.part is None or not joined.isalpha() or self.part.any(collapsed(joined))):
                     out.update(self.decode(" ".join(run)).split())
             run = []
         del out[""]
@@ -231,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm: CharacterModel, id_col: str = "d
         for back, heavy in STEPS:
             x = np.zeros(len(y))
             for k in range(4):
-                w, bias = regression(row, col, y, len(names), np.where(fold == k, 0.0, 1.0), back, heavy, 100)
+                w, bias = regression(row, col, y, len(names), np.where(fold == k, 0.0, 1.0), back, heavy, 60)
                 x[fold == k] = 1 / (1 + np.exp(-(bias + np.bincount(row, w[col], len(y)))))[fold == k]
             hit = x >= SURE
             f1 = 2 * (hit & (y == 1)).sum() / max(1, hit.sum() + y.sum())
@@ -264,19 +284,11 @@ def scores(docs: DataFrame, lm: CharacterModel, weights: dict[str, float], id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, w = shared.value
-        reader, known = Reader(lm, set(w) - {""}), {}
+        reader, finder = Reader(lm, set(w) - {""}), Finder(set(w) - {""})
         for batch in pieces(batches, "t"):
             score, found = [], []
             for t in batch.column("t").to_pylist():
-                have = set()
-                for word in reader.words(t or ""):
-                    own = known.get(word)
-                    if own is None:
-                        if len(known) > MEMO:
-                            known.clear()
-                        own = known[word] = tuple(w.keys() & features((word,)))
-                    have.update(own)
-                have = sorted(have)
+                have = sorted(finder.all(reader.words(t or "")))
                 x = w[""] + sum(w[k] for k in have)
                 score.append(1 / (1 + math.exp(-x)) if x > -700 else 0.0)
                 found.append([k for k in have if w[k] > 0])
