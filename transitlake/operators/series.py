@@ -108,6 +108,27 @@ def quality_summary(obs: DataFrame) -> DataFrame:
     return both.withColumn("removed_fraction", 1 - F.coalesce("n_final", F.lit(0)) / F.col("n_raw")).withColumn("status", F.when(F.coalesce("n_final", F.lit(0)) == 0, "NO_VALID_POINTS_AFTER_MASKING").when(F.col("n_final") < 500, "TOO_FEW_CLEAN_POINTS").otherwise("OK"))
 
 
+def preprocessed(obs: DataFrame, preferred: str = "pdcsap", mode: str = "conservative", least: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(clean, summary): each target's chosen flux, cleaned, without high outliers; and what cleaning left of every target, with flux_source, status and warnings.
+
+    The flux that is not preferred stands in for one that is no good, with a warning; a target without
+    either has the status NO_VALID_FLUX and no points. Points lost for quality, and a quality column
+    that isn't there, are warned of too.
+    """
+    c = F.col
+    chosen = choose_flux(obs, preferred).select(*K, c("source").alias("flux_source"), c("warning").alias("_warned"))
+    flux = F.when(c("flux_source") == "PDCSAP", C.finite(c("pdcsap_flux"))).when(c("flux_source") == "SAP", C.finite(c("sap_flux")))
+    s = obs.join(chosen, K).where("flux_source <> 'NONE'").withColumn("pdcsap_flux", flux).drop("_warned")
+    clean_ = without_outliers(clean(s, mode)).drop("median", "sigma", "high_outlier", "low_outlier")
+    n = obs.groupBy(*K).agg(F.count("*").alias("n_raw"))
+    left = s.groupBy(*K).agg(F.count("*").alias("_n")).join(clean_.groupBy(*K).agg(F.count("*").alias("n_final")), K, "left")
+    out = chosen.join(n, K).join(left, K, "left").na.fill(0, ["n_final"])
+    status = F.when(c("flux_source") == "NONE", "NO_VALID_FLUX").when(c("n_final") == 0, "NO_VALID_POINTS_AFTER_MASKING").when(c("n_final") < least, "TOO_FEW_CLEAN_POINTS").otherwise("OK")
+    out = out.withColumns({"removed_fraction": F.when(c("flux_source") != "NONE", 1 - c("n_final") / c("n_raw")), "status": status})
+    out = clean_warnings(out, obs.columns).withColumn("warnings", F.concat_ws(";", "_warned", "warnings"))
+    return clean_, out.select(*K, "flux_source", "n_raw", "n_final", "removed_fraction", "status", "warnings")
+
+
 def rolling_trend(series: DataFrame, value: str, days: float = 1.0, keys: list[str] = K, piece: int = 8192) -> DataFrame:
     """series with `trend`: a centred rolling median over about `days`, odd in points by each target's cadence, of a fifth of its points (three at least); drawn by index where there are fewer; the median of all where the series has under five points or nothing to draw from.
 

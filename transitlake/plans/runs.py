@@ -132,3 +132,16 @@ def model_rows(spark, sf_dir):
     df = wide(spark, sf_dir).withColumn("label", F.when(F.col("label").isNull(), "no such class").otherwise(F.lower("label")))
     rows, used, warned = models.model_frame(df, ["snr", "sde", "empty", "absent"])
     return rounded(rows.groupBy("label").agg(F.count("*").alias("n"), *[F.avg(x).alias(x) for x in used]).withColumn("warnings", F.lit(";".join(warned))))
+
+
+@register(f"""WITH {OBS}, o AS (SELECT * EXCLUDE (pdcsap_flux, sap_flux), CASE WHEN tic_id % 5 IN (2, 3) AND cadence % 10 < 7 THEN NULL ELSE pdcsap_flux END AS p, CASE WHEN tic_id % 5 = 3 AND cadence % 10 < 8 THEN -1e0 ELSE sap_flux END AS q FROM obs),
+v AS (SELECT tic_id, count(*) AS n_raw, count(CASE WHEN p > 0 THEN 1 END) >= 0.5 * count(*) AND median(CASE WHEN p > 0 THEN p END) > 0 AND mad(CASE WHEN p > 0 THEN p END) > 0 AS vp, count(CASE WHEN q > 0 THEN 1 END) >= 0.5 * count(*) AND median(CASE WHEN q > 0 THEN q END) > 0 AND mad(CASE WHEN q > 0 THEN q END) > 0 AS vq FROM o GROUP BY tic_id),
+f AS (SELECT tic_id, quality, CASE WHEN vp THEN p ELSE q END AS flux FROM o JOIN v USING (tic_id) WHERE vp OR vq), n AS (SELECT tic_id, quality, CASE WHEN flux > 0 THEN flux END / median(CASE WHEN flux > 0 THEN flux END) OVER (PARTITION BY tic_id) AS x FROM f), k AS (SELECT * FROM n WHERE x > 0 AND quality & {series.MASKS["conservative"]} = 0),
+m AS (SELECT tic_id, median(x) AS med, 1.4826 * mad(x) AS sig FROM k GROUP BY tic_id), l AS (SELECT tic_id, count(CASE WHEN NOT x > med + 7 * sig THEN 1 END) AS n_final FROM k JOIN m USING (tic_id) GROUP BY tic_id), z AS (SELECT v.*, coalesce(n_final, 0) AS n_final, CASE WHEN vp THEN 'PDCSAP' WHEN vq THEN 'SAP' ELSE 'NONE' END AS flux_source FROM v LEFT JOIN l USING (tic_id))
+SELECT tic_id, 1 AS sector, flux_source, n_raw, n_final, round(CASE WHEN flux_source <> 'NONE' THEN 1 - n_final / n_raw END, 6) AS removed_fraction, CASE WHEN flux_source = 'NONE' THEN 'NO_VALID_FLUX' WHEN n_final = 0 THEN 'NO_VALID_POINTS_AFTER_MASKING' WHEN n_final < 500 THEN 'TOO_FEW_CLEAN_POINTS' ELSE 'OK' END AS status,
+concat_ws(';', CASE WHEN flux_source = 'SAP' THEN 'PDCSAP_UNAVAILABLE_OR_INVALID_USED_SAP' END, CASE WHEN flux_source <> 'NONE' AND 1 - n_final / n_raw > 0.6 THEN 'HIGH_REMOVED_FRACTION' END) AS warnings FROM z""")
+def preprocessed_targets(spark, sf_dir):
+    """Which flux each target is searched by, and what cleaning leaves of it."""
+    c = F.col
+    o = tables.observations(spark, sf_dir).withColumns({"pdcsap_flux": F.when((c("tic_id") % 5).isin(2, 3) & (c("cadence") % 10 < 7), None).otherwise(c("pdcsap_flux")), "sap_flux": F.when((c("tic_id") % 5 == 3) & (c("cadence") % 10 < 8), -1.0).otherwise(c("sap_flux"))})
+    return rounded(series.preprocessed(o)[1])
