@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -167,10 +168,10 @@ class Automaton:
 
     def __init__(self, compiled: Compiled):
         self.special = compiled.special
-        self.size = array("i", compiled.size.tolist())
+        self.size = compiled.size.tolist()
         flat, single, at = compiled.flat.tobytes(), [], 0
         self.trie: dict[int, int] = {}
-        self.token, self.inner = array("i", [-1]), bytearray(1)  # whether a node has children
+        self.token, self.inner = [-1], bytearray(1)  # whether a node has children
         aside = set(self.special.values())
         for i, n in enumerate(self.size):
             node = 0
@@ -189,37 +190,44 @@ class Automaton:
                 single.append(i)
             at += n
         self.gadgets = Gadgets(single, compiled.merges, len(self.size))
-        self.base = compiled
+        self.base, self.start = compiled, None
+        self.known: dict[int, bool] = {}
         self.words = Memo(self)
         self.reset()
 
     def reset(self) -> None:
-        c = self.base
-        self.step = dict(zip(c.arcs.tolist(), c.target.tolist()))
-        self.emitted = array("i", c.emitted.tolist())
-        cuts, parts = c.cuts.tolist(), c.parts.tolist()
-        self.parts = [tuple(parts[a:b]) for a, b in zip(cuts, cuts[1:])]
-        self.number = {x: i for i, x in enumerate(self.parts)}
-        self.known: dict[int, bool] = {}
+        if self.start is None:
+            c = self.base
+            cuts, parts = c.cuts.tolist(), c.parts.tolist()
+            parts = [tuple(parts[a:b]) for a, b in zip(cuts, cuts[1:])]
+            self.start = dict(zip(c.arcs.tolist(), c.target.tolist())), c.emitted.tolist(), parts, {x: i for i, x in enumerate(parts)}
+        self.step, self.emitted, self.parts, self.number = (x.copy() for x in self.start)
 
     def add(self, state: int, byte: int) -> int:
         """The arc that the gadgets imply."""
+        below_of, token_of, inner, known = self.trie.get, self.token, self.inner, self.known
         parts, token = [], -1
         for part in self.parts[state]:
-            below = self.trie.get(part >> 24 << 8 | byte)
+            below = below_of(part >> 16 & -256 | byte)
             if below is None:
                 continue
-            x, y = (part & 0xFFFFFF) - 1, self.token[below]
-            if y >= 0 and token < 0:
-                ok = x < 0 or self.known.get(x << 24 | y)
-                if ok is None:
-                    if len(self.known) > LIMIT:
-                        self.known.clear()
-                    ok = self.known[x << 24 | y] = self.gadgets.arc(x, y)
-                if ok:
-                    token = y
-            if self.inner[below]:
-                parts.append(below << 24 | (x + 1))
+            before = part & 0xFFFFFF
+            if token < 0:
+                y = token_of[below]
+                if y >= 0:
+                    if not before:
+                        token = y
+                    else:
+                        pair = before << 24 | y
+                        ok = known.get(pair)
+                        if ok is None:
+                            if len(known) > LIMIT:
+                                known.clear()
+                            ok = known[pair] = self.gadgets.arc(before - 1, y)
+                        if ok:
+                            token = y
+            if inner[below]:
+                parts.append(below << 24 | before)
         if token < 0:
             raise ValueError(f"no token can end after byte {byte}")
         parts.append(token + 1)
@@ -233,25 +241,25 @@ class Automaton:
         return to
 
     def run(self, word: bytes) -> list[int]:
-        """The token that ends at each byte of the word: one look-up in the table for each."""
-        step, emitted, out, state = self.step, self.emitted, [], 0
+        """The state after each byte of the word: one look-up in the table for each."""
+        arc, out, state = self.step.get, [], 0
         for b in word:
-            to = step.get(state << 8 | b)
-            if to is None:
-                to = self.add(state, b)
-            state = to
-            out.append(emitted[state])
+            to = arc(state << 8 | b)
+            state = self.add(state, b) if to is None else to
+            out.append(state)
         return out
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids on the one path that spells the word, read off from its end."""
         if len(self.parts) > LIMIT:
             self.reset()
-        ends, size, i, path = self.run(word), self.size, len(word), []
+        states, emitted, size, i, path = self.run(word), self.emitted, self.size, len(word), []
         while i:
-            path.append(ends[i - 1])
-            i -= size[path[-1]]
-        return path[::-1]
+            token = emitted[states[i - 1]]
+            path.append(token)
+            i -= size[token]
+        path.reverse()
+        return path
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Strings of special tokens get their ids."""
@@ -285,7 +293,8 @@ class Memo(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = np.array(self.automaton.encode_word(word), "<u4").tobytes()
+            path = self.automaton.encode_word(word)
+            ids = struct.pack(f"<{len(path)}I", *path)
         if len(word) <= 64:
             if len(self) >= MEMO:
                 self.old.clear()
