@@ -50,9 +50,40 @@ def test_importance_and_counterfactuals(spark, rows, model):
     assert binaries.agg(F.avg(F.col("load_bearing").cast("int"))).first()[0] > 0.8
 
 
+def test_boosted_trees(spark, rows, model):
+    held = rows.where("held_out")
+    boosted = models.train(rows.where("NOT held_out"), FEATURES, kind="boosted", rounds=6)
+    right = lambda m: models.predict(m, held).agg(F.avg((F.col("model_class") == F.col("label")).cast("int")), F.max(F.abs(sum(F.col(f"p_{i}") for i in range(7)) - 1)), F.min(sum((F.col(f"p_{i}") < 0).cast("int") for i in range(7)))).first()
+    got, floor = right(boosted), right(model)
+    assert got[0] >= floor[0] and got[0] > 0.97 and got[1] < 1e-9 and got[2] == 0
+    path = tempfile.mkdtemp(prefix="spark-") + "/model"
+    models.save(boosted, path)
+    columns = ["candidate_id", "model_class", *[f"p_{i}" for i in range(7)]]
+    assert models.predict(models.load(path), held).select(columns).exceptAll(models.predict(boosted, held).select(columns)).isEmpty()
+    assert {r.feature for r in models.importance(boosted, spark).orderBy(F.desc("importance")).limit(2).collect()} == {"secondary_sigma", "centroid_sigma"}
+    assert models.predict(boosted, held.limit(0)).isEmpty()
+    with pytest.raises(ValueError):
+        models.train(rows, FEATURES, kind="other")
+
+
+def test_folds_are_stratified(spark):
+    kinds = ["a"] * 23 + ["b"] * 11 + ["c"] * 4
+    df = spark.createDataFrame([(i, k, r) for i, k in enumerate(kinds) for r in range(1 + i % 3)], "tic long, label string, r int")
+    got, n = models.stratified(df, "label", "tic")
+    assert n == 4 and got.count() == df.count()  # the smallest class has four targets
+    per = got.dropDuplicates(["tic"]).groupBy("label").pivot("fold").count().na.fill(0).collect()
+    assert all(max(r[1:]) - min(r[1:]) <= 1 and len(r) == 5 for r in per)
+    assert got.groupBy("tic").agg(F.countDistinct("fold").alias("k")).where("k > 1").isEmpty()
+    mixed, n = models.stratified(df.union(spark.createDataFrame([(0, "b", 9), (None, "b", 9)], df.schema)), "label", "tic", 3)
+    assert n == 3 and mixed.where("tic = 0").select("fold").distinct().count() == 1 and mixed.where("tic IS NULL").count() == 1
+    for few in (df.where("label = 'a'"), df.where("label = 'a' OR tic = 23"), df.limit(0)):
+        with pytest.raises(ValueError):
+            models.stratified(few, "label", "tic")
+
+
 def test_out_of_fold_calibration(rows):
-    scored = models.out_of_fold(rows, FEATURES, F.col("tic_id"), folds=2, trees=5)
-    assert scored.count() == rows.count()
+    scored = models.out_of_fold(rows, FEATURES, "tic_id", folds=2, trees=5)
+    assert scored.count() == rows.count() and scored.select("fold").distinct().count() == 2
     sigmoids = models.calibration(scored)
     assert len(sigmoids) == 3 and all(slope > 0 for slope, _ in sigmoids.values())
     total = sum(F.col(f"p_{i}") for i in range(7))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, IndexToString, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import PCA, IndexToString, Normalizer, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C
+from ..sources.tables import kept
 from .catalog import CLASSES
 from .selection import quantiles
 
@@ -25,10 +26,8 @@ def shuffled(key: Column) -> Column:
     return F.xxhash64(key)
 
 
-def hold_out(df: DataFrame, label: str, key: Column, share: float = 0.25) -> DataFrame:
-    """df with held_out: the first quarter of each label by hash; none if a label has under two rows or the test would be smaller than the labels are many."""
-    counts = df.groupBy(label).count().agg(F.min("count").alias("least"), F.sum("count").alias("n"), F.count("*").alias("k"))
-    fits = F.col("least").isNotNull() & (F.col("least") >= 2) & (F.ceil(share * F.col("n")) >= F.col("k"))
+def placed(df: DataFrame, label: str, key: Column) -> DataFrame:
+    """df with _rank, the place of each row within its label in the order of its key's hash, and _n, the label's rows."""
     # rows are numbered within 65536 steps of the hash, and the steps by what comes before them: no task holds a label
     df = df.withColumn("_step", F.shiftright(shuffled(key), 48))
     steps = df.groupBy(label, "_step").agg(F.count("*").alias("_c"))
@@ -36,7 +35,14 @@ def hold_out(df: DataFrame, label: str, key: Column, share: float = 0.25) -> Dat
     steps = steps.select(F.col(label).alias("_of"), F.col("_step").alias("_at"), (F.sum("_c").over(w.orderBy("_step")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
     own = F.row_number().over(Window.partitionBy(label, "_step").orderBy(shuffled(key), key))
     ranked = df.withColumn("_own", own).join(steps, F.col(label).eqNullSafe(F.col("_of")) & (F.col("_step") == F.col("_at")))
-    return ranked.crossJoin(F.broadcast(counts)).withColumn("held_out", fits & (F.col("_own") + F.col("_before") <= F.ceil(share * F.col("_n")))).drop("_step", "_own", "_of", "_at", "_before", "_n", "least", "n", "k")  # one row of counts
+    return ranked.withColumn("_rank", F.col("_own") + F.col("_before")).drop("_step", "_own", "_of", "_at", "_before")
+
+
+def hold_out(df: DataFrame, label: str, key: Column, share: float = 0.25) -> DataFrame:
+    """df with held_out: the first quarter of each label by hash; none if a label has under two rows or the test would be smaller than the labels are many."""
+    counts = df.groupBy(label).count().agg(F.min("count").alias("least"), F.sum("count").alias("n"), F.count("*").alias("k"))
+    fits = F.col("least").isNotNull() & (F.col("least") >= 2) & (F.ceil(share * F.col("n")) >= F.col("k"))
+    return placed(df, label, key).crossJoin(F.broadcast(counts)).withColumn("held_out", fits & (F.col("_rank") <= F.ceil(share * F.col("_n")))).drop("_rank", "_n", "least", "n", "k")  # one row of counts
 
 
 def fold_of(key: Column, folds: int) -> Column:
@@ -44,25 +50,66 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.pmod(shuffled(key), F.lit(folds)).cast("int")
 
 
-def train(df: DataFrame, features: list[str], label: str = "label", trees: int = 220, least: int = 2, seed: int = 42) -> PipelineModel:
-    """A forest over features filled with their medians (0 if a column has no value) and marks of what was missing; classes weigh alike. Rows without a label are left out."""
+def stratified(df: DataFrame, label: str, key: str, most: int = 5) -> tuple[DataFrame, int]:
+    """(df with fold, from 0; how many folds): each class's keys are dealt out evenly, so every fold has as much of a class as any other, give or take one key.
+
+    There are as many folds as the smallest class has keys, `most` at most; under two classes, or two keys of one, it is an error.
+    Rows of one key share a fold: with a target's id, no target is on two sides; a key of several classes is dealt with the first in order.
+    """
+    keys = df.groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_class"))
+    counts = dict(keys.groupBy("_class").count().collect())  # one row for each class
+    if len(counts) < 2 or min(counts.values()) < 2:
+        raise ValueError("folds need two classes and two keys of each")
+    folds = min(most, min(counts.values()))
+    dealt = placed(keys, "_class", F.col("_key")).select(F.col("_key").alias("_of"), F.pmod(F.col("_rank") - 1, F.lit(folds)).cast("int").alias("fold"))
+    return df.drop("fold").join(dealt, F.col(key).eqNullSafe(F.col("_of"))).drop("_of"), folds
+
+
+def train(df: DataFrame, features: list[str], label: str = "label", trees: int = 220, least: int = 2, seed: int = 42, kind: str = "forest", rounds: int = 40) -> PipelineModel:
+    """A model over features filled with their medians (0 if a column has no value) and marks of what was missing. Rows without a label are left out.
+
+    kind: `forest`, in which classes weigh alike, or `boosted`, gradient-boosted trees of each class against the others
+    (`rounds` of them; classes weigh as they are many), whose probabilities are scaled to 1. One class alone is certain.
+    """
+    if kind not in ("forest", "boosted"):
+        raise ValueError(f"no kind of model is called {kind!r}")
     rows = df.where(F.col(label).isNotNull())
     middle = {f: v or 0.0 for f, v in quantiles(rows, features).items()}
     filled = ", ".join(f"coalesce(CASE WHEN NOT isnan(CAST(`{f}` AS DOUBLE)) THEN CAST(`{f}` AS DOUBLE) END, {middle[f]!r}D) AS `_f_{f}`, CAST(`{f}` IS NULL AS DOUBLE) AS `_m_{f}`" for f in features)
     fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
     assemble = VectorAssembler(inputCols=[f"_{k}_{f}" for f in features for k in "fm"], outputCol="_features")
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
-    counts = rows.groupBy(label).agg((1 / F.count("*")).alias("_weight"))
-    ready = assemble.transform(fill.transform(index.transform(rows.join(counts, label))))
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_class", probabilityCol="_probability", rawPredictionCol="_raw", numTrees=trees, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed).fit(ready)
-    return PipelineModel([fill, assemble, forest, IndexToString(inputCol="_class", outputCol="model_class", labels=index.labels)])
+    labels = index.labels
+    if kind == "forest":
+        counts = rows.groupBy(label).agg((1 / F.count("*")).alias("_weight"))
+        ready = assemble.transform(fill.transform(index.transform(rows.join(counts, label))))
+        forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_class", probabilityCol="_probability", rawPredictionCol="_raw", numTrees=trees, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed).fit(ready)
+        return PipelineModel([fill, assemble, forest, IndexToString(inputCol="_class", outputCol="model_class", labels=labels)])
+    ready = kept(assemble.transform(fill.transform(index.transform(rows))).select("_features", "_label"), "boosting")
+    own = [
+        GBTClassifier(featuresCol="_features", labelCol="_own", predictionCol=f"_class_{i}", maxIter=rounds, minInstancesPerNode=least, seed=seed)
+        .setProbabilityCol(f"_probability_{i}").setRawPredictionCol(f"_raw_{i}").fit(ready.withColumn("_own", (F.col("_label") == i).cast("double")))
+        for i in range(len(labels))
+    ]
+    # each gives (others, own): the second ones are taken and scaled to 1
+    together = [VectorAssembler(inputCols=[f"_probability_{i}" for i in range(len(labels))], outputCol="_both"), VectorSlicer(inputCol="_both", outputCol="_own", indices=[2 * i + 1 for i in range(len(labels))]), Normalizer(inputCol="_own", outputCol="_probability", p=1.0)]
+    names = StringIndexerModel.from_labels(labels, inputCol="_unused", outputCol="_named", handleInvalid="keep")  # carries the labels; its input doesn't exist
+    return PipelineModel([fill, assemble, *own, *together, names])
+
+
+def labels_of(model: PipelineModel) -> list[str]:
+    last = model.stages[-1]
+    return list(last.getLabels() if isinstance(last, IndexToString) else last.labels)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df with p_0 to p_6, the probabilities of the canonical classes in their order (0 for classes that were not learned), and model_class."""
-    labels = model.stages[-1].getLabels()
-    out = model.transform(df.drop(*[f"p_{i}" for i in range(len(CLASSES))])).withColumn("_p", vector_to_array("_probability"))
+    labels = labels_of(model)
+    out = model.transform(df.drop("model_class", *[f"p_{i}" for i in range(len(CLASSES))])).withColumn("_p", vector_to_array("_probability"))
     out = out.withColumns({f"p_{i}": F.get("_p", F.lit(labels.index(k))) if k in labels else F.lit(0.0) for i, k in enumerate(CLASSES)})
+    if "model_class" not in out.columns:
+        best = F.array_position("_p", F.array_max("_p")) - 1
+        out = out.withColumn("model_class", F.get(F.array(*map(F.lit, labels)), best.cast("int")))
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
@@ -75,10 +122,11 @@ def blend(df: DataFrame, weight: float = 0.25) -> DataFrame:
     return df.withColumns({f"p_{i}": F.when(some > 0, (1 - weight) * F.col(f"p_{i}") + weight * r / total).otherwise(F.col(f"p_{i}")) for i, r in enumerate(rule)})
 
 
-def out_of_fold(df: DataFrame, features: list[str], key: Column, label: str = "label", folds: int = 5, **options) -> DataFrame:
-    """Each labelled row with probabilities from a model that has not seen its fold."""
-    rows = df.where(F.col(label).isNotNull()).withColumn("fold", fold_of(key, folds))
-    done = [predict(train(rows.where(F.col("fold") != i), features, label, **options), rows.where(F.col("fold") == i)) for i in range(folds)]
+def out_of_fold(df: DataFrame, features: list[str], key: str, label: str = "label", folds: int = 5, **options) -> DataFrame:
+    """Each labelled row with probabilities from a model that has seen none of its fold's keys; folds as `stratified` deals them."""
+    rows, n = stratified(df.where(F.col(label).isNotNull()), label, key, folds)
+    rows = kept(rows, "folds")
+    done = [predict(train(rows.where(F.col("fold") != i), features, label, **options), rows.where(F.col("fold") == i)) for i in range(n)]
     return reduce(DataFrame.unionByName, done)
 
 
@@ -114,9 +162,10 @@ def counterfactuals(model: PipelineModel, df: DataFrame, features: list[str], ke
 
 
 def importance(model: PipelineModel, spark) -> DataFrame:
-    """(feature, importance) of the forest's inputs, marks of missing values included."""
+    """(feature, importance) of the model's inputs, marks of missing values included; of boosted trees, the mean over classes."""
     names = [n.replace("_f_", "", 1) if n.startswith("_f_") else "missing_" + n.removeprefix("_m_") for n in model.stages[1].getInputCols()]
-    return spark.createDataFrame(list(zip(names, map(float, model.stages[2].featureImportances.toArray()))), "feature string, importance double")
+    found = [x.featureImportances.toArray() for x in model.stages if hasattr(x, "featureImportances")]
+    return spark.createDataFrame(list(zip(names, map(float, sum(found) / len(found)))), "feature string, importance double")
 
 
 def save(model: PipelineModel, path: str) -> None:
