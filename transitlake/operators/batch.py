@@ -177,6 +177,25 @@ def planned(labels: DataFrame, files: DataFrame, label_col: str = "label", most:
     return rows.withColumns({"plan": plan, "depth": F.when(c("depth") > 0, c("depth")).otherwise(1e-3)})
 
 
+def cleaned(going: DataFrame, obs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(what cleaning leaves of each series, its status, the cleaned points of those that have enough) of the targets that are going, over one scan of the points."""
+    c = F.col
+    mine = kept(obs.join(going.select("tic_id").distinct(), "tic_id", "left_semi"), "points")
+    summary = kept(S.quality_summary(mine).join(S.gap_metrics(mine), K), "summary")
+    state = summary.select(*K, F.when(c("n_final") == 0, "NO_VALID_POINTS_AFTER_MASKING").when(c("n_final") < least, "TOO_FEW_CLEAN_POINTS").otherwise("OK").alias("cleaning"))
+    points = S.without_outliers(S.clean(mine.join(state.where("cleaning = 'OK'").select(*K), K, "left_semi"))).drop("median", "sigma", "high_outlier", "low_outlier")
+    return summary, state, kept(points.select(*K, "cadence", "time", "flux_norm", "quality", "centroid_col", "centroid_row"), "cleaned")
+
+
+def seeds(going: DataFrame, state: DataFrame) -> DataFrame:
+    """Candidates by the ephemeris of rows that are going, one for each series of theirs that cleaning left enough of. Their ids are below zero: -1 less source_row."""
+    c = F.col
+    return going.join(state.where("cleaning = 'OK'").select(*K), "tic_id").select(
+        *K, (-1 - c("source_row")).alias("candidate_id"), F.lit("seeded").alias("variant"), "period", "t0", "duration", c("depth").alias("depth_fraction"), F.lit("curated_ephemeris_seed").alias("method"), F.lit("STRONG_DETECTION").alias("status"),
+        F.lit(None).cast("double").alias("sde"), F.lit(False).alias("alias"), F.lit(None).cast("double").alias("local_snr"), F.lit(0).cast("long").alias("n_transits"), F.lit(0).cast("long").alias("n_full"),
+    )
+
+
 def labelled(labels: DataFrame, files: DataFrame, obs: DataFrame, label_col: str = "label", every: bool = False, ignore: bool = False, least: int = 500, replicates: int = 80, **settings) -> tuple[DataFrame, DataFrame]:
     """(features, manifest) of labelled targets: two branches over one cleaned and detrended scan of the points.
 
@@ -189,20 +208,12 @@ def labelled(labels: DataFrame, files: DataFrame, obs: DataFrame, label_col: str
     c = F.col
     plan = kept(planned(labels, files, label_col, ignore=ignore), "planned")
     going = plan.where("plan IN ('ephemeris', 'search')")
-    mine = kept(obs.join(going.select("tic_id").distinct(), "tic_id", "left_semi"), "points")
-    summary = kept(S.quality_summary(mine).join(S.gap_metrics(mine), K), "summary")
-    state = summary.select(*K, F.when(c("n_final") == 0, "NO_VALID_POINTS_AFTER_MASKING").when(c("n_final") < least, "TOO_FEW_CLEAN_POINTS").otherwise("OK").alias("cleaning"))
-    fit_for = state.where("cleaning = 'OK'").select(*K)
-    clean = S.without_outliers(S.clean(mine.join(fit_for, K, "left_semi"))).drop("median", "sigma", "high_outlier", "low_outlier")
-    clean = kept(clean.select(*K, "cadence", "time", "flux_norm", "quality", "centroid_col", "centroid_row"), "cleaned")
-    seeds = going.where("plan = 'ephemeris'")
+    summary, state, clean = cleaned(going, obs, least)
+    seeded = going.where("plan = 'ephemeris'")
     searched = clean.join(going.where("plan = 'search'").select("tic_id").distinct(), "tic_id", "left_semi")
     found, series_found = search.detect_twice(searched, {"detected": 1.0}, **settings)
-    series_seeded = S.detrend(clean.join(seeds.select("tic_id").distinct(), "tic_id", "left_semi")).withColumn("variant", F.lit("seeded"))
-    given = seeds.join(fit_for, "tic_id").select(
-        *K, (-1 - c("source_row")).alias("candidate_id"), F.lit("seeded").alias("variant"), "period", "t0", "duration", c("depth").alias("depth_fraction"), F.lit("curated_ephemeris_seed").alias("method"), F.lit("STRONG_DETECTION").alias("status"),
-        F.lit(None).cast("double").alias("sde"), F.lit(False).alias("alias"), F.lit(None).cast("double").alias("local_snr"), F.lit(0).cast("long").alias("n_transits"), F.lit(0).cast("long").alias("n_full"),
-    )
+    series_seeded = S.detrend(clean.join(seeded.select("tic_id").distinct(), "tic_id", "left_semi")).withColumn("variant", F.lit("seeded"))
+    given = seeds(seeded, state)
     both = given.unionByName(found.select(*[c(x).cast(t).alias(x) for x, t in given.dtypes]))  # seeds below zero, detected from 1
     facts = kept(vetting.measured(both, kept(series_seeded.unionByName(series_found.select(*series_seeded.columns)), "variants"), summary, replicates=replicates), "features")
     score = F.greatest(*[F.coalesce(C.finite(c(x)), F.lit(float("-inf"))) for x in ("fit_snr", "local_snr")])
@@ -210,7 +221,7 @@ def labelled(labels: DataFrame, files: DataFrame, obs: DataFrame, label_col: str
 
     best = facts.where("candidate_id > 0").withColumn("_k", F.row_number().over(Window.partitionBy(*K).orderBy(F.desc(score), "candidate_id")))
     best = (best if every else best.where("_k = 1")).drop("_k")
-    a = facts.where("candidate_id < 0").withColumn("source_row", -1 - c("candidate_id")).join(seeds.select("source_row", "label", "path"), "source_row").withColumn("feature_source", F.lit("curated_ephemeris"))
+    a = facts.where("candidate_id < 0").withColumn("source_row", -1 - c("candidate_id")).join(seeded.select("source_row", "label", "path"), "source_row").withColumn("feature_source", F.lit("curated_ephemeris"))
     b = best.join(going.where("plan = 'search'").select("source_row", "tic_id", "label", "path"), "tic_id").withColumn("feature_source", F.lit("detected_candidate"))
     features = kept(a.unionByName(b), "labelled")
     n = features.groupBy("source_row").agg(F.count("*").alias("n_rows"))

@@ -6,9 +6,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import batch, labels, models, series
+from ..operators import batch, examples, labels, models, series
 from ..sources import tables
-from .registered import INJ, K, OBS, candidates, labelled, register, rounded, CAND_SQL, LABELLED
+from . import fitted  # its folded views are the SQL of examples
+from .registered import CAND, INJ, K, OBS, SQL, candidates, injected, labelled, register, rounded, CAND_SQL, LABELLED
 
 TARGETS = "t AS (SELECT c_custkey - 1 AS tic_id, 1 AS sector FROM customer)"
 FILES = "f AS (SELECT page_id AS tic_id, 'page_' || page_id || '.fits' AS path, CASE WHEN page_id % 5 = 3 THEN 'UNREADABLE: ' || coalesce(CAST(length(html) AS VARCHAR), 'empty') ELSE 'OK' END AS status FROM pages)"
@@ -145,3 +146,49 @@ def preprocessed_targets(spark, sf_dir):
     c = F.col
     o = tables.observations(spark, sf_dir).withColumns({"pdcsap_flux": F.when((c("tic_id") % 5).isin(2, 3) & (c("cadence") % 10 < 7), None).otherwise(c("pdcsap_flux")), "sap_flux": F.when((c("tic_id") % 5 == 3) & (c("cadence") % 10 < 8), -1.0).otherwise(c("sap_flux"))})
     return rounded(series.preprocessed(o)[1])
+
+
+#: The numbers beside views that the candidate table has, as it calls them.
+HELD = {n: n if n in CAND else examples.OWN[n] for n in examples.SCALARS if n in CAND or examples.OWN.get(n) in CAND} | {"depth_fraction": "depth_ppm / 1e6"}
+
+
+@register(f"WITH {CAND_SQL} SELECT candidate_id, " + ", ".join(f"round(CAST({HELD.get(n, 'NULL')} AS DOUBLE), 6) AS {n}" for n in examples.SCALARS) + " FROM cand")
+def view_scalars(spark, sf_dir):
+    """The numbers beside a candidate's views, from a catalog under other names and without some of them."""
+    return rounded(examples.scalar_row(candidates(spark, sf_dir)).select("candidate_id", *examples.SCALARS))
+
+
+VIEWS = ["global_flux", *examples.LOCAL]
+
+
+@register(f"""WITH f AS ({SQL["folded_views"].replace("round(median(z), 4)", "CAST(median(z) AS FLOAT)")}), t AS (SELECT DISTINCT tic_id, sector FROM f), n AS (SELECT unnest({VIEWS!r}) AS view, unnest([1001, 401, 401, 401, 401, 401, 401]) AS size)
+SELECT tic_id, sector, view, CAST(size AS BIGINT) AS size, count(bin) AS filled, CAST(coalesce(sum(bin), 0) AS BIGINT) AS places, round(coalesce(min(value), 0)::DOUBLE, 4) AS low, round(coalesce(max(value), 0)::DOUBLE, 4) AS high FROM t CROSS JOIN n LEFT JOIN f USING (tic_id, sector, view) GROUP BY ALL""")
+def view_examples(spark, sf_dir):
+    """Examples of every target, written and read back: what each view holds."""
+    s = injected(spark, sf_dir)
+    path = tables.scratch(spark, "examples")
+    examples.save_examples(examples.examples(s, s.select(*K).distinct(), "flux_norm"), path)
+    views = F.concat(F.array(F.struct(F.col("global_value").alias("value"), F.col("global_mask").alias("mask"))), F.arrays_zip(F.col("local_value").alias("value"), F.col("local_mask").alias("mask")))
+    df = examples.read_examples(spark, path).select(*K, F.posexplode(views).alias("place", "v")).withColumn("view", F.get(F.array(*map(F.lit, VIEWS)), "place"))
+    bins = F.filter(F.sequence(F.lit(0), F.size("v.mask") - 1), lambda i: F.get("v.mask", i) == 1)
+    held = F.transform("bins", lambda i: F.get("v.value", i).cast("double"))
+    df = df.withColumn("bins", bins).withColumn("held", held)
+    total = F.aggregate("bins", F.lit(0).cast("long"), lambda a, i: a + i)
+    return rounded(df.select(*K, "view", F.size("v.value").alias("size"), F.size("bins").alias("filled"), total.alias("places"), F.coalesce(F.array_min("held"), F.lit(0.0)).alias("low"), F.coalesce(F.array_max("held"), F.lit(0.0)).alias("high")), 4)
+
+
+@register()
+def label_examples(spark, sf_dir):
+    """Examples of labelled targets, and what became of each labelled row: some have no file, no ephemeris, one label of two or none."""
+    c = F.col
+    obs = tables.inject(tables.observations(spark, sf_dir), tables.true_period(c("tic_id")))
+    ids = obs.select("tic_id").distinct()
+    rows = ids.select(
+        c("tic_id").alias("source_row"), "tic_id", F.when(c("tic_id") % 3 != 0, "PLANETARY_TRANSIT_CANDIDATE").alias("canonical_label"), F.when(c("tic_id") % 2 == 0, "planet").alias("binary_label"),
+        F.when(c("tic_id") % 5 != 4, tables.true_period(c("tic_id"))).alias("period"), F.lit(0.4).alias("t0"), F.lit(0.2).alias("duration"), F.lit(None).cast("double").alias("depth"),
+    )
+    files = ids.where("tic_id % 7 <> 3").select("tic_id", F.format_string("%d.fits", "tic_id").alias("path"), F.lit("OK").alias("status"))
+    made, manifest = examples.labelled_examples(rows, files, obs)
+    filled = F.aggregate("global_mask", F.lit(0.0), lambda a, x: a + x)
+    facts = made.select("source_row", "canonical_label", "binary_label", filled.alias("filled"), F.round("seen_fit_snr", 6).alias("fit_snr"), F.size("scalars").alias("n_scalars"), c("seen_class_predicted_class").alias("rule_class"))
+    return manifest.join(facts, "source_row", "left")
