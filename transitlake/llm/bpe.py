@@ -37,9 +37,9 @@ LETTER, NUMBER, SPACE, END, OTHER = 1, 2, 3, 4, 0
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Words kept with their ids in each worker.
-MEMO = 120_000
+MEMO = 80_000
 #: States of the automaton that a worker holds.
-LIMIT = 300_000
+LIMIT = 220_000
 
 
 @lru_cache(1)
