@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from transitlake.operators import batch, models, search, selection, series, validation
 from transitlake.operators.series import K
+from transitlake.plans import fitted, registered  # noqa: F401 (both register their own)
 from transitlake.sources import archives, tables
 
+SF = "/root/testdata/sf0.001"
+
 
 def made(spark, n, targets=1, seed=1, depth=0.0, period=2.0):
     """Brightness of a few targets, of n points each over 27 days."""
@@ -195,3 +198,10 @@ def test_features_are_found_by_what_columns_hold(spark):
     rows, used, warned = models.model_frame(df.withColumn("label", F.when(F.col("tic_id") == 1, "Planet Candidate").otherwise("?")), ["depth", "empty", "as_text", "absent"])
     assert used == ["depth", "as_text"] and warned == ["FEATURE_WITHOUT_VALUES:empty", "FEATURE_WITHOUT_VALUES:absent"]
     assert [r.asDict() for r in rows.collect()] == [{"label": "PLANETARY_TRANSIT_CANDIDATE", "depth": 1.0, "as_text": 2.5}]
+
+
+def test_best_boxes_neither_return_nor_shuffle_trials(spark):
+    plan = lambda name: registered.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("best_robust_box",):
+        kernels = [x for x in plan(name).splitlines() if "FlatMapGroupsInArrow" in x]
+        assert any("sde#" in x for x in kernels), name  # a series gives its best box, not its 4000 trials
