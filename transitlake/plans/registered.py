@@ -202,7 +202,7 @@ def box_search(spark, sf_dir):
 
 @register(f"WITH {BEST} SELECT tic_id, 1 AS sector, round(period, 6) AS period, round(duration, 6) AS duration, round(score, 4) AS score, round(sde, 4) AS sde, alias FROM bs")
 def best_box(spark, sf_dir):
-    b = search.best_period(scored(spark, sf_dir))
+    b = strongest(spark, sf_dir)
     return b.select("tic_id", F.col("sector").cast("long").alias("sector"), F.round("period", 6).alias("period"), F.round("duration", 6).alias("duration"), F.round("score", 4).alias("score"), F.round("sde", 4).alias("sde"), "alias")
 
 
