@@ -213,7 +213,7 @@ def best_robust_box(spark, sf_dir):
 
 @register()
 def best_least_squares_box(spark, sf_dir):
-    return search.best_period(scored(spark, sf_dir, method="bls", mode="frequency")).select("tic_id", "sector", "period", "duration", "score", "sde", "alias")
+    return strongest(spark, sf_dir, method="bls", mode="frequency").select("tic_id", "sector", "period", "duration", "score", "sde", "alias")
 
 
 GUARD = f"""{CAND_SQL}, g0 AS (SELECT *, secondary_sigma >= 5 AND secondary_ratio >= 0.05 AS h1, secondary_sigma >= 5 AND NOT (secondary_sigma >= 5 AND secondary_ratio >= 0.05) AS h2, odd_even_sigma >= 3 AS h3, centroid_sigma >= 5 AS h4, centroid_sigma >= 3 AND centroid_sigma < 5 AND crowding >= 0.25 AS h5, crowding >= 0.4 AS h6, coalesce(data_quality <= 0.35, false) AS h7, snr < 6 AS h8 FROM cand),
