@@ -202,6 +202,6 @@ def test_features_are_found_by_what_columns_hold(spark):
 
 def test_best_boxes_neither_return_nor_shuffle_trials(spark):
     plan = lambda name: registered.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    for name in ("best_robust_box", "best_box", "best_least_squares_box"):
+    for name in ("best_robust_box", "best_box", "best_least_squares_box", "injection_recovery"):
         kernels = [x for x in plan(name).splitlines() if "FlatMapGroupsInArrow" in x]
         assert any("sde#" in x for x in kernels), name  # a series gives its best box, not its 4000 trials

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, fitting, injection, models, series, validation, vetting
 from ..sources import tables
-from .registered import INJ, SQL, K, decided, injected, labelled, register, rounded, scored
+from .registered import INJ, SQL, K, decided, injected, labelled, register, rounded, strongest
 from ..operators import search
 
 FEATURES = ["period_days", "duration_days", "depth_ppm", "snr", "sde", "n_transits", "secondary_sigma", "odd_even_sigma", "centroid_sigma", "crowding", "data_quality", "red_noise"]
@@ -48,7 +48,7 @@ def folded_views(spark, sf_dir):
 
 @register("SELECT tic_id, sector, period, true_period, abs(period - true_period) / true_period <= 0.05 OR abs(2 * period - true_period) / true_period <= 0.05 AS recovered FROM (SELECT tic_id, sector, period, round(1.5::DOUBLE + (tic_id % 10) * 0.35::DOUBLE, 6) AS true_period FROM (" + SQL["best_box"] + "))")
 def injection_recovery(spark, sf_dir):
-    best = search.best_period(scored(spark, sf_dir)).select(*K, F.round("period", 6).alias("period")).withColumn("true_period", F.round(tables.true_period(F.col("tic_id")), 6))
+    best = strongest(spark, sf_dir).select(*K, F.round("period", 6).alias("period")).withColumn("true_period", F.round(tables.true_period(F.col("tic_id")), 6))
     return rounded(fitting.recovery(best).select(*K, "period", "true_period", "recovered"))
 
 
