@@ -185,3 +185,20 @@ def test_status_tells_what_was_detected(spark):
     assert [r[0] for r in df.select(validation.detected(df.columns)).collect()] == [False, False, True, True, False]
     df = spark.createDataFrame([(7.0,), (6.0,), (None,)], "snr double")
     assert [r[0] for r in df.select(validation.detected(df.columns)).collect()] == [True, False, False]
+
+
+def test_filters_on_classes_stay_above_the_decision(spark):
+    decided = registered.decided(spark, SF)
+    plan = catalog.unknown_classes(decided.withColumn("final_class", F.concat("final_class", F.lit("?"))))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate inline")]
+    assert "Filter" in above and len(above) < 2000 and "lambda" not in plan
+
+
+def test_decision_of_ties_nulls_and_nothing(spark):
+    rows = [(1, [0.4, 0.4, 0.0, 0.0, 0.0, 0.0, 0.2]), (2, [0.0] * 7), (3, [None, 0.0, 0.0, 0.0, 0.0, 0.9, 0.1]), (4, [0.2, 0.2, 0.0, 0.0, 0.0, 0.0, 0.6])]
+    df = spark.createDataFrame(rows, "candidate_id int, p array<double>").select("candidate_id", *[F.col("p")[i].alias(f"p_{i}") for i in range(7)])
+    quiet = {"secondary_sigma": 0.0, "secondary_ratio": 0.0, "odd_even_sigma": 0.0, "centroid_sigma": 0.0, "crowding": 0.0, "data_quality": 1.0, "snr": 9.0}
+    out = catalog.decide(catalog.guardrails(df.withColumns({k: F.lit(v) for k, v in quiet.items()})))
+    got = {r.candidate_id: (r.final_class, r.confidence, r.margin) for r in out.collect()}
+    assert got[1] == (catalog.UNCERTAIN, 0.45, 0.0) and got[2] == (catalog.UNCERTAIN, 0.45, 0.0)
+    assert got[3] == (catalog.NOTHING, 0.9, 0.8) and got[4][0] == catalog.UNCERTAIN and got[4][2] == pytest.approx(0.4)

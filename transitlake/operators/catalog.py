@@ -48,19 +48,23 @@ def guardrails(df: DataFrame, prefix: str = "p_") -> DataFrame:
         raised = [F.when(when, F.lit(least)) for _, when, up, least, _ in rules if up == k]
         lowered = [F.when(when, F.lit(most)) for _, when, _, _, most in rules if k == PLANET and most is not None]
         p[k] = F.greatest(p[k], *raised) if raised else F.least(p[k], *lowered) if lowered else p[k]
-    q = renormalise([p[k] for k in CLASSES])
-    return df.withColumns({f"q_{i}": x for i, x in enumerate(q)}).withColumn("guard_warnings", F.concat_ws(";", C.present(*[(r[1], r[0]) for r in rules])))
+    bent = {f"_g_{i}": F.greatest(F.coalesce(p[k], F.lit(0.0)), F.lit(0.0)) for i, k in enumerate(CLASSES)}
+    df = df.withColumns(bent | {"guard_warnings": F.concat_ws(";", C.present(*[(r[1], r[0]) for r in rules]))})
+    df = df.withColumn("_g", reduce(lambda a, b: a + b, map(c, bent)))  # once, not in each class
+    return df.withColumns({f"q_{i}": F.when(c("_g") > 0, c(x) / c("_g")).otherwise(1.0 / len(bent)) for i, x in enumerate(bent)}).drop("_g", *bent)
 
 
 def decide(df: DataFrame, prefix: str = "q_") -> DataFrame:
     """df with final_class, confidence and margin: the first largest probability; under 0.45 it is uncertain."""
-    arr = F.array(*[F.col(f"{prefix}{i}") for i in range(len(CLASSES))])
-    df = df.withColumn("_a", F.transform(arr, lambda x: F.round(x, 12)))
-    top = F.array_max("_a")
-    name = F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("_a", top).cast("int"))
+    df = df.withColumn("_a", F.array(*[F.round(F.col(f"{prefix}{i}"), 12) for i in range(len(CLASSES))]))
+    df = df.withColumns({"_top": F.array_max("_a"), "_order": F.sort_array("_a", asc=False)})
+    df = df.withColumn("_name", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("_a", F.col("_top")).cast("int")))
+    top, name = F.col("_top"), F.col("_name")
     weak = (top < 0.45) & (name != NOTHING)
-    order = F.sort_array("_a", asc=False)
-    return df.withColumns({"final_class": F.when(weak, UNCERTAIN).otherwise(name), "confidence": F.when(weak, F.greatest(top, F.col("_a")[6], F.lit(0.45))).otherwise(top), "margin": order[0] - order[1]}).drop("_a")
+    told = {"final_class": F.when(weak, UNCERTAIN).otherwise(name), "confidence": F.when(weak, F.greatest(top, F.col("_a")[6], F.lit(0.45))).otherwise(top), "margin": F.col("_order")[0] - F.col("_order")[1]}
+    # one struct a row: a filter on what is told stays above, and doesn't repeat the whole expression for each mention of a class
+    df = df.drop(*told).select("*", F.inline(F.array(F.struct(*[x.alias(k) for k, x in told.items()]))))
+    return df.drop("_a", "_top", "_order", "_name")
 
 
 def rule_scores(df: DataFrame) -> DataFrame:
