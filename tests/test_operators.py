@@ -202,3 +202,8 @@ def test_decision_of_ties_nulls_and_nothing(spark):
     got = {r.candidate_id: (r.final_class, r.confidence, r.margin) for r in out.collect()}
     assert got[1] == (catalog.UNCERTAIN, 0.45, 0.0) and got[2] == (catalog.UNCERTAIN, 0.45, 0.0)
     assert got[3] == (catalog.NOTHING, 0.9, 0.8) and got[4][0] == catalog.UNCERTAIN and got[4][2] == pytest.approx(0.4)
+
+
+def test_summary_ranks_nothing(spark):
+    plan = registered.QUERIES["catalog_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_step" not in plan
