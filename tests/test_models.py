@@ -34,6 +34,18 @@ def test_held_out_accuracy(rows, model):
     assert got[0] > 0.9 and got[1] < 1e-9
 
 
+def test_forest_tasks_are_made_by_rows(rows, monkeypatch):
+    seen = []
+    fit = models.RandomForestClassifier.fit
+    monkeypatch.setattr(models, "HELD", 100, raising=False)
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, df: seen.append(df.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) or fit(self, df))
+    models.train(rows, FEATURES, trees=2)
+    (held,) = seen
+    assert sum(held) == rows.count() > 1000 and max(held) <= 200  # however few the classes are
+    own = models.train(rows.where(F.col("label") == catalog.BINARY), FEATURES, trees=2)
+    assert models.predict(own, rows).select("model_class").distinct().collect() == [(catalog.BINARY,)]
+
+
 def test_model_round_trip(rows, model):
     path = tempfile.mkdtemp(prefix="spark-") + "/model"
     models.save(model, path)

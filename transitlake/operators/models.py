@@ -17,6 +17,8 @@ from .selection import quantiles
 
 #: Parts of feature names by group, and what stands for "no evidence" in it (None: not known, so the model fills it).
 GROUPS = {"centroid": (["cent", "pos", "shift"], 0.0), "vetting": (["odd", "even", "sec", "eclipse"], 0.0), "stellar": (["rad", "mass", "teff", "logg"], None), "crowding": (["crowd", "dilution"], 0.0)}
+#: Rows of which a task of a forest holds the counts of every tree.
+HELD = 100_000
 #: Features of which another value says nothing: all light is the target's.
 NEUTRAL = {"crowdsap": 1.0}
 
@@ -73,7 +75,7 @@ def train(df: DataFrame, features: list[str], label: str = "label", trees: int =
     """
     if kind not in ("forest", "boosted"):
         raise ValueError(f"no kind of model is called {kind!r}")
-    rows = df.where(F.col(label).isNotNull())
+    rows = kept(df.where(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label])), "training")  # read several times
     middle = {f: v or 0.0 for f, v in quantiles(rows, features).items()}
     filled = ", ".join(f"coalesce(CASE WHEN NOT isnan(CAST(`{f}` AS DOUBLE)) THEN CAST(`{f}` AS DOUBLE) END, {middle[f]!r}D) AS `_f_{f}`, CAST(`{f}` IS NULL AS DOUBLE) AS `_m_{f}`" for f in features)
     fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
@@ -81,8 +83,11 @@ def train(df: DataFrame, features: list[str], label: str = "label", trees: int =
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
     labels = index.labels
     if kind == "forest":
-        counts = rows.groupBy(label).agg((1 / F.count("*")).alias("_weight"))
-        ready = assemble.transform(fill.transform(index.transform(rows.join(counts, label))))
+        counts = dict(rows.groupBy(label).count().collect())  # one row for each class
+        weight = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 1 / n)]), F.col(label))  # a join would deal rows out by class, to as many tasks
+        ready = assemble.transform(fill.transform(index.transform(rows.withColumn("_weight", weight)))).select("_features", "_label", "_weight")
+        # a row is held with a count for each tree, many times what is read of it, so tasks are made by rows
+        ready = ready.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-sum(counts.values()) // HELD)))
         forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_class", probabilityCol="_probability", rawPredictionCol="_raw", numTrees=trees, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed).fit(ready)
         return PipelineModel([fill, assemble, forest, IndexToString(inputCol="_class", outputCol="model_class", labels=labels)])
     ready = kept(assemble.transform(fill.transform(index.transform(rows))).select("_features", "_label"), "boosting")
