@@ -1,5 +1,6 @@
 """Inline goldens and edge cases of the library's operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,27 @@ def test_decision_of_ties_nulls_and_nothing(spark):
 def test_summary_ranks_nothing(spark):
     plan = registered.QUERIES["catalog_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "_step" not in plan
+
+
+def test_medians_by_place():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 20, 21, 1000):
+        x = np.round(rng.normal(size=n), 2)
+        assert series.placed_median(np.sort(x)) == series.partial_median(x) == float(np.median(x))
+
+
+@pytest.mark.parametrize("method", search.METHODS)
+def test_boxes_without_places(method):
+    rng = np.random.default_rng(4)
+    t, y = np.sort(rng.uniform(0, 20, 400)), np.round(rng.normal(0, 1e-3, 400), 4)
+    trials = search.steps(0.2, 10.0, 150, "linear")
+    for at, sums, n in search.binned(t, y, trials, 60):
+        one = np.floor(np.minimum((t[:, None] - np.floor(t[:, None] / trials[at]) * trials[at]) / trials[at] * 60, 59)).astype(int)
+        assert (n == [np.bincount(k, minlength=60) for k in one.T]).all()
+        assert (sums == [np.bincount(k, y, 60) for k in one.T]).all()  # the same sums to the bit, in whatever order the trials lie
+        placed = search.boxes(sums, n, trials[at], 1e-3, method, search.DURATIONS, 0.2)
+        for a, b in zip(placed[:4], search.boxes(sums, n, trials[at], 1e-3, method, search.DURATIONS, 0.2, False)):
+            assert (a == b).all()
+        for i in np.flatnonzero(np.isfinite(placed[0])):  # a period's best box doesn't depend on its neighbours
+            alone = search.boxes(sums[i : i + 1], n[i : i + 1], trials[at][i : i + 1], 1e-3, method, search.DURATIONS, 0.2)
+            assert [x[0] for x in alone] == [x[i] for x in placed]
