@@ -232,3 +232,11 @@ def test_boxes_without_places(method):
         for i in np.flatnonzero(np.isfinite(placed[0])):  # a period's best box doesn't depend on its neighbours
             alone = search.boxes(sums[i : i + 1], n[i : i + 1], trials[at][i : i + 1], 1e-3, method, search.DURATIONS, 0.2)
             assert [x[0] for x in alone] == [x[i] for x in placed]
+
+
+def test_cleaned_points_are_stored(spark):
+    from transitlake.plans import fitted
+
+    points, summary = fitted.cleaned(spark, SF)
+    assert all("/cleaned-" in f for f in points.inputFiles()) and all("/summary-" in f for f in summary.inputFiles())  # a detrending's plan ends here
+    assert points.count() > 500 and summary.count() == 1
