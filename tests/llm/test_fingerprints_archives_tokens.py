@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from data import docs, prose, rows
 
-from transitlake.llm import bpe, queries, simhash, warc
+from transitlake.llm import bpe, common, language, queries, simhash, suffixes, warc
 from transitlake.llm.common import scratch
 
 
@@ -118,6 +118,33 @@ def test_bpe_against_the_tokenizers_library(spark):
     assert bpe.decode(bpe.encode(docs(spark), path), path).count() == len(rows())
 
 
+def test_bpe_decodes_where_it_encodes(spark):
+    path = queries.vocabulary()
+    apart = bpe.decode(bpe.encode(docs(spark), path), path)
+    once = bpe.encode(docs(spark), path, decoded=True)
+    assert once.columns == apart.columns and sorted(once.collect(), key=str) == sorted(apart.collect(), key=str)
+    assert queries.token_digests(docs(spark), path)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_operators_let_go_of_what_others_keep_in_a_worker(spark, monkeypatch):
+    table, seen = docs(spark), []
+    kind = type(table)
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **k: (seen.append(f), real(self, f, *a, **k))[1])
+    path = queries.vocabulary()
+    simhash.similar(table), simhash.fingerprints(table), language.predict(table, language.fit(table)), suffixes.deduplicate(table), bpe.encode(table, path)
+    assert len(seen) >= 10
+    for f in seen:
+        kept = {"an automaton": 1}
+        monkeypatch.setattr(common, "KEPT", [kept, {}])
+        list(f(iter([])))
+        assert not kept, f
+    own = {"an automaton": 1}
+    monkeypatch.setattr(common, "KEPT", [own, {}])
+    common.alone(own)
+    assert own
+
+
 def merged_in_order(ids, rank):
     while best := min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None):
         i = next(i for i, p in enumerate(zip(ids, ids[1:])) if rank.get(p) == best)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import importable, pieces
+from .common import KEPT, alone, importable, pieces
 
 LETTER, NUMBER, SPACE, END, OTHER = 1, 2, 3, 4, 0
 #: White space in Unicode, and the endings that split off after an apostrophe.
@@ -332,30 +332,41 @@ def compile_vocabulary(path: str) -> Compiled:
     return compiled_of(special, label, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], hashlib.sha256(raw).hexdigest())
 
 
-#: Automata by the digests of their vocabularies, kept while a worker lives.
+#: Automata by the digests of their vocabularies, kept until the worker runs another operator.
 BUILT: dict[str, Automaton] = {}
+KEPT.append(BUILT)
 
 
 def automaton(compiled: Compiled) -> Automaton:
+    alone(BUILT)
     if compiled.digest not in BUILT:
         BUILT.clear()
         BUILT[compiled.digest] = Automaton(compiled)
     return BUILT[compiled.digest]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): ids packed as little-endian unsigned 32-bit integers. `path` is read on the driver; the workers get the compiled automaton."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids): ids packed as little-endian unsigned 32-bit integers; with `decoded` also what they decode to, in the same worker. `path` is read on the driver; the workers get the compiled automaton."""
     importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(compile_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(shared.value)
+        labels = Labels(shared.value.size, shared.value.flat) if decoded else None
         for batch in pieces(batches, "t", 1 << 20):
             ids = a.encode_all(batch.column(1).fill_null("").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+            out = {"id": batch.column(0), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                out["decoded"] = texts_of(labels, ids)
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, ids binary" + ", decoded string" * decoded
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def texts_of(labels: Labels, ids: list[bytes]) -> pa.Array:
+    return pa.array([x.decode("utf-8", "replace") for x in labels.decode_all(ids)], pa.string())
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -367,8 +378,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = Labels(*shared.value)
         for batch in pieces(batches, "ids", 2 << 20):
-            texts = [x.decode("utf-8", "replace") for x in a.decode_all(batch.column(1).fill_null(b"").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts_of(a, batch.column(1).fill_null(b"").to_pylist())], ["id", "ids", "decoded"])
 
     kind = dict(encoded.dtypes)[id_col]
     return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)

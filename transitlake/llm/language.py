@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import importable, pieces, private, stored, utf8
+from .common import alone, importable, pieces, private, stored, utf8
 
 BUCKETS = 1 << 16
 #: Bytes of text looked at together: their subwords and logits take about 60 times as much.
@@ -95,6 +95,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(label_col).alias("label")).where("label IS NOT NULL AND t IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in pieces(batches, "t", PIECE):
             at, data = utf8(batch.column("t"))
             letters = has_letter(at, data)
@@ -151,6 +152,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         m = shared.value
         for batch in pieces(batches, at_text, PIECE):
             at, data = utf8(batch.column(at_text))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import importable, pieces, stored, utf8
+from .common import alone, importable, pieces, stored, utf8
 
 BITS = 64
 #: Members of a variant that are compared in one block.
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): signed 64-bit fingerprints of the lower-cased (A-Z) words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in pieces(batches, "t"):
             at, data = utf8(batch.column("t"))
             fps = [fingerprint_words(data[a:b].tobytes().lower().split(), width) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -144,6 +145,7 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         def out(t: pa.Table) -> pa.RecordBatch:
             key, fp, side = (t.column(x).to_numpy() for x in ("key", "fp", "block"))
             a, b = compare(key, fp.view(np.uint64), side, distance)
@@ -214,6 +216,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     """(id, content, fp, node, bands, shingles): node tells different sets of shingles apart by a 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in pieces(batches, "t", 1 << 20):
             at, data = utf8(batch.column("t"))
             fps, node, bands, sets = [], [], [], []
@@ -277,6 +280,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     dealt = dealt.select("node", F.xxhash64("key", "pair").alias("key"), F.when(inner, -1).otherwise(F.col("own")).alias("block"), "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         held: list[tuple[int, int, bytes]] = []
         last = None
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import importable, pieces, stored, utf8
+from .common import KEPT, importable, pieces, stored, utf8
 
 END = 10  # the byte after a text, and before it
 #: Distinct words or grams that a task holds before it hands its counts on.
@@ -152,6 +152,7 @@ class Part:
 
 #: Tables of the last part that a worker met: its tasks share them.
 TABLES: dict[str, tuple] = {}
+KEPT.append(TABLES)
 
 
 def tables_of(part: Part) -> tuple:

@@ -39,7 +39,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import importable, pieces, stored
+from .common import KEPT, alone, importable, pieces, stored
 
 MAGIC = b"TLPLANES1"
 #: A text may be cut before a space or line end that follows neither: no match of a byte-level pre-tokenizer runs from other characters into white space.
@@ -51,6 +51,7 @@ CUT = re.compile(r"(?<=\S)(?=[ \n])")
 MEMO, SLICE = 150_000, 1 << 20
 SEGMENTS = pa.schema([("partition", pa.int64()), ("file", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("before", pa.bool_()), ("after", pa.bool_()), ("total", pa.int64())])
 ENCODERS: dict[str, "Encoder"] = {}
+KEPT.append(ENCODERS)
 
 
 class Encoder:
@@ -223,6 +224,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     last = struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(ENCODERS)
         if key not in ENCODERS:
             ENCODERS.clear()
             ENCODERS[key] = Encoder(model.value)
