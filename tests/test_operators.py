@@ -240,3 +240,13 @@ def test_cleaned_points_are_stored(spark):
     points, summary = fitted.cleaned(spark, SF)
     assert all("/cleaned-" in f for f in points.inputFiles()) and all("/summary-" in f for f in summary.inputFiles())  # a detrending's plan ends here
     assert points.count() > 500 and summary.count() == 1
+
+
+def test_a_report_works_out_its_rows_once(spark):
+    df = spark.range(60).selectExpr("IF(id % 3 = 0, 'A', 'B') AS label", "IF(id % 4 = 0, 'A', 'B') AS final_class", "id / 60 AS confidence", "id / 4 AS snr", "id AS unread", "id + 1.0 AS p", "id + 2.0 AS t")
+    r = validation.report(df, pairs={"x": ("p", "t")})
+    assert "Range" not in r._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x.part, x.metric): x.value for x in r.collect()}
+    assert got["parameters", "x:mae"] == 1 and got["classes", "accuracy"] == pytest.approx(35 / 60) and got["detection", "tp"] == 32
+    bare = {x.metric for x in validation.report(spark.range(0)).collect() if x.part == "warning"}
+    assert bare == {"EMPTY_CATALOG", "NO_LABELS"}
