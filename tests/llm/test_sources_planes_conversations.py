@@ -256,3 +256,19 @@ def test_toxic_texts_held_out(spark):
     got = queries.op10_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     n = got.agg(F.sum("toxic").alias("toxic"), F.sum("predicted").alias("found"), F.sum(F.col("toxic") * F.col("predicted")).alias("right")).first()
     assert n.right >= 0.9 * n.toxic and n.right >= 0.95 * n.found
+
+
+def test_letters_are_encoded_by_the_librarys_model_alone(monkeypatch):
+    pytest.importorskip("tokenizers")
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        e = tokenfiles.Encoder(f.read())
+    words = ["zyxorâble", "zyxorable", "Ünterzyx", "zyxorable,", "zyxorable!?", "\nZyxorable", "\nZyxorable,", "zyx'ro", "zyxª", "zyx́o", "zyx<|endoftext|>o", "zyx日", "\nzyx o", "zyx2o"]
+    texts = ["a " + " ".join(words).replace(" \n", "\n"), "a " + " ".join(reversed(words)).replace(" \n", "\n") + " z"]
+    want = [e.ids(x) for x in texts]
+    asked, real = [], e.ids
+    monkeypatch.setattr(e, "ids", lambda x: (asked.append(x), real(x))[1])
+    assert e.encode(texts) == want and e.encode(texts) == want
+    assert not any("orable" in x or "orâble" in x or "nterzyx" in x for x in asked)
+    monkeypatch.setattr(tokenfiles, "MEMO", 2)  # what is remembered goes between calls
+    again = [e.encode([x])[0] for x in texts * 3]
+    assert again == want * 3
