@@ -205,3 +205,37 @@ def test_best_boxes_neither_return_nor_shuffle_trials(spark):
     for name in ("best_robust_box", "best_box", "best_least_squares_box", "injection_recovery"):
         kernels = [x for x in plan(name).splitlines() if "FlatMapGroupsInArrow" in x]
         assert any("sde#" in x for x in kernels), name  # a series gives its best box, not its 4000 trials
+
+
+@pytest.mark.parametrize("method", search.METHODS)
+def test_series_of_the_same_times_are_searched_together(spark, method):
+    s = made(spark, 300, targets=1).withColumn("x", F.col("pdcsap_flux") / 1e5)
+    many = s.crossJoin(spark.range(5).withColumnRenamed("id", "signal")).withColumn("x", F.col("x") * (1 + F.col("signal") * 1e-4 * F.rand(3)))
+    many = many.where("signal < 4 OR cadence % 2 = 0").localCheckpoint()
+    keys = [*K, "signal"]
+    groups = search.prepared(many, "x", keys, 0.2, 13.5, 2, 1000).groupBy("times", "part").agg(F.countDistinct("signal").alias("n"))
+    assert sorted(r.n for r in groups.collect()) == [1, 1, 3]  # three of 300 points to a group of 1000
+    rng = np.random.default_rng(2)
+    t, y, trials = np.sort(rng.uniform(0, 30, 300)), rng.normal(0, 1e-3, (5, 300)), search.steps(0.2, 13.5, 100, "linear")
+    sigma = rng.uniform(1e-3, 2e-3, 5)
+    parts = [search.boxes(sums, n, np.repeat(trials[at], 5), np.tile(sigma, len(trials[at])), method, search.DURATIONS, 0.2) for at, sums, n in search.binned(t, y, trials, 60)]
+    for j in range(5):
+        alone = [search.boxes(sums, n, trials[at], float(sigma[j]), method, search.DURATIONS, 0.2) for at, sums, n in search.binned(t, y[j], trials, 60)]
+        for a, b in zip(zip(*parts), zip(*alone)):
+            assert np.array_equal(np.concatenate(a).reshape(-1, 5)[:, j], np.concatenate(b))
+
+
+def test_a_summary_of_stored_points_is_that_of_their_series(spark):
+    obs = made(spark, 300, targets=2).withColumn("quality", F.when(F.col("cadence") % 9 == 0, 1 << 5).otherwise(0))
+    stored = series.clean(obs).select(*series.POINTS, *series.FLAGS).localCheckpoint()
+    both = [sorted(series.quality_summary(obs, x).withColumn("rms_ppm", F.round("rms_ppm", 6)).collect()) for x in (stored, None)]  # a mean's last bit depends on the order
+    assert both[0] == both[1]
+
+
+def test_copies_for_signals_are_made_in_many_tasks(spark):
+    from transitlake.operators import injection
+
+    obs = made(spark, 400, targets=1).coalesce(1)
+    dealt = injection.injected(series.dealt(obs, [*K, "cadence"]), injection.specs(spark, 1))
+    rows = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 8 and sum(r[1] for r in rows) == 1200
