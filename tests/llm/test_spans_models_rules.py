@@ -359,3 +359,29 @@ def test_bands_meet_at_similarity_of_0_8():
         a, b = np.unique(x[:200]), np.unique(np.concatenate([x[:178], x[200:222]]))  # 178 of 220: 0.809
         met += bool((simhash.band_keys(a) == simhash.band_keys(b)).any())
     assert met >= 490
+
+
+def test_grams_and_first_steps_of_a_suffix_tree():
+    import numpy as np
+    from transitlake.llm import suffixtree
+
+    b = np.random.default_rng(1).integers(97, 103, 3000).astype(np.uint8)
+    for depth in (1, 6):
+        want = np.zeros(len(b), np.int64)
+        for d in range(depth + 1):
+            want[d:] |= b[: len(b) - d].astype(np.int64) << (8 * d)
+        assert np.array_equal(suffixtree.windows(b, depth), want)
+    k, n = np.unique(want, return_counts=True)
+    parts = [np.unique(x, return_counts=True) for x in (want[:1000], want[1000:])]
+    got = suffixtree.summed(*parts[0], *parts[1])
+    assert np.array_equal(got[0], k) and np.array_equal(got[1], n)
+    child = np.array([[1, -1, 2], [-1, 3, -1], [-1, -1, -1], [4, -1, -1], [-1, -1, -1]], np.int32)
+    near, taken = suffixtree.first_steps(child, 4)
+    assert taken == 4
+    for code in range(3**4):
+        node, ended = 0, False
+        for d in range(4):
+            step = child[node, code // 3**d % 3]
+            ended = ended or step < 0
+            node = node if ended else step
+        assert near[code] == (~node if ended else node)

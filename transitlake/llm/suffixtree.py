@@ -36,6 +36,8 @@ from .common import KEPT, importable, pieces, stored, utf8
 END = 10  # the byte after a text, and before it
 #: Distinct words or grams that a task holds before it hands its counts on.
 HELD = 2_000_000
+#: Most entries of the table of the first steps down the tree, which fits in a cache.
+NEAR = 1 << 20
 
 
 def normal(at: np.ndarray, data: np.ndarray) -> list[list[bytes]]:
@@ -55,6 +57,23 @@ def stream(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray
     return b, begin, own
 
 
+def windows(b: np.ndarray, depth: int) -> np.ndarray:
+    """Each byte, in the lowest place, with the `depth` before it."""
+    held = np.concatenate([np.zeros(7, np.uint8), b])
+    return np.ndarray(len(b), ">u8", held, strides=(1,)).astype(np.int64) & ((1 << (8 * (depth + 1))) - 1)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of ascending keys as one: a stable sort only merges them."""
+    if not len(keys):
+        return k, n
+    both = np.concatenate([keys, k])
+    order = both.argsort(kind="stable")
+    both = both[order]
+    first = np.flatnonzero(np.diff(both, prepend=both[0] - 1))
+    return both[first], np.add.reduceat(np.concatenate([counts, n])[order], first)
+
+
 def gram_counts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
     """(gram, n): every depth + 1 bytes, the last in the lowest place, summed over docs."""
 
@@ -62,12 +81,7 @@ def gram_counts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in pieces(batches, text_col):
             b, _, own = stream(normal(*utf8(batch.column(0))), depth)
-            g = np.zeros(len(b), np.int64)
-            for d in range(depth + 1):
-                g[d:] |= b[: len(b) - d].astype(np.int64) << (8 * d)
-            k, n = np.unique(g[own], return_counts=True)
-            both, place = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            keys, counts = both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
+            keys, counts = summed(keys, counts, *np.unique(windows(b, depth)[own], return_counts=True))
             if len(keys) > HELD:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
                 keys, counts = keys[:0], counts[:0]
@@ -150,6 +164,17 @@ class Part:
         return symbol, child, np.log10(p, out=p)
 
 
+def first_steps(child: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
+    """(the node that the latest symbols lead to, by their number; how many they are): ~node where the way ended before the last of them."""
+    size, taken = child.shape[1], 0
+    node = np.zeros(1, np.int32)
+    while taken < depth and len(node) * size <= NEAR:
+        nxt = np.where(node[:, None] >= 0, child[np.maximum(node, 0)], -1)
+        ended = np.where(node >= 0, ~node, node)
+        node, taken = np.where(nxt >= 0, nxt, ended[:, None]).T.ravel(), taken + 1
+    return node, taken
+
+
 #: Tables of the last part that a worker met: its tasks share them.
 TABLES: dict[str, tuple] = {}
 KEPT.append(TABLES)
@@ -158,7 +183,8 @@ KEPT.append(TABLES)
 def tables_of(part: Part) -> tuple:
     if part.name not in TABLES:
         TABLES.clear()
-        TABLES[part.name] = part.tables()
+        symbol, child, logp = part.tables()
+        TABLES[part.name] = (symbol, child, logp, *first_steps(child, part.depth))
     return TABLES[part.name]
 
 
@@ -206,21 +232,26 @@ def parts_of(tree: Tree, most: int) -> Iterator[Part]:
 
 def score_bytes(words: list[list[bytes]], part: Part) -> np.ndarray:
     """Log10 probability of those bytes of each text whose context is the part's."""
-    symbol, child, logp = tables_of(part)
+    symbol, child, logp, near, taken = tables_of(part)
     size = child.shape[1]
     child, logp = child.ravel(), logp.ravel()
     b, begin, own = stream(words, max(part.depth, 2))
     s = symbol[b]
+    code = np.zeros(len(s), np.int32)  # the latest symbol before a byte in the lowest place
+    for d in range(1, taken + 1):
+        code[d:] += s[:-d] * np.int32(size ** (d - 1))
     at = np.flatnonzero(own)
     if part.low > 0 or part.high < 0xFFFF:
         cell = b[at - 1].astype(np.int32) | (b[at - 2].astype(np.int32) << 8)
         at = at[(cell >= part.low) & (cell <= part.high)]
-    node = np.zeros(len(at), np.int64)
-    live, here, now = np.arange(len(at)), at, node
-    for d in range(1, part.depth + 1):
+    known = near.take(code.take(at))  # where the first steps led; below zero if no more are left
+    node = np.where(known < 0, ~known, known).astype(np.int64)
+    live = np.flatnonzero(known >= 0)
+    here, now = at.take(live), node.take(live)
+    for d in range(taken + 1, part.depth + 1):
         nxt = child.take(now * size + s.take(here - d))
-        on = nxt >= 0
-        live, here, now = live[on], here[on], nxt[on].astype(np.int64)
+        on = np.flatnonzero(nxt >= 0)
+        live, here, now = live.take(on), here.take(on), nxt.take(on).astype(np.int64)
         node[live] = now
     sums = np.concatenate([[0.0], np.cumsum(logp.take(node * size + s.take(at)), dtype=np.float64)])
     cuts = np.searchsorted(at, [*begin.tolist(), len(b)])
