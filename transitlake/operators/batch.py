@@ -181,10 +181,10 @@ def cleaned(going: DataFrame, obs: DataFrame, least: int) -> tuple[DataFrame, Da
     """(what cleaning leaves of each series, its status, the cleaned points of those that have enough) of the targets that are going, over one scan of the points."""
     c = F.col
     mine = kept(obs.join(going.select("tic_id").distinct(), "tic_id", "left_semi"), "points")
-    flagged = kept(S.clean(mine).select(*S.POINTS, *S.FLAGS), "flagged")
-    summary = kept(S.quality_summary(mine, flagged).join(S.gap_metrics(mine), K), "summary")
+    points, summary = S.cleaned(mine)
+    summary = kept(summary, "summary")
     state = summary.select(*K, F.when(c("n_final") == 0, "NO_VALID_POINTS_AFTER_MASKING").when(c("n_final") < least, "TOO_FEW_CLEAN_POINTS").otherwise("OK").alias("cleaning"))
-    points = S.without_outliers(flagged).join(state.where("cleaning = 'OK'").select(*K), K, "left_semi")
+    points = points.join(state.where("cleaning = 'OK'").select(*K), K, "left_semi")
     return summary, state, kept(points.select(*S.POINTS), "cleaned")
 
 
