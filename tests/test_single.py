@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from transitlake.operators import search, series, single, vetting
+from transitlake.operators import injection, search, series, single, vetting
 from transitlake.operators.series import K
 from transitlake.plans import fitted
 
@@ -70,6 +70,20 @@ def test_the_whole_chain_takes_few_jobs(spark):
     assert 0 < len(sc.statusTracker().getJobIdsForGroup("chain")) < 120
 
 
+def test_signals_are_searched_and_measured_in_few_jobs(spark):
+    """Copies of the points were stored before they were cleaned, and read for each fact: 37 times all points."""
+    sc, obs = spark.sparkContext, made(spark, 600, targets=2)
+    sc.setJobGroup("signals", "signals")
+    try:
+        rows = injection.run(obs, injection.specs(spark, 1), periods=200, bins=60, replicates=20).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("signals")) < 120
+    assert sorted((r.tic_id, r.label) for r in rows) == sorted((i, label) for i in range(2) for label in injection.GRID)
+    deep = [r for r in rows if r.label == injection.BINARY]
+    assert all(r.detected and r.fit_depth_ppm == pytest.approx(12000, rel=0.15) for r in deep)
+
+
 def test_medians_by_mask_are_those_of_what_they_take():
     rng = np.random.default_rng(4)
     x = np.sort(rng.normal(size=200))
